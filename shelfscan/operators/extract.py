@@ -11,7 +11,15 @@ from shelfscan.functions.sql import coalesce, each, extract, first, in_list, let
 from shelfscan.operators import html as H
 from shelfscan.operators.classify import page_signals
 from shelfscan.operators.html import FAR, slice_to, span_text
-from shelfscan.operators.jsonld import NO_SPECS, NO_VARIANTS, last_wins_map, product_struct, with_ld_product
+from shelfscan.session import spread
+from shelfscan.operators.jsonld import (
+    NO_SPECS,
+    NO_VARIANTS,
+    last_wins_map,
+    ld_first_product,
+    ld_product,
+    product_struct,
+)
 
 # -- reading a page tree -----------------------------------------------------
 
@@ -222,31 +230,30 @@ def extract_products(
     JSON-LD products travel beside them without their HTML. ``classified=False`` skips
     the test for product pages.
     """
-    screened = with_ld_product(pages, url, html)
+    screened = pages.selectExpr("*", f"{ld_first_product(html)} AS ld_item")
     if classified:
-        screened = page_signals(screened, html, ld_known="(ld IS NOT NULL)")
+        screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
         is_product = "is_product"
     else:
         is_product = "true"
-    fields = [*keep, f"{url} AS url", "ld", f"if(ld IS NULL, {html}, NULL) AS html"]
+    fields = [*keep, f"{url} AS url", "ld_item", f"if(ld_item IS NULL, {html}, NULL) AS html"]
     if url in keep:
         fields.remove(f"{url} AS url")
     # One generated row per product page: a filter that does not make Spark read the signals twice.
     found = screened.selectExpr(f"inline({when(is_product, f'array(struct({", ".join(fields)}))')})")
     identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*keep, "url"])
     keyed = found.selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
-    carried = tuple(dict.fromkeys([*keep, "url", "ld"]))
-    trees = H.page_trees(keyed.repartition("page_key"), "page_key", carry=carried)
+    carried = tuple(dict.fromkeys([*keep, "url", "ld_item"]))
+    trees = H.page_trees(spread(keyed, "page_key"), "page_key", carry=carried)
     out = with_structure_product(
-        with_meta_product(trees).selectExpr("*", "ld IS NULL AND meta IS NULL AS unread"), needed="unread"
+        with_meta_product(trees).selectExpr("*", "ld_item IS NULL AND meta IS NULL AS unread"), needed="unread"
     )
-    strategy = "CASE WHEN ld IS NOT NULL THEN 'jsonld' WHEN meta IS NOT NULL THEN 'meta' ELSE 'heuristic' END"
+    strategy = "CASE WHEN ld_item IS NOT NULL THEN 'jsonld' WHEN meta IS NOT NULL THEN 'meta' ELSE 'heuristic' END"
+    product = when("ld_item IS NOT NULL", ld_product("ld_item", "url"), "coalesce(meta, structure)")
     others = [c for c in keep if c != "url"]
-    return out.selectExpr(
-        *others,
-        f"{strategy} AS strategy",
-        "coalesce(ld, meta, structure) AS product",
-    ).selectExpr(*others, "strategy", "inline(if(product IS NULL, NULL, array(product)))")
+    return out.selectExpr(*others, f"{strategy} AS strategy", f"{product} AS product").selectExpr(
+        *others, "strategy", "inline(if(product IS NULL, NULL, array(product)))"
+    )
 
 
 def drop_nameless(products: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ SETTINGS = {
     # Lets the per-site top 5 000 be cut on the map side, before its shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(rules.MAX_URLS),
     "spark.sql.session.timeZone": "UTC",
+    # Tokens reach the fold sorted by page: one page at a time in memory, no hash map of
+    # pages and no second sort when that map overflows.
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
 }
 
 
@@ -23,6 +26,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by ``keys`` into the session's full number of shuffle partitions.
+
+    Shredding a page multiplies its bytes, so partitions must not be merged by the
+    size they have before it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle only where the input has fewer partitions than the cluster has cores.
+
+    Large archives arrive in many splits and pass through; a small file of pages would
+    otherwise be parsed by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder that every executor can reach, as named by the cluster."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
