@@ -6,10 +6,10 @@ query grows with the table, and the expected result is plain SQL on ``part``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfscan.session import prepare
+from shelfscan.session import fill_cores, prepare
 
 FILLER = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor. " * 3
 
@@ -28,7 +28,9 @@ def brand_number() -> Column:
 
 
 def site() -> Column:
-    return F.concat(F.lit("https://www.shop"), brand_number(), F.lit(".example"))
+    """Sites grow in number with the table, not in size: one per brand and 10 000 parts."""
+    bucket = F.floor(F.col("p_partkey") / 10000).cast("string")
+    return F.concat(F.lit("https://www.shop"), brand_number(), F.lit("-"), bucket, F.lit(".example"))
 
 
 def product_url() -> Column:
@@ -117,21 +119,121 @@ def shell_page() -> Column:
 TEMPLATES = ["jsonld", "meta", "structure", "listing", "article", "challenge", "shell"]
 
 
+def page_template() -> Column:
+    k = F.col("p_partkey") % len(TEMPLATES)
+    return F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (k + 1).cast("int"))
+
+
+def page_html(template: Column) -> Column:
+    makers = [jsonld_page(), meta_page(), structure_page(), listing_page(), article_page(), challenge_page(), shell_page()]
+    html = F.lit(None).cast("string")
+    for name, maker in zip(TEMPLATES, makers):
+        html = F.when(template == name, maker).otherwise(html)
+    return html
+
+
 def rendered_pages(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     """(page_id, site, url, template, html): one page per part; all of one template, or a mix."""
-    makers = dict(
-        zip(TEMPLATES, [jsonld_page(), meta_page(), structure_page(), listing_page(), article_page(), challenge_page(), shell_page()])
-    )
-    part = table(spark, sf_dir, "part")
-    if only:
-        template, html = F.lit(only), makers[only]
-    else:
-        k = F.col("p_partkey") % len(TEMPLATES)
-        template = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (k + 1).cast("int"))
-        html = F.lit(None).cast("string")
-        for i, t in enumerate(TEMPLATES):
-            html = F.when(k == i, makers[t]).otherwise(html)
+    part = fill_cores(table(spark, sf_dir, "part"), "p_partkey")
+    template = F.lit(only) if only else page_template()
     return part.select(
         F.col("p_partkey").alias("page_id"), site().alias("site"), product_url().alias("url"),
-        template.alias("template"), html.alias("html"),
+        template.alias("template"), page_html(template).alias("html"),
+    )
+
+
+# -- an archive of responses --------------------------------------------------
+
+# How a site can be read, by brand number % 5.
+KINDS = ["api", "sitemap", "feed", "categories", "links"]
+
+
+def _texts(*parts) -> Column:
+    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def _collected(rows: DataFrame, keys: list[str], piece: Column, sep: str = "") -> DataFrame:
+    """(keys, text): pieces of one small document, in order. Keys must keep groups small."""
+    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rn", piece.alias("piece")))).alias("p"))
+    return grouped.select(*keys, F.array_join(F.col("p.piece"), sep).alias("text"))
+
+
+def site_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their site, kind of site, number within the site (at most some hundred) and page URL."""
+    part = table(spark, sf_dir, "part").withColumn("site", site())
+    part = part.withColumn("kind", F.element_at(F.array(*[F.lit(k) for k in KINDS]), (brand_number().cast("int") % 5 + 1)))
+    rn = F.row_number().over(Window.partitionBy("site").orderBy("p_partkey")) - 1
+    path = F.when(F.col("kind") == "categories", "/x/p/").otherwise("/products/")
+    return part.withColumn("rn", rn).withColumn("url", _texts(F.col("site"), path, F.col("p_partkey").cast("string")))
+
+
+def rendered_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(site().alias("site")).distinct()
+
+
+def rendered_fetches(spark: SparkSession, sf_dir: str, with_pages: bool = True) -> DataFrame:
+    """An archive: discovery documents of every site, and a page for every part."""
+    parts = site_parts(spark, sf_dir)
+    of = lambda kind: parts.filter(F.col("kind") == kind)
+    link = F.col("url")
+    urlset = lambda c: _texts('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', c, "</urlset>")
+    index = lambda c: _texts('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', c, "</sitemapindex>")
+    loc = _texts("<url><loc> ", link, " </loc></url>")
+    docs = []
+
+    def add(rows: DataFrame, url: Column, body: Column) -> None:
+        docs.append(rows.select("site", url.alias("url"), body.alias("body")))
+
+    # REST lists of 100 items, the link under one of three names.
+    item = (
+        F.when(F.col("rn") % 3 == 0, _texts('{"permalink":"', link, '"}'))
+        .when(F.col("rn") % 3 == 1, _texts('{"permalink":"","url":"', link, '"}'))
+        .otherwise(_texts('{"url":null,"link":"', link, '"}'))
+    )
+    pages = _collected(of("api").withColumn("n", F.floor(F.col("rn") / 100) + 1), ["site", "n"], item, ",")
+    add(pages, _texts(F.col("site"), "/api/products?limit=100&page=", F.col("n").cast("string")), _texts("[", F.col("text"), "]"))
+    # robots.txt, an index and its urlsets of 30; the index also names itself.
+    maps = of("sitemap").withColumn("n", F.floor(F.col("rn") / 30))
+    add(maps.select("site").distinct(), _texts(F.col("site"), "/robots.txt"), _texts("User-agent: *\r\nSITEMAP: ", F.col("site"), "/maps/all.xml\n"))
+    child = lambda n: _texts("<sitemap><loc>", F.col("site"), "/maps/", n, ".xml</loc></sitemap>")
+    listed = _collected(maps.groupBy("site", "n").agg(F.min("rn").alias("rn")), ["site"], child(F.col("n").cast("string")))
+    add(listed, _texts(F.col("site"), "/maps/all.xml"), index(_texts(child(F.lit("all")), F.col("text"))))
+    add(_collected(maps, ["site", "n"], loc), _texts(F.col("site"), "/maps/", F.col("n").cast("string"), ".xml"), urlset(F.col("text")))
+    # Product feed pages of 20.
+    feed = _collected(of("feed").withColumn("n", F.floor(F.col("rn") / 20) + 1), ["site", "n"], loc)
+    add(feed, _texts(F.col("site"), "/xmlsitemap.php?type=products&page=", F.col("n").cast("string")), urlset(F.col("text")))
+    # Categories of 40, in two pages of 20.
+    shop = of("categories").withColumn("c", F.floor(F.col("rn") / 40)).withColumn("n", F.floor(F.col("rn") % 40 / 20))
+    name = _texts("/group/c/", F.col("c").cast("string"))
+    home = _collected(shop.groupBy("site", "c").agg(F.min("rn").alias("rn")), ["site"], _texts('<a href="', name, '">x</a>'))
+    add(home, _texts(F.col("site"), "/"), _texts("<html><body><h1>Shop</h1>", F.col("text"), "</body></html>"))
+    hrefs = _collected(shop, ["site", "c", "n"], _texts('<a href="/x/p/', F.col("p_partkey").cast("string"), '">x</a>'))
+    paged = F.when(F.col("n") == 0, _texts(F.col("site"), name)).otherwise(
+        _texts(F.col("site"), name, "?q=%3Arelevance&page=", F.col("n").cast("string"), "&pageSize=96")
+    )
+    add(hrefs, paged, _texts("<html><body><h1>Group</h1>", F.col("text"), "</body></html>"))
+    # A home page with ten links to hubs, which link to the products.
+    hubs = of("links").withColumn("h", F.col("rn") % 10)
+    homes = _collected(hubs.groupBy("site", "h").agg(F.min("rn").alias("rn")), ["site"], _texts('<a href="/hub/', F.col("h").cast("string"), '">x</a>'))
+    add(homes, _texts(F.col("site"), "/"), _texts('<html><body><h1>Shop</h1><a href="mailto:a@b">m</a><a href="https://else.example/">o</a>', F.col("text"), "</body></html>"))
+    linked = _collected(hubs, ["site", "h"], _texts('<a href="/products/', F.col("p_partkey").cast("string"), '">x</a>'))
+    add(linked, _texts(F.col("site"), "/hub/", F.col("h").cast("string")), _texts("<html><body><h1>Hub</h1>", F.col("text"), "</body></html>"))
+
+    found = docs[0]
+    for more in docs[1:]:
+        found = found.unionByName(more)
+    rows = found.withColumns({"status": F.lit(200), "via": F.lit("http"), "attempt": F.lit(0)})
+    if with_pages:
+        template = page_template()
+        body = parts.withColumn("template", template)
+        html = page_html(F.col("template"))
+        first = F.when(F.col("p_partkey") % 10 == 9, 429).otherwise(200)
+        pages = body.select("site", "url", html.alias("body"), first.alias("status"), F.lit("http").alias("via"), F.lit(0).alias("attempt"))
+        again = body.filter("p_partkey % 10 = 9").select("site", "url", html.alias("body"), F.lit(200).alias("status"), F.lit("http").alias("via"), F.lit(1).alias("attempt"))
+        drawn = body.filter("template = 'shell'").select("site", "url", structure_page().alias("body"), F.lit(200).alias("status"), F.lit("render").alias("via"), F.lit(0).alias("attempt"))
+        hidden = body.filter("template = 'listing'").select("site", _texts(F.col("site"), "/products/hidden-", F.col("p_partkey").cast("string")).alias("url"), jsonld_page().alias("body"), F.lit(200).alias("status"), F.lit("http").alias("via"), F.lit(0).alias("attempt"))
+        for more in (pages, again, drawn, hidden):
+            rows = rows.unionByName(more)
+    return rows.select(
+        "site", "url", "attempt", F.lit(None).cast("timestamp").alias("fetched_at"), "status", "body", F.lit(None).cast("string").alias("error"), "via"
     )

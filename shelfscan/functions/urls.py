@@ -98,14 +98,15 @@ def url_join(base: str, href: str) -> str:
     scheme = f"lower({extract(href, '^([A-Za-z][A-Za-z0-9+.-]*):')})"
 
     def resolved(rest: str) -> str:
-        path = extract(rest, "^([^?#]*)")
+        # Parameters of the last segment take no part in resolving.
+        path = extract(rest, "^((?:[^?#;]|;(?=[^?#]*/))*+)")
         # A relative path loses its empty inner segments, a rooted one keeps them.
         rooted = when(f"startswith({path}, '/')", path, f"concat('/', {replaced(path, '(?<=/)/+(?=.)', '')})")
         clean = let(rooted, lambda p: when(matches(p, r"/\.\.?(/|\z)"), _drop_dot_segments(p), p))
         suffix = f"substr({rest}, length({path}) + 1)"
         return (
             f"CASE WHEN startswith({rest}, '//') THEN concat({base_scheme}, ':', {rest}) "
-            f"WHEN {path} = '' THEN concat({base}, {suffix}) ELSE concat({base}, {clean}, {suffix}) END"
+            f"WHEN {path} = '' AND NOT startswith({rest}, ';') THEN concat({base}, {suffix}) ELSE concat({base}, {clean}, {suffix}) END"
         )
 
     rest = when(f"{scheme} = ''", href, f"substr({href}, length({scheme}) + 2)")

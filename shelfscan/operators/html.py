@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from shelfscan import rules
 from shelfscan.functions import markup as M
 from shelfscan.functions.scalars import blank_to_null, py_strip
-from shelfscan.functions.sql import extract_all, in_list, lit, matches, when
+from shelfscan.functions.sql import extract_all, in_list, lit, matches, replaced, when
 
 # Element names of the HTML standard, by how their end is found.
 VOID_TAGS = [
@@ -195,7 +195,8 @@ def page_trees(pages: DataFrame, key: str, html: str = "html", carry: tuple[str,
     def attribute(name: str) -> str:
         return when("element AND kind <> 'raw'", M.attr("tok", name))
 
-    node = when("labelled AND kind IN ('text', 'comment')", M.html_unescape("tok"))
+    comment = replaced("tok", r"^<!--|-->\z", "")
+    node = f"CASE WHEN labelled THEN CASE kind WHEN 'text' THEN {M.html_unescape('tok')} WHEN 'comment' THEN {comment} END END"
     rows = (
         _with_extents(tokens, key)
         .selectExpr("*", f"{STARTS} AS element")
