@@ -171,9 +171,27 @@ def rendered_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(site().alias("site")).distinct()
 
 
-def rendered_fetches(spark: SparkSession, sf_dir: str, with_pages: bool = True) -> DataFrame:
+def rendered_fetches(
+    spark: SparkSession, sf_dir: str, with_pages: bool = True, with_docs: bool = True, with_hidden: bool = True
+) -> DataFrame:
     """An archive: discovery documents of every site, and a page for every part."""
     parts = site_parts(spark, sf_dir)
+    sets = []
+    if with_docs:
+        sets.append(_documents(parts))
+    if with_pages:
+        sets.extend(_page_responses(parts, with_hidden))
+    rows = sets[0]
+    for more in sets[1:]:
+        rows = rows.unionByName(more)
+    return rows.select(
+        "site", "url", "attempt", F.lit(None).cast("timestamp").alias("fetched_at"), "status", "body",
+        F.lit(None).cast("string").alias("error"), "via",
+    )
+
+
+def _documents(parts: DataFrame) -> DataFrame:
+    """robots, sitemaps, API lists, home pages, categories and hubs."""
     of = lambda kind: parts.filter(F.col("kind") == kind)
     link = F.col("url")
     urlset = lambda c: _texts('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', c, "</urlset>")
@@ -222,18 +240,28 @@ def rendered_fetches(spark: SparkSession, sf_dir: str, with_pages: bool = True)
     found = docs[0]
     for more in docs[1:]:
         found = found.unionByName(more)
-    rows = found.withColumns({"status": F.lit(200), "via": F.lit("http"), "attempt": F.lit(0)})
-    if with_pages:
-        template = page_template()
-        body = parts.withColumn("template", template)
-        html = page_html(F.col("template"))
-        first = F.when(F.col("p_partkey") % 10 == 9, 429).otherwise(200)
-        pages = body.select("site", "url", html.alias("body"), first.alias("status"), F.lit("http").alias("via"), F.lit(0).alias("attempt"))
-        again = body.filter("p_partkey % 10 = 9").select("site", "url", html.alias("body"), F.lit(200).alias("status"), F.lit("http").alias("via"), F.lit(1).alias("attempt"))
-        drawn = body.filter("template = 'shell'").select("site", "url", structure_page().alias("body"), F.lit(200).alias("status"), F.lit("render").alias("via"), F.lit(0).alias("attempt"))
-        hidden = body.filter("template = 'listing'").select("site", _texts(F.col("site"), "/products/hidden-", F.col("p_partkey").cast("string")).alias("url"), jsonld_page().alias("body"), F.lit(200).alias("status"), F.lit("http").alias("via"), F.lit(0).alias("attempt"))
-        for more in (pages, again, drawn, hidden):
-            rows = rows.unionByName(more)
+    return _responses(found)
+
+
+def _responses(rows: DataFrame, via: str = "http", attempt: int = 0, status: Column | None = None) -> DataFrame:
     return rows.select(
-        "site", "url", "attempt", F.lit(None).cast("timestamp").alias("fetched_at"), "status", "body", F.lit(None).cast("string").alias("error"), "via"
-    )
+        "site", "url", "body", (F.lit(200) if status is None else status).alias("status"), F.lit(via).alias("via"),
+        F.lit(attempt).alias("attempt"),
+    )
+
+
+def _page_responses(parts: DataFrame, with_hidden: bool) -> list[DataFrame]:
+    """Pages of all parts: one in ten is first turned away, script shells were also drawn by a browser."""
+    pages = parts.withColumn("template", page_template())
+    pages = pages.withColumn("body", page_html(F.col("template")))
+    turned_away = F.when(F.col("p_partkey") % 10 == 9, 429).otherwise(200)
+    out = [
+        _responses(pages, status=turned_away),
+        _responses(pages.filter("p_partkey % 10 = 9"), attempt=1),
+        _responses(pages.filter("template = 'shell'").withColumn("body", structure_page()), via="render"),
+    ]
+    if with_hidden:
+        hidden = _texts(F.col("site"), "/products/hidden-", F.col("p_partkey").cast("string"))
+        listed = pages.filter("template = 'listing'").withColumn("url", hidden).withColumn("body", jsonld_page())
+        out.append(_responses(listed))
+    return out
