@@ -21,7 +21,7 @@ from shelfscan.functions.sql import each, extract_all
 from shelfscan.operators import catalogue as C
 from shelfscan.operators import classify, discovery as D, extract as X, html as H, jsonld as J, screen
 from shelfscan.plans.catalogue import CatalogueRun, read_catalogues_of
-from shelfscan.session import shared_folder
+from shelfscan.session import shared_folder, stage
 from shelfscan.sources.catalogues import catalogue_filename, catalogue_lines
 from shelfscan.sources.fetches import fetches_of_pages, parse_api_pages, read_pages, url_list_source
 from shelfscan.sources.sites import clean_sites
@@ -430,7 +430,8 @@ def price_label(spark, sf_dir):
 
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Screened discovery documents of all rendered sites."""
-    return screen.screen_responses(screen.resolve_attempts(R.rendered_fetches(spark, sf_dir, with_pages=False)))
+    fetches = R.rendered_fetches(spark, sf_dir, with_pages=False)
+    return stage(screen.screen_responses(screen.resolve_attempts(fetches)), "archive", partition_by=("role",))
 
 
 @query(f"SELECT DISTINCT {SITE} AS site, {SITE} || '/maps/all.xml' AS url FROM part WHERE CAST(split_part(p_brand, '#', 2) AS INT) % 5 = 1")

@@ -15,7 +15,7 @@ from shelfscan.functions import urls as U
 from shelfscan.functions.sql import extract, extract_all, lit, matches, replaced, when
 from shelfscan.operators.groups import attach, first_per_group, first_seen, page_runs
 from shelfscan.session import stage
-from shelfscan.sources.fetches import parse_api_pages
+from shelfscan.sources.fetches import api_call, parse_api_pages
 from shelfscan.sources.sitemaps import parse_sitemaps, robots_sitemaps
 
 # Sorts after every real position.
@@ -141,7 +141,7 @@ def visit_budget(docs: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
 
 def sitemap_urls(sites: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
     """(site, url, kind, pos): page URLs of all sitemaps, product feeds apart, at most ``n`` of a kind."""
-    documents = parse_sitemaps(responses)
+    documents = stage(parse_sitemaps(responses), "sitemaps")
     walk = expand_sitemaps(sitemap_entry_points(sites, responses), documents)
     feeds = walk.filter(U.is_product_feed("url"))
     docs = feed_documents(documents)
@@ -173,24 +173,13 @@ def sitemap_urls(sites: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS
 # -- REST product lists ------------------------------------------------------
 
 
-def _api_call() -> str:
-    """Rank of the endpoint and page number of an API URL, as a struct."""
-    whens = []
-    for rank, (prefix, _) in enumerate(rules.API_ENDPOINTS):
-        rest = f"substr(url, length(site) + {len(prefix) + 1})"
-        whens.append(
-            f"WHEN startswith(url, concat(site, {lit(prefix)})) AND {matches(rest, r'^[1-9][0-9]*\z')} "
-            f"THEN named_struct('rank', {rank}, 'page', try_cast({rest} AS BIGINT))"
-        )
-    return f"CASE {' '.join(whens)} END"
-
-
 def api_page_run(responses: DataFrame) -> DataFrame:
     """(site, rank, page, links): API pages from 1 on, until one fails, is empty or short."""
-    calls = responses.filter("status = 200").selectExpr("*", f"{_api_call()} AS c").filter("c IS NOT NULL")
+    calls = responses.filter("status = 200").selectExpr("*", f"{api_call()} AS c").filter("c IS NOT NULL")
     pages = parse_api_pages(calls).filter("size(items) > 0").selectExpr(
         "site", "c.rank AS rank", "c.page AS page", "CAST(size(items) AS BIGINT) AS n", "links"
     )
+    pages = stage(pages, "api-pages")
     keys = ["site", "rank"]
     narrow = pages.select(*keys, "page", "n")
     runs = page_runs(narrow, keys, last=F.col("n") < rules.API_PAGE_SIZE)
@@ -251,7 +240,7 @@ def category_product_urls(categories: DataFrame, screened: DataFrame, n: int = r
         "site", "category", "page", f"posexplode({extract_all('html', rules.CATEGORY_PRODUCT_HREF, 1)}) AS (i, href)"
     ).selectExpr("site", "category", "page", "i", f"{U.url_join('site', 'href')} AS url")
     first = links.groupBy("site", "category", "url").agg(F.min(F.struct("page", "i")).alias("at"))
-    first = first.selectExpr("site", "category", "url", "at.page AS page", "at.i AS i")
+    first = stage(first.selectExpr("site", "category", "url", "at.page AS page", "at.i AS i"), "category-links")
     keys = ["site", "category"]
     fresh = first.groupBy(*keys, "page").agg(F.count("*").alias("n"))
     runs = page_runs(fresh, keys)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfscan import rules
 from shelfscan.functions import markup as M
-from shelfscan.functions.sql import when
+from shelfscan.functions.sql import lit, when
+from shelfscan.sources.fetches import api_call
+from shelfscan.sources.sitemaps import SITEMAP_MARKS
 
 
 def resolve_attempts(fetches: DataFrame) -> DataFrame:
@@ -49,12 +51,24 @@ def effective_html(route: str = "route", body: str = "body", rendered: str = "re
     return f"CASE {route} WHEN 'accept' THEN {body} WHEN 'needs_render' THEN {rendered} END"
 
 
+def response_role() -> str:
+    """What a response may be read for, so that a stored archive can be split by it.
+
+    Each discovery step then reads its own small part instead of all bodies.
+    """
+    xml = " OR ".join(f"contains(body, {lit(mark)})" for mark in SITEMAP_MARKS)
+    return (
+        "CASE WHEN url = concat(site, '/robots.txt') THEN 'robots' WHEN url = concat(site, '/') THEN 'home' "
+        f"WHEN {api_call()} IS NOT NULL THEN 'api' WHEN status = 200 AND ({xml}) THEN 'sitemap' ELSE 'page' END"
+    )
+
+
 def screen_responses(responses: DataFrame) -> DataFrame:
-    """Adds route, reason and html (NULL where nothing can be read)."""
+    """Adds route, reason, html (NULL where nothing can be read) and role."""
     return (
         responses.selectExpr("*", f"{route_reason()} AS reason")
         .selectExpr("*", f"{route_of()} AS route")
-        .selectExpr("*", f"{effective_html()} AS html")
+        .selectExpr("*", f"{effective_html()} AS html", f"{response_role()} AS role")
     )
 
 

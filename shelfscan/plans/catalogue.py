@@ -41,11 +41,12 @@ def discover_urls(
     sites: DataFrame, screened: DataFrame, max_pages: int = rules.MAX_URLS, url_lists: DataFrame | None = None
 ) -> DataFrame:
     """(site, url, kind, source, pos) by the first rung of the ladder that gives any URL."""
-    api = D.api_product_urls(screened, max_pages)
-    sitemaps = D.sitemap_urls(sites, screened, max_pages).selectExpr("*", "'sitemap' AS source")
-    categories = D.category_links(D.home_pages(screened).filter("html IS NOT NULL"))
+    api = D.api_product_urls(screened.filter("role = 'api'"), max_pages)
+    sitemaps = D.sitemap_urls(sites, screened.filter("role IN ('robots', 'sitemap')"), max_pages).selectExpr("*", "'sitemap' AS source")
+    homes = screened.filter("role = 'home'")
+    categories = D.category_links(homes.filter("html IS NOT NULL"))
     shop = D.category_product_urls(categories, screened, max_pages).selectExpr("*", "'categories' AS source")
-    links = D.nav_expand(D.home_links(screened, max_pages), screened, max_pages).selectExpr(
+    links = D.nav_expand(D.home_links(homes, max_pages), screened, max_pages).selectExpr(
         "*", "'general' AS kind", "'links' AS source"
     )
     rungs = [api, sitemaps, shop, links]
@@ -59,13 +60,13 @@ def wanted_urls(sites: DataFrame, screened: DataFrame, candidates: DataFrame) ->
     """(site, url, wanted_by): what the reader would fetch at this point."""
     home = sites.selectExpr("site", "concat(site, '/') AS url", "'home' AS wanted_by")
     robots = sites.selectExpr("site", "concat(site, '/robots.txt') AS url", "'robots' AS wanted_by")
-    maps = D.sitemap_entry_points(sites, screened).selectExpr("site", "url", "'sitemap' AS wanted_by")
-    children = D.parse_sitemaps(screened).selectExpr("site", "explode(children) AS url", "'sitemap' AS wanted_by")
+    maps = D.sitemap_entry_points(sites, screened.filter("role = 'robots'")).selectExpr("site", "url", "'sitemap' AS wanted_by")
+    children = D.parse_sitemaps(screened.filter("role = 'sitemap'")).selectExpr("site", "explode(children) AS url", "'sitemap' AS wanted_by")
     first_pages = ", ".join(f"'{prefix}1'" for prefix, _ in rules.API_ENDPOINTS)
     api = sites.selectExpr("site", f"explode(array({first_pages})) AS path").selectExpr(
         "site", "concat(site, path) AS url", "'api' AS wanted_by"
     )
-    categories = D.category_links(D.home_pages(screened).filter("html IS NOT NULL")).selectExpr(
+    categories = D.category_links(screened.filter("role = 'home' AND html IS NOT NULL")).selectExpr(
         "site", "url", "'category' AS wanted_by"
     )
     pages = candidates.selectExpr("site", "url", "if(hop = 0, 'candidate', 'embedded') AS wanted_by")
@@ -88,7 +89,7 @@ def read_catalogues_of(
     The screened responses and the chosen candidates are staged as tables, as several
     later steps read them.
     """
-    screened = stage(screen_responses(resolve_attempts(fetches)), "screened")
+    screened = stage(screen_responses(resolve_attempts(fetches)), "screened", partition_by=("role",))
     urls = stage(discover_urls(sites, screened, max_pages, url_lists), "urls")
     first = stage(D.dedupe_candidates(D.select_candidates(urls)), "candidates")
     routes = page_routes(first, screened)

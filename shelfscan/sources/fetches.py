@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscan import schemas
+from shelfscan import rules, schemas
 from shelfscan.functions import variants as V
-from shelfscan.functions.sql import each, let, only, when
+from shelfscan.functions.sql import each, let, lit, matches, only, when
 from shelfscan.functions.urls import normalise_site
 from shelfscan.session import fill_cores, prepare
 
@@ -55,6 +55,18 @@ def json_body(status: str = "status", body: str = "body") -> str:
     return when(f"{status} = 200", f"try_parse_json({body})")
 
 
+def api_call() -> str:
+    """Rank of the endpoint and page number of an API URL, as a struct."""
+    whens = []
+    for rank, (prefix, _) in enumerate(rules.API_ENDPOINTS):
+        rest = f"substr(url, length(site) + {len(prefix) + 1})"
+        whens.append(
+            f"WHEN startswith(url, concat(site, {lit(prefix)})) AND {matches(rest, r'^[1-9][0-9]*\z')} "
+            f"THEN named_struct('rank', {rank}, 'page', try_cast({rest} AS BIGINT))"
+        )
+    return f"CASE {' '.join(whens)} END"
+
+
 def api_item_link(item: str) -> str:
     """``permalink``, ``url`` or ``link`` of an API item: the first truthy one, if it is text."""
     value = V.first_truthy(item, "permalink", "url", "link")

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.functions.scalars import py_strip
-from shelfscan.functions.sql import each, only
+from shelfscan.functions.sql import each, lit, only
 from shelfscan.operators.groups import first_seen
 
 SITEMAP_XML = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>"
 
+SITEMAP_MARKS = ["<urlset", "<sitemapindex", ":urlset", ":sitemapindex"]
+
 
 def robots_sitemaps(responses: DataFrame) -> DataFrame:
     """(site, url, pos): sitemaps that robots.txt names, once each, in order."""
@@ -30,9 +32,9 @@ def parse_sitemaps(responses: DataFrame) -> DataFrame:
         trimmed = each(f"{items}.loc", py_strip)
         return f"coalesce({only(trimmed, lambda x: f"{x} <> ''")}, array())"
 
-    looks_xml = F.expr("status = 200 AND (contains(body, '<urlset') OR contains(body, '<sitemapindex') OR contains(body, ':urlset') OR contains(body, ':sitemapindex'))")
+    looks_xml = " OR ".join(f"contains(body, {lit(mark)})" for mark in SITEMAP_MARKS)
     return (
-        responses.filter(looks_xml)
+        responses.filter(f"status = 200 AND ({looks_xml})")
         .select("site", "url", F.from_xml("body", SITEMAP_XML).alias("x"))
         .selectExpr("site", "url", f"{texts('x.sitemap')} AS children", f"{texts('x.url')} AS locs")
     )
