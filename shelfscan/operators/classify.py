@@ -73,3 +73,12 @@ def page_signals(pages: DataFrame, html: str = "html", ld_known: str | None = No
 
 def classify_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     return page_signals(pages, html).select(key, "is_product", "rule")
+
+
+def rows_where(df: DataFrame, cond: str, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows that hold ``cond``.
+
+    One generated row per kept row. A plain filter would be pushed below the signals and
+    make Spark work them out once for the filter and once for the result.
+    """
+    return df.selectExpr(f"inline({when(cond, f'array(struct({', '.join(columns)}))')})")

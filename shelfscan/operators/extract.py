@@ -9,7 +9,7 @@ from shelfscan import rules
 from shelfscan.functions import scalars as S
 from shelfscan.functions.sql import coalesce, each, extract, first, in_list, let, lit, matches, only, replaced, struct, when
 from shelfscan.operators import html as H
-from shelfscan.operators.classify import page_signals
+from shelfscan.operators.classify import page_signals, rows_where
 from shelfscan.operators.html import FAR, slice_to, span_text
 from shelfscan.session import spread
 from shelfscan.operators.jsonld import (
@@ -239,8 +239,7 @@ def extract_products(
     fields = [*keep, f"{url} AS url", "ld_item", f"if(ld_item IS NULL, {html}, NULL) AS html"]
     if url in keep:
         fields.remove(f"{url} AS url")
-    # One generated row per product page: a filter that does not make Spark read the signals twice.
-    found = screened.selectExpr(f"inline({when(is_product, f'array(struct({", ".join(fields)}))')})")
+    found = rows_where(screened, is_product, fields)
     identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*keep, "url"])
     keyed = found.selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
     carried = tuple(dict.fromkeys([*keep, "url", "ld_item"]))

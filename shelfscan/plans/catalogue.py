@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from shelfscan import rules
 from shelfscan.operators import catalogue as C
 from shelfscan.operators import discovery as D
-from shelfscan.operators.classify import page_signals
+from shelfscan.operators.classify import page_signals, rows_where
 from shelfscan.operators.extract import drop_nameless, extract_products
 from shelfscan.operators.jsonld import ld_first_product
 from shelfscan.operators.screen import page_routes, resolve_attempts, screen_responses
@@ -99,7 +99,7 @@ def read_catalogues_of(
     signals = page_signals(
         readable.selectExpr("*", f"{ld_first_product('html')} AS ld_item"), ld_known="(ld_item IS NOT NULL)"
     )
-    others = signals.filter("NOT is_product").select("site", "url", "pos", "html")
+    others = rows_where(signals, "NOT is_product", ["site", "url", "pos", "html"])
     second = stage(D.second_hop(others, first), "second-hop")
     more_routes = page_routes(second, screened)
 
