@@ -292,13 +292,17 @@ def nav_expand(seeds: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS)
 
 
 def discovery_ladder(*sources: DataFrame) -> DataFrame:
-    """Of several (site, url, kind, source, pos) sources, best first, the first that has any URL for a site."""
+    """Of several (site, url, kind, source, pos) sources, best first, the first that has any URL for a site.
+
+    Every source holds at most the capped number of URLs per site and kind, so a site's
+    rows are bounded and one window decides without reading the sources twice.
+    """
     ranked = [s.selectExpr("site", "url", "kind", "source", "pos", f"{i} AS rung") for i, s in enumerate(sources)]
     rows = ranked[0]
     for more in ranked[1:]:
         rows = rows.unionByName(more)
-    best = rows.groupBy("site").agg(F.min("rung").alias("rung"))
-    return attach(rows, best, ["site", "rung"], ["url", "pos"]).drop("rung")
+    best = F.min("rung").over(Window.partitionBy("site"))
+    return rows.withColumn("best", best).filter("rung = best").drop("rung", "best")
 
 
 def select_candidates(urls: DataFrame) -> DataFrame:
