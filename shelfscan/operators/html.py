@@ -98,36 +98,45 @@ def _with_events(tokens: DataFrame, key: str) -> DataFrame:
     upto = f"OVER (PARTITION BY {key}, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     level = f"CAST(sum({step}) {upto} + if(kind = 'close', 1, 0) AS INT)"
 
-    def event(cond: str, family: str, depth: str, starts: str) -> str:
-        made = f"named_struct('family', {family}, 'depth', {depth}, 'starts', {starts})"
-        return when(cond, made)
-
+    def families(*names: str) -> str:
+        return f"array({', '.join(lit(n) for n in names)})"
+
+    played = (
+        "CASE WHEN kind NOT IN ('open', 'close') THEN NULL "
+        f"WHEN NOT {in_list('tag', BLOCK_TAGS)} THEN {families('=')} "
+        f"WHEN tag = 'p' THEN {families('para')} "
+        f"WHEN tag = 'li' THEN {families('list', 'para')} "
+        f"WHEN tag IN ('dt', 'dd') THEN {families('dl', 'para')} "
+        f"WHEN tag IN ('td', 'th') THEN {families('cell', 'para')} "
+        f"WHEN tag = 'tr' THEN {families('row', 'cell', 'para')} "
+        f"WHEN {in_list('tag', ROW_GROUPS)} THEN {families('=', 'row', 'cell', 'para')} "
+        f"WHEN kind = 'close' AND {in_list('tag', LIST_BOXES)} THEN {families('=', 'list', 'para')} "
+        f"WHEN kind = 'close' AND tag = 'dl' THEN {families('=', 'dl', 'para')} "
+        f"WHEN kind = 'close' AND tag = 'table' THEN {families('=', 'row', 'cell', 'para')} "
+        f"ELSE {families('=', 'para')} END"
+    )
     # A container's own close tag counts at the depth inside the container.
-    list_close = f"(kind = 'close' AND {in_list('tag', LIST_BOXES)})"
-    dl_close, table_close = "(kind = 'close' AND tag = 'dl')", "(kind = 'close' AND tag = 'table')"
-    row_tag = in_list("tag", ["tr", *ROW_GROUPS])
-    events = [
-        event("tag NOT IN ('li', 'tr', 'p', 'td', 'th', 'dt', 'dd')", "concat('=', tag)", "lvl", "kind = 'open'"),
-        event(f"tag = 'li' OR {list_close}", "'list'", f"d_list + int({list_close})", "kind = 'open' AND tag = 'li'"),
-        event(
-            f"tag IN ('dt', 'dd') OR {dl_close}", "'dl'", f"d_dl + int({dl_close})",
-            "kind = 'open' AND tag IN ('dt', 'dd')",
-        ),
-        event(
-            f"tag IN ('td', 'th') OR {row_tag} OR {table_close}", "'cell'", f"d_table + int({table_close})",
-            "kind = 'open' AND tag IN ('td', 'th')",
-        ),
-        event(f"{row_tag} OR {table_close}", "'row'", f"d_table + int({table_close})", "kind = 'open' AND tag = 'tr'"),
-        event(in_list("tag", BLOCK_TAGS), "'para'", "0", "kind = 'open' AND tag = 'p'"),
-    ]
-    played = when("kind IN ('open', 'close')", f"filter(array({', '.join(events)}), e -> e IS NOT NULL)")
-    return tokens.selectExpr("*", f"{level} AS lvl").selectExpr("*", f"inline_outer({played})")
+    depth = (
+        f"CASE family WHEN '=' THEN lvl WHEN 'list' THEN d_list + int(kind = 'close' AND {in_list('tag', LIST_BOXES)}) "
+        "WHEN 'dl' THEN d_dl + int(kind = 'close' AND tag = 'dl') WHEN 'para' THEN 0 "
+        "ELSE d_table + int(kind = 'close' AND tag = 'table') END"
+    )
+    starts = (
+        "kind = 'open' AND CASE family WHEN '=' THEN true WHEN 'list' THEN tag = 'li' WHEN 'dl' THEN tag IN ('dt', 'dd') "
+        "WHEN 'cell' THEN tag IN ('td', 'th') WHEN 'row' THEN tag = 'tr' ELSE tag = 'p' END"
+    )
+    return (
+        tokens.selectExpr("*", f"{level} AS lvl", f"{played} AS families")
+        .selectExpr("*", "explode_outer(families) AS family")
+        .selectExpr("*", f"{depth} AS depth", f"{starts} AS starts")
+        .drop("families", "d_list", "d_dl", "d_table", "d_template")
+    )
 
 
 def _with_extents(tokens: DataFrame, key: str) -> DataFrame:
     """Adds where each element ends and the running counts at its start and end."""
     here = "struct(pos, k_text, k_cell, k_dt, k_dd)"
-    following = f"lead({here}) OVER (PARTITION BY {key}, family, depth ORDER BY pos)"
+    following = f"lead({here}) OVER (PARTITION BY {key}, family, if(family = '=', tag, NULL), depth ORDER BY pos)"
     nxt = f"CASE WHEN kind IN ('void', 'raw') THEN {here} WHEN starts THEN {following} END"
     return (
         _with_events(_with_counts(tokens, key), key)
