@@ -108,10 +108,9 @@ def paged_feed_runs(feeds: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
         docs.filter("template IS NOT NULL").select("site", "template", "page", "n", "url"), ["site", "template"]
     )
     totals = pages.filter("page = stop").selectExpr("site", "template", "stop", "before + n AS total")
-    numbered = (
-        feeds.join(pages.select("site", "url", "template", "stop", "before"), ["site", "url"])
-        .join(totals, ["site", "template", "stop"])
-        .selectExpr("site", "url", "template", "stop", "before AS before0", "total - before AS n")
+    starts = feeds.join(pages.select("site", "url", "template", "stop", "before"), ["site", "url"])
+    numbered = attach(starts, totals, ["site", "template", "stop"], ["url"]).selectExpr(
+        "site", "url", "template", "stop", "before AS before0", "total - before AS n"
     )
     single = feeds.join(docs.filter("template IS NULL").select("site", "url", "n"), ["site", "url"]).selectExpr(
         "site", "url", "CAST(NULL AS STRING) AS template", "CAST(NULL AS BIGINT) AS stop", "0L AS before0", "n"
@@ -155,10 +154,9 @@ def sitemap_urls(sites: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS
     )
     run = visited.join(runs, ["site", "url"])
     # Of a run only the pages that can still hold one of the first n URLs are read.
+    starts = run.filter("template IS NOT NULL").select("site", "template", "stop", "before0", "pos0")
     paged = (
-        run.filter("template IS NOT NULL")
-        .select("site", "template", "stop", "before0", "pos0")
-        .join(pages.select("site", "template", "stop", "page", "before"), ["site", "template", "stop"])
+        attach(pages.select("site", "template", "stop", "page", "before"), starts, ["site", "template", "stop"], ["page"])
         .filter(f"before >= before0 AND before - before0 < {n}")
         .join(docs.select("site", "template", "page", "locs"), ["site", "template", "page"])
         .selectExpr("site", "'product' AS kind", "pos0 + before - before0 AS pos0", "posexplode(locs) AS (i, loc)")
@@ -235,7 +233,7 @@ def category_product_urls(categories: DataFrame, screened: DataFrame, n: int = r
         .selectExpr("site", f"{_category_page()} AS c", "html")
         .selectExpr("site", "c.category AS category", "c.page AS page", "html")
     )
-    wanted = pages.join(categories.selectExpr("site", "url AS category"), ["site", "category"])
+    wanted = attach(pages, categories.selectExpr("site", "url AS category"), ["site", "category"], ["page"])
     links = wanted.selectExpr(
         "site", "category", "page", f"posexplode({extract_all('html', rules.CATEGORY_PRODUCT_HREF, 1)}) AS (i, href)"
     ).selectExpr("site", "category", "page", "i", f"{U.url_join('site', 'href')} AS url")
