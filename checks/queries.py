@@ -388,7 +388,7 @@ PRICE_SHAPES = "CASE p_partkey % 5 WHEN 0 THEN '$' || {0} WHEN 1 THEN 'from ' ||
 
 @query(f"SELECT p_partkey, CASE WHEN p_partkey % 5 <> 3 THEN {PRICE} END AS price FROM part")
 def parse_price(spark, sf_dir):
-    raw = PRICE_SHAPES.format("format_string('%,.2f', p_retailprice)").replace("||", "||")
+    raw = PRICE_SHAPES.format("format_string('%,.2f', p_retailprice)")
     return R.table(spark, sf_dir, "part").selectExpr("p_partkey", f"{raw} AS raw").selectExpr("p_partkey", f"{S.parse_price('raw')} AS price")
 
 
@@ -502,7 +502,7 @@ def category_links(spark, sf_dir):
 
 # Categories are read in the order of their URLs, so category 10 comes before 2.
 @query(f"""WITH {PARTS} SELECT site, url, 'product' AS kind,
-row_number() OVER (PARTITION BY site ORDER BY CAST(rn // 40 AS VARCHAR) COLLATE C, rn) - 1 AS pos FROM parts WHERE kind = 3""".replace(" COLLATE C", ""))
+row_number() OVER (PARTITION BY site ORDER BY CAST(rn // 40 AS VARCHAR), rn) - 1 AS pos FROM parts WHERE kind = 3""")
 def category_product_urls(spark, sf_dir):
     found = archive(spark, sf_dir)
     return D.category_product_urls(D.category_links(D.home_pages(found)), found).select("site", "url", "kind", "pos")

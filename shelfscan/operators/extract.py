@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfscan import rules
 from shelfscan.functions import scalars as S
-from shelfscan.functions.sql import coalesce, each, extract, first, in_list, let, lit, matches, only, replaced, struct, when
+from shelfscan.functions.sql import coalesce, each, extract, first, let, lit, matches, only, replaced, struct, when
 from shelfscan.operators import html as H
 from shelfscan.operators.classify import page_signals, rows_where
 from shelfscan.operators.html import FAR, slice_to, span_text
-from shelfscan.session import spread
 from shelfscan.operators.jsonld import (
     NO_SPECS,
     NO_VARIANTS,
@@ -20,6 +19,7 @@ from shelfscan.operators.jsonld import (
     ld_product,
     product_struct,
 )
+from shelfscan.session import spread
 
 # -- reading a page tree -----------------------------------------------------
 
