@@ -91,15 +91,18 @@ FEATURES = f"""array(concat('kind=', s.kind),
     concat('right=', CASE WHEN s.right = '' THEN 'end' WHEN s.right rlike '[0-9]' THEN '0' WHEN s.right rlike '[A-Za-z]' THEN 'a' WHEN s.right = ' ' THEN ' ' ELSE '.' END))"""
 
 
+APART = "NOT exists({}, b -> b.start < w.end AND w.start < b.end)"
+
+
 def _candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` (never null), spans ``base`` and ``more``, the latter with what surrounds them."""
+    """``doc_id``, ``text`` (never null), spans ``base`` and ``more`` (not over a base span)."""
     found = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns({"base": F.expr(base_spans("text")), "more": F.expr(more_spans("text"))})
-    return found.withColumn("more", F.expr("if(size(more) = 0 OR size(base) = 0, more, filter(more, w -> NOT exists(base, b -> b.start < w.end AND w.start < b.end)))"))
+    return found.withColumn("more", F.expr(f"if(size(more) = 0 OR size(base) = 0, more, filter(more, w -> {APART.format('base')}))"))
 
 
-def _around(spans: str) -> str:
+def _around(spans: str, text: str = "text") -> str:
     """The spans with 40 code points before and one after each."""
-    return f"transform({spans}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found, 'left', substr(text, CAST(greatest(1, s.start - 39) AS int), CAST(least(40, s.start) AS int)), 'right', substr(text, CAST(s.end + 1 AS int), 1)))"
+    return f"transform({spans}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found, 'left', substr({text}, CAST(greatest(1, s.start - 39) AS int), CAST(least(40, s.start) AS int)), 'right', substr({text}, CAST(s.end + 1 AS int), 1)))"
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 40) -> tuple[dict[str, float], list[float]]:
@@ -152,14 +155,24 @@ def train(docs: DataFrame) -> dict[str, float]:
     return {"": math.log(total_yes / total_no), **weights}
 
 
+def _accepted(more: str, text: str, weights: dict[str, float]) -> str:
+    """Those of the further spans that the classifier takes for personal data."""
+    model = "map(" + ", ".join(f"{quoted(f)}, {x!r}D" for f, x in sorted(weights.items())) + ")"
+    score = f"aggregate({FEATURES}, {weights.get('', 0.0)!r}D, (a, f) -> a + coalesce(element_at({model}, f), 0D))"
+    kept = f"filter({_around(more, text)}, s -> {score} > 0 AND s.left NOT RLIKE '[A-Za-z0-9_/#=]$')"
+    return f"if(size({more}) = 0, {more}, transform({kept}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found)))"
+
+
+def spans_of(text: str, weights: dict[str, float]) -> str:
+    """SQL for all spans of a text column that may be null; row by row, for use beside other columns."""
+    whole = f"coalesce({text}, '')"
+    return f"concat({base_spans(whole)}, {_accepted(more_spans(whole), whole, weights)})"
+
+
 def pii_spans(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``text``, spans ``base`` and ``added`` (kind, start, end, found)."""
     w = train(docs) if weights is None else weights
-    model = "map(" + ", ".join(f"{quoted(f)}, {x!r}D" for f, x in sorted(w.items())) + ")"
-    score = f"aggregate({FEATURES}, {w.get('', 0.0)!r}D, (a, f) -> a + coalesce(element_at({model}, f), 0D))"
-    bare = "transform({}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found))"
-    kept = f"filter({_around('more')}, s -> {score} > 0 AND s.left NOT RLIKE '[A-Za-z0-9_/#=]$')"
-    return _candidates(docs).withColumn("added", F.expr(f"if(size(more) = 0, more, {bare.format(kept)})")).select("doc_id", "text", "base", "added")
+    return _candidates(docs).withColumn("added", F.expr(_accepted("more", "text", w))).select("doc_id", "text", "base", "added")
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
