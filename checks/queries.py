@@ -22,8 +22,9 @@ from shelfscan.operators import catalogue as C
 from shelfscan.operators import classify, discovery as D, extract as X, html as H, jsonld as J, screen
 from shelfscan.plans.catalogue import CatalogueRun, read_catalogues_of
 from shelfscan.session import shared_folder, stage
-from shelfscan.sources.catalogues import catalogue_filename, catalogue_lines
+from shelfscan.sources.catalogues import catalogue_filename, catalogue_lines, read_catalogues, write_catalogues, write_products
 from shelfscan.sources.fetches import fetches_of_pages, parse_api_pages, read_pages, url_list_source
+from shelfscan.sources.fetches import read_fetches as fetch_table
 from shelfscan.sources.sites import clean_sites
 from shelfscan.sources.sitemaps import parse_sitemaps, robots_sitemaps
 from shelfscan.streaming.products import stream_products
@@ -640,7 +641,7 @@ def discovery_status(spark, sf_dir):
 def part_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON-LD products of all parts, as catalogue rows."""
     made = X.extract_products(R.rendered_pages(spark, sf_dir, only="jsonld"), keep=("site", "page_id"))
-    return made.withColumn("pos", F.col("page_id")).withColumn("hop", F.lit(0))
+    return stage(made.withColumn("pos", F.col("page_id")).withColumn("hop", F.lit(0)), "part-products")
 
 
 def part_header(spark: SparkSession, sf_dir: str, products: DataFrame) -> DataFrame:
@@ -683,6 +684,44 @@ def catalogue_text(spark, sf_dir):
     )
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT {SITE} AS site, true AS complete, 'P-' || CAST(p_partkey AS VARCHAR) AS id, p_name AS name, {PRICE} AS price FROM part")
+def written_catalogues(spark, sf_dir):
+    """Documents written and read back, small enough that every site has several."""
+    products = part_products(spark, sf_dir)
+    folder = _folder(spark, "catalogues")
+    write_catalogues(part_header(spark, sf_dir, products), products, folder, per_document=7)
+    return read_catalogues(spark, folder).selectExpr("site", "complete", "explode(products) AS p").selectExpr("site", "complete", "p.id", "p.name", "p.price")
+
+
+@query(f"SELECT {SITE} AS site, 'P-' || CAST(p_partkey AS VARCHAR) AS id, p_name AS name, {PRICE} AS price FROM part")
+def written_products(spark, sf_dir):
+    folder = _folder(spark, "products")
+    write_products(part_products(spark, sf_dir), folder)
+    return spark.read.parquet(folder).select("site", "id", "name", "price")
+
+
+@query(f"SELECT {SITE_OF_PAGE} AS site, url, CAST(200 AS INT) AS status, md5(html) AS body_hash FROM pages")
+def stored_fetches(spark, sf_dir):
+    """A table of responses written and read back."""
+    folder = _folder(spark, "fetches")
+    fetches_of_pages(R.table(spark, sf_dir, "pages")).write.parquet(folder)
+    return fetch_table(spark, folder).selectExpr("site", "url", "status", "md5(CAST(body AS BINARY)) AS body_hash")
+
+
+@query(f"""SELECT {SITE} AS site, CAST((row_number() OVER (PARTITION BY {SITE} ORDER BY p_partkey) - 1) // 7 AS INT) AS part, 'P-' || CAST(p_partkey AS VARCHAR) AS id FROM part""")
+def parts_in_order(spark, sf_dir):
+    """Large sites are cut into parts by position."""
+    products = part_products(spark, sf_dir)
+    made = C.assemble_catalogues(part_header(spark, sf_dir, products), products, per_row=7)
+    return made.selectExpr("site", "part", "explode(products.id) AS id")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS site FROM customer WHERE coalesce((SELECT arg_max(o_orderstatus = 'F', o_orderkey) FROM orders WHERE o_custkey = c_custkey), false) = false")
 def sites_to_retry(spark, sf_dir):
     """Customers as sites, orders as reads of them: whose last read is missing or not complete."""
@@ -710,11 +749,10 @@ def crawl_counters(spark, sf_dir):
 ))
 def stream_catalogue(spark, sf_dir):
     """Parts arrive as a stream, are rendered as responses and leave as products."""
-    import tempfile
     import uuid
 
     R.prepare(spark)
-    folder = f"{shared_folder(spark) or tempfile.mkdtemp(prefix='run-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/part*.parquet")
     fetches = arriving.select(

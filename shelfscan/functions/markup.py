@@ -25,7 +25,7 @@ COMMENT_OR_SCRIPT = f"(?is){_COMMENT}|{_SCRIPT}"
 
 NODE_BREAK = "\u0001"
 
-_ENTITIES = json.dumps({name: chr(cp) for name, cp in name2codepoint.items()})
+_ENTITIES = json.dumps({"apos": "'"} | {name: chr(cp) for name, cp in name2codepoint.items()})
 
 _ATTR_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+)"""
 
@@ -63,8 +63,8 @@ def html_unescape(s: str) -> str:
 
     def decode(piece: str) -> str:
         name = extract(piece, "^&(#?[0-9a-zA-Z]++);?")
-        decimal = f"try_cast({extract(piece, '^&#([0-9]{1,7});?$')} AS BIGINT)"
-        hexadecimal = f"try_cast(conv(nullif({extract(piece, '^&#[xX]([0-9a-fA-F]{1,6});?$')}, ''), 16, 10) AS BIGINT)"
+        decimal = f"try_cast({extract(piece, '^&#0*([0-9]{1,7});?$')} AS BIGINT)"
+        hexadecimal = f"try_cast(conv(nullif({extract(piece, '^&#[xX]0*([0-9a-fA-F]{1,6});?$')}, ''), 16, 10) AS BIGINT)"
         return (
             f"CASE WHEN NOT startswith({piece}, '&') THEN {piece} "
             f"WHEN startswith({piece}, '&#') THEN {let(f'coalesce({decimal}, {hexadecimal}, 0)', char)} "

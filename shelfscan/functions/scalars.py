@@ -43,10 +43,22 @@ def currency_of(text: str) -> str:
     return f"CASE {whens} END"
 
 
+def plain_number(p: str) -> str:
+    """A number's shortest text; an exponent only below 0.0001 and from 1e16 on."""
+    fixed = f"regexp_replace(regexp_replace(CAST(CAST({p} AS DECIMAL(38, 21)) AS STRING), '0+$', ''), '[.]$', '.0')"
+    text = f"CAST({p} AS STRING)"
+    power = f"CAST(regexp_extract({text}, 'E(-?[0-9]+)$', 1) AS INT)"
+    scientific = (
+        f"concat(regexp_replace(split_part({text}, 'E', 1), '[.]0$', ''), 'e', if({power} < 0, '-', '+'), "
+        f"lpad(abs({power}), greatest(2, length(abs({power}))), '0'))"
+    )
+    return f"if(abs({p}) >= 0.0001 AND abs({p}) < 1e16, {fixed}, {scientific})"
+
+
 def price_label(price: str) -> str:
     return let(
         price,
-        lambda p: when(f"{p} IS NULL OR {p} = 0", "'price on request'", f"concat('$', CAST({p} AS STRING))"),
+        lambda p: when(f"{p} IS NULL OR {p} = 0", "'price on request'", f"concat('$', {plain_number(f'CAST({p} AS DOUBLE)')})"),
     )
 
 

@@ -11,26 +11,30 @@ from shelfscan import rules, schemas
 from shelfscan.functions.scalars import price_label
 from shelfscan.functions.sql import lit
 from shelfscan.functions.urls import looks_like_product_url
-from shelfscan.operators.groups import attach, first_per_group
+from shelfscan.operators.groups import attach, first_per_group, numbered
 
 PRODUCTS_PER_ROW = 5_000
 
 
-def read_header(sites: DataFrame, urls: DataFrame, products: DataFrame, read_at: datetime, status_lost: bool = False) -> DataFrame:
-    """(site, readAt, complete, incompleteReason, discoveryStatus, n_products) per site.
+def read_header(sites: DataFrame, urls: DataFrame, products: DataFrame, read_at: datetime, status_lost: bool = False, dropped: DataFrame | None = None) -> DataFrame:
+    """(site, readAt, complete, incompleteReason, discoveryStatus, n_products, n_dropped) per site.
 
+    ``dropped`` has the URLs (site, n_dropped) that a limit left out.
     ``status_lost`` writes 'complete' for every site, as readers that drop the status do.
     """
     n_urls = urls.groupBy("site").agg(F.count("*").alias("n_urls"))
     n_products = products.groupBy("site").agg(F.count("*").alias("n_products"))
     counted = sites.join(n_urls, "site", "left").join(n_products, "site", "left")
+    counted = counted.withColumn("n_dropped", F.lit(0).cast("bigint")) if dropped is None else counted.join(dropped, "site", "left")
     status = (
-        "CASE WHEN coalesce(n_products, 0) > 0 THEN 'complete' "
+        "CASE WHEN coalesce(n_products, 0) > 0 AND coalesce(n_dropped, 0) > 0 THEN 'partial' "
+        "WHEN coalesce(n_products, 0) > 0 THEN 'complete' "
         "WHEN coalesce(n_urls, 0) = 0 THEN 'no_sitemap' ELSE 'extractor_failure' END"
     )
     reason = (
         f"CASE status WHEN 'no_sitemap' THEN {lit(rules.REASON_NO_URLS)} "
-        f"WHEN 'extractor_failure' THEN {lit(rules.REASON_NO_PRODUCTS)} END"
+        f"WHEN 'extractor_failure' THEN {lit(rules.REASON_NO_PRODUCTS)} "
+        "WHEN 'partial' THEN concat('URL limit: ', n_dropped, ' URLs were not read') END"
     )
     return counted.selectExpr("*", f"{status} AS status").selectExpr(
         "site",
@@ -39,22 +43,30 @@ def read_header(sites: DataFrame, urls: DataFrame, products: DataFrame, read_at:
         f"{reason} AS incompleteReason",
         "'complete' AS discoveryStatus" if status_lost else "status AS discoveryStatus",
         "coalesce(n_products, 0L) AS n_products",
+        "coalesce(n_dropped, 0L) AS n_dropped",
     )
 
 
+def place_products(header: DataFrame, products: DataFrame, per_part: int) -> DataFrame:
+    """Adds ``part`` to the products: the first ``per_part`` of a site in order (hop, pos, url), the next, ..."""
+    sizes = header.select("site", "n_products")
+    sized = attach(products, sizes, ["site"], ["url"])
+    small = sized.filter(f"n_products <= {per_part}").withColumn("part", F.lit(0))
+    large = numbered(sized.filter(f"n_products > {per_part}"), ["site"], "struct(hop, pos DIV 1024 AS pos)", ["hop", "pos", "url"], "_at")
+    large = large.withColumn("part", F.expr(f"CAST(_at DIV {per_part} AS INT)")).drop("_at")
+    return small.unionByName(large).drop("n_products")
+
+
 def assemble_catalogues(header: DataFrame, products: DataFrame, per_row: int = PRODUCTS_PER_ROW) -> DataFrame:
     """One row per site with its products in order (hop, pos, url).
 
     A site with more than ``per_row`` products is spread over several rows, numbered by
-    ``part`` of ``parts``, so that no row and no task has to hold an unbounded site.
+    ``part`` of ``parts`` in that order, so that no row has to hold an unbounded site.
     """
     parts = header.selectExpr("*", f"CAST(greatest(1, ceil(n_products / {per_row})) AS INT) AS parts")
     item = F.struct(F.struct("hop", "pos", "url").alias("at"), F.struct(*schemas.PRODUCT_COLUMNS).alias("product"))
-    placed = attach(products, parts.select("site", "parts"), ["site"], ["url"]).withColumn(
-        "part", F.expr("CAST(pmod(xxhash64(url, hop), parts) AS INT)")
-    )
     # The items hold maps, which do not sort; their order key comes first and decides.
-    nested = placed.groupBy("site", "part").agg(F.collect_list(item).alias("items"))
+    nested = place_products(header, products, per_row).groupBy("site", "part").agg(F.collect_list(item).alias("items"))
     ordered = "array_sort(items, (a, b) -> CASE WHEN a.at < b.at THEN -1 WHEN a.at > b.at THEN 1 ELSE 0 END)"
     rows = parts.withColumn("part", F.expr("explode(sequence(0, parts - 1))"))
     empty = f"CAST(array() AS ARRAY<{schemas.PRODUCT_STRUCT}>)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfscan import rules
 from shelfscan.functions import urls as U
 from shelfscan.functions.sql import extract, extract_all, lit, matches, replaced, when
-from shelfscan.operators.groups import attach, first_per_group, first_seen, page_runs
+from shelfscan.operators.groups import attach, first_per_group, first_seen, numbered, page_runs
 from shelfscan.session import stage
 from shelfscan.sources.fetches import api_call, parse_api_pages
 from shelfscan.sources.sitemaps import parse_sitemaps, robots_sitemaps
@@ -24,8 +24,8 @@ LAST = 9223372036854775807
 AFTER_ROBOTS = 1 << 40
 
 
-def cap_per_site(urls: DataFrame, n: int = rules.MAX_URLS, keys: tuple[str, ...] = ("site",)) -> DataFrame:
-    """The first ``n`` URLs of each site in discovery order."""
+def cap_per_site(urls: DataFrame, n: int | None = None, keys: tuple[str, ...] = ("site",)) -> DataFrame:
+    """The first ``n`` URLs of each site in discovery order; all where ``n`` is None."""
     return first_per_group(urls, list(keys), ["pos", "url"], n, ["url", "pos"])
 
 
@@ -76,13 +76,6 @@ def expand_sitemaps(entry_points: DataFrame, documents: DataFrame) -> DataFrame:
             return best.select("site", "url", "path")
 
 
-def _feed_page(url: str = "url") -> dict[str, str]:
-    return {
-        "template": replaced(url, r"([&?]page=)\d+", "$1{}"),
-        "page": f"try_cast({extract(url, rules.FEED_PAGE)} AS BIGINT)",
-    }
-
-
 def feed_documents(documents: DataFrame) -> DataFrame:
     """Product feed documents with URLs: (site, url, template, page, n, locs); no template where unnumbered."""
     template = replaced("url", r"([&?]page=)\d+", "$1{}")
@@ -118,12 +111,12 @@ def paged_feed_runs(feeds: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     return numbered.unionByName(single), pages
 
 
-def visit_budget(docs: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
+def visit_budget(docs: DataFrame, n: int | None = None) -> DataFrame:
     """Sitemaps read before ``n`` URLs were collected, with the position of their first URL.
 
     ``docs`` is (site, url, path, n). A document's own URLs come after those of its
-    children. Only documents with URLs use up the budget, so at most ``n`` of them per
-    site take part in the running sum.
+    children. The running sum has a row per sitemap document with URLs, not per URL; with
+    ``n`` at most that many of a site's take part.
     """
     filled = docs.filter("n > 0").selectExpr("*", f"array_append(path, {LAST}L) AS own")
     filled = first_per_group(filled, ["site"], ["own"], n, ["url"])
@@ -133,13 +126,13 @@ def visit_budget(docs: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
         moments.withColumn("collected", F.coalesce(F.sum("m.adds").over(so_far), F.lit(0)))
         .groupBy("site", "url")
         .agg(F.min("collected").alias("at_visit"), F.max("collected").alias("pos0"))
-        .filter(F.col("at_visit") < n)
+        .filter(F.lit(True) if n is None else F.col("at_visit") < n)
         .select("site", "url", "pos0")
     )
 
 
-def sitemap_urls(sites: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
-    """(site, url, kind, pos): page URLs of all sitemaps, product feeds apart, at most ``n`` of a kind."""
+def sitemap_urls(sites: DataFrame, responses: DataFrame, n: int | None = None) -> DataFrame:
+    """(site, url, kind, pos): page URLs of all sitemaps, product feeds apart; with ``n`` at most so many of a kind."""
     documents = stage(parse_sitemaps(responses), "sitemaps")
     walk = expand_sitemaps(sitemap_entry_points(sites, responses), documents)
     feeds = walk.filter(U.is_product_feed("url"))
@@ -157,7 +150,7 @@ def sitemap_urls(sites: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS
     starts = run.filter("template IS NOT NULL").select("site", "template", "stop", "before0", "pos0")
     paged = (
         attach(pages.select("site", "template", "stop", "page", "before"), starts, ["site", "template", "stop"], ["page"])
-        .filter(f"before >= before0 AND before - before0 < {n}")
+        .filter("before >= before0" + ("" if n is None else f" AND before - before0 < {n}"))
         .join(docs.select("site", "template", "page", "locs"), ["site", "template", "page"])
         .selectExpr("site", "'product' AS kind", "pos0 + before - before0 AS pos0", "posexplode(locs) AS (i, loc)")
     )
@@ -186,17 +179,15 @@ def api_page_run(responses: DataFrame) -> DataFrame:
     return pages.join(kept.select(*keys, "page"), [*keys, "page"]).select(*keys, "page", "links")
 
 
-def api_product_urls(responses: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
+def api_product_urls(responses: DataFrame, n: int | None = None) -> DataFrame:
     """(site, url, kind, source, pos): the links of the best endpoint that gives any."""
-    links = api_page_run(responses).selectExpr("site", "rank", "page", "posexplode(links) AS (i, url)")
-    cut = first_per_group(links, ["site"], ["rank", "page", "i"], n, ["url", "page", "i"])
-    per_site = Window.partitionBy("site")
+    links = stage(api_page_run(responses).selectExpr("site", "rank", "page", "posexplode(links) AS (i, url)"), "api-links")
+    best = links.groupBy("site").agg(F.min("rank").alias("best"))
+    chosen = attach(links, best, ["site"], ["url", "page", "i"]).filter("rank = best")
     names = "element_at(array(" + ", ".join(lit(name) for _, name in rules.API_ENDPOINTS) + "), rank + 1)"
-    return (
-        cut.withColumn("best", F.min("rank").over(per_site))
-        .filter("rank = best")
-        .withColumn("pos", F.row_number().over(per_site.orderBy("page", "i")).cast("bigint") - 1)
-        .selectExpr("site", "url", "'product' AS kind", f"{names} AS source", "pos")
+    placed = numbered(chosen, ["site"], "page", ["i"])
+    return placed.filter(F.lit(True) if n is None else F.col("pos") < n).selectExpr(
+        "site", "url", "'product' AS kind", f"{names} AS source", "pos"
     )
 
 
@@ -226,8 +217,11 @@ def _category_page() -> str:
     )
 
 
-def category_product_urls(categories: DataFrame, screened: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
-    """(site, url, kind, pos): product links of category pages 0, 1, ... while a page has a new one."""
+def category_pages(categories: DataFrame, screened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First places of the links of category pages, and the pages read: 0, 1, ... while a page has a new link.
+
+    (site, category, url, page, i) and (site, category, page, stop).
+    """
     pages = (
         screened.filter("html IS NOT NULL AND contains(url, '/c/')")
         .selectExpr("site", f"{_category_page()} AS c", "html")
@@ -243,14 +237,16 @@ def category_product_urls(categories: DataFrame, screened: DataFrame, n: int = r
     fresh = first.groupBy(*keys, "page").agg(F.count("*").alias("n"))
     runs = page_runs(fresh, keys)
     first_run = runs.filter("page = 0").select(*keys, "stop")
-    read = attach(runs.select(*keys, "page", "stop"), first_run, [*keys, "stop"], ["page"]).select(*keys, "page")
-    reached = first.join(read, [*keys, "page"])
+    return first, attach(runs.select(*keys, "page", "stop"), first_run, [*keys, "stop"], ["page"])
+
+
+def category_product_urls(categories: DataFrame, screened: DataFrame, n: int | None = None) -> DataFrame:
+    """(site, url, kind, pos): product links of category pages 0, 1, ... while a page has a new one."""
+    first, read = category_pages(categories, screened)
+    reached = first.join(read.select("site", "category", "page"), ["site", "category", "page"])
     unique = reached.groupBy("site", "url").agg(F.min(F.struct("category", "page", "i")).alias("at"))
-    cut = first_per_group(unique, ["site"], ["at"], n, ["url"])
-    order = Window.partitionBy("site").orderBy("at")
-    return cut.withColumn("pos", F.row_number().over(order).cast("bigint") - 1).selectExpr(
-        "site", "url", "'product' AS kind", "pos"
-    )
+    placed = numbered(unique, ["site"], "struct(at.category AS category, at.page AS page)", ["at"])
+    return placed.filter(F.lit(True) if n is None else F.col("pos") < n).selectExpr("site", "url", "'product' AS kind", "pos")
 
 
 # -- links of pages ----------------------------------------------------------
@@ -265,13 +261,13 @@ def page_links(pages: DataFrame, keys: tuple[str, ...] = ("site",), site: str =
     return first_seen(links.filter(U.same_site("url", U.host_of("base"))), [*keys, "url"], "i")
 
 
-def home_links(screened: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
+def home_links(screened: DataFrame, n: int | None = None) -> DataFrame:
     """(site, url, pos): links of the home page, as the browser saw it if that is archived."""
     homes = home_pages(screened).selectExpr("site", "coalesce(rendered, html) AS html").filter("html IS NOT NULL")
     return cap_per_site(page_links(homes), n)
 
 
-def nav_expand(seeds: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS) -> DataFrame:
+def nav_expand(seeds: DataFrame, responses: DataFrame, n: int | None = None) -> DataFrame:
     """(site, url, pos): the seeds, and where a site has few of them also the links of their pages."""
     per_site = seeds.groupBy("site").agg(F.count("*").alias("n_seeds"))
     few = per_site.filter(F.col("n_seeds") < rules.NAV_SEED_LIMIT).select("site")
@@ -281,9 +277,8 @@ def nav_expand(seeds: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS)
     links = page_links(bodies.select("site", "seed", "body"), ("site", "seed"), html="body")
     grown = ordered.unionByName(links.selectExpr("site", "url", "struct(1 AS hop, seed, pos AS i) AS at"))
     unique = grown.groupBy("site", "url").agg(F.min("at").alias("at"))
-    cut = first_per_group(unique, ["site"], ["at"], n, ["url"])
-    order = Window.partitionBy("site").orderBy("at")
-    return cut.withColumn("pos", F.row_number().over(order).cast("bigint") - 1).select("site", "url", "pos")
+    placed = numbered(unique, ["site"], "struct(at.hop AS hop, at.seed DIV 1024 AS seed)", ["at"])
+    return placed.filter(F.lit(True) if n is None else F.col("pos") < n).select("site", "url", "pos")
 
 
 # -- putting the sources together --------------------------------------------
@@ -292,15 +287,15 @@ def nav_expand(seeds: DataFrame, responses: DataFrame, n: int = rules.MAX_URLS)
 def discovery_ladder(*sources: DataFrame) -> DataFrame:
     """Of several (site, url, kind, source, pos) sources, best first, the first that has any URL for a site.
 
-    Every source holds at most the capped number of URLs per site and kind, so a site's
-    rows are bounded and one window decides without reading the sources twice.
+    The rows are staged, as the best rung of a site is found by one small aggregation over them.
     """
     ranked = [s.selectExpr("site", "url", "kind", "source", "pos", f"{i} AS rung") for i, s in enumerate(sources)]
     rows = ranked[0]
     for more in ranked[1:]:
         rows = rows.unionByName(more)
-    best = F.min("rung").over(Window.partitionBy("site"))
-    return rows.withColumn("best", best).filter("rung = best").drop("rung", "best")
+    rows = stage(rows, "rungs")
+    best = rows.groupBy("site").agg(F.min("rung").alias("best"))
+    return attach(rows, best, ["site"], ["url", "pos"]).filter("rung = best").drop("rung", "best")
 
 
 def select_candidates(urls: DataFrame) -> DataFrame:
@@ -344,6 +339,30 @@ def second_hop(other_pages: DataFrame, candidates: DataFrame) -> DataFrame:
     return new.selectExpr("site", "url", "at.pos AS pos", "1 AS hop")
 
 
+def next_pages(sites: DataFrame, screened: DataFrame) -> DataFrame:
+    """(site, url, wanted_by): the page after each run of API, feed and category pages that did not end by itself."""
+    calls = screened.filter("role = 'api' AND status = 200").selectExpr("*", f"{api_call()} AS c").filter("c IS NOT NULL")
+    api = parse_api_pages(calls).filter("size(items) > 0").selectExpr("site", "c.rank AS rank", "c.page AS page", "CAST(size(items) AS BIGINT) AS n")
+    runs = page_runs(api, ["site", "rank"], last=F.col("n") < rules.API_PAGE_SIZE)
+    ends = attach(runs.filter("page = stop"), runs.filter("page = 1").select("site", "rank", "stop"), ["site", "rank", "stop"], ["page"])
+    prefixes = "element_at(array(" + ", ".join(lit(prefix) for prefix, _ in rules.API_ENDPOINTS) + "), rank + 1)"
+    after_api = ends.filter(f"n >= {rules.API_PAGE_SIZE}").selectExpr("site", f"concat(site, {prefixes}, page + 1) AS url", "'api' AS wanted_by")
+
+    feeds = feed_documents(parse_sitemaps(screened.filter("role = 'sitemap'"))).filter("template IS NOT NULL")
+    feed_runs = page_runs(feeds.select("site", "template", "page", "n"), ["site", "template"])
+    after_feed = feed_runs.filter("page = stop").selectExpr("site", "replace(template, '{}', CAST(page + 1 AS STRING)) AS url", "'sitemap' AS wanted_by")
+
+    reached = category_pages(category_links(screened.filter("role = 'home' AND html IS NOT NULL")), screened)[1]
+    before, after = rules.CATEGORY_PAGE_SUFFIX
+    after_category = reached.filter("page = stop").selectExpr("site", f"concat(category, {lit(before)}, page + 1, {lit(after)}) AS url", "'category' AS wanted_by")
+    return after_api.unionByName(after_feed).unionByName(after_category)
+
+
+def pages_to_render(routes: DataFrame) -> DataFrame:
+    """(site, url, wanted_by): archived pages that only a browser can show, without a rendered body."""
+    return routes.filter("route = 'needs_render' AND html IS NULL").selectExpr("site", "url", "'render' AS wanted_by").distinct()
+
+
 def frontier(wanted: DataFrame, responses: DataFrame) -> DataFrame:
     """(site, url, wanted_by): wanted URLs that the archive lacks. ``wanted`` has the same columns."""
     missing = wanted.join(responses.select("site", "url"), ["site", "url"], "left_anti")

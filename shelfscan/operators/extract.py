@@ -19,7 +19,7 @@ from shelfscan.operators.jsonld import (
     ld_product,
     product_struct,
 )
-from shelfscan.session import spread
+from shelfscan.session import spread, stage
 
 # -- reading a page tree -----------------------------------------------------
 
@@ -221,38 +221,30 @@ def extract_products(
     keep: tuple[str, ...] = (),
     url: str = "url",
     html: str = "html",
-    classified: bool = True,
 ) -> DataFrame:
     """(``keep`` columns, strategy, 13 product fields) of every page that holds a product.
 
     One row of ``pages`` per (``keep`` columns, url). JSON-LD and the classification are
-    row-local. Only product pages without JSON-LD are shuffled, once, to be shredded;
-    JSON-LD products travel beside them without their HTML. ``classified=False`` skips
-    the test for product pages.
+    row-local, and their result is staged: JSON-LD products are read from it as they are, and
+    only product pages without JSON-LD are shuffled, once, to be shredded.
     """
     screened = pages.selectExpr("*", f"{ld_first_product(html)} AS ld_item")
-    if classified:
-        screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
-        is_product = "is_product"
-    else:
-        is_product = "true"
+    screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
     fields = [*keep, f"{url} AS url", "ld_item", f"if(ld_item IS NULL, {html}, NULL) AS html"]
     if url in keep:
         fields.remove(f"{url} AS url")
-    found = rows_where(screened, is_product, fields)
+    found = stage(rows_where(screened, "is_product", fields), "product-pages")
     identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*keep, "url"])
-    keyed = found.selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
-    carried = tuple(dict.fromkeys([*keep, "url", "ld_item"]))
-    trees = H.page_trees(spread(keyed, "page_key"), "page_key", carry=carried)
-    out = with_structure_product(
-        with_meta_product(trees).selectExpr("*", "ld_item IS NULL AND meta IS NULL AS unread"), needed="unread"
-    )
-    strategy = "CASE WHEN ld_item IS NOT NULL THEN 'jsonld' WHEN meta IS NOT NULL THEN 'meta' ELSE 'heuristic' END"
-    product = when("ld_item IS NOT NULL", ld_product("ld_item", "url"), "coalesce(meta, structure)")
     others = [c for c in keep if c != "url"]
-    return out.selectExpr(*others, f"{strategy} AS strategy", f"{product} AS product").selectExpr(
-        *others, "strategy", "inline(if(product IS NULL, NULL, array(product)))"
-    )
+    inline = "inline(if(product IS NULL, NULL, array(product)))"
+    stated = found.filter("ld_item IS NOT NULL").selectExpr(*others, "'jsonld' AS strategy", f"{ld_product('ld_item', 'url')} AS product")
+
+    keyed = found.filter("ld_item IS NULL").drop("ld_item").selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
+    carried = tuple(dict.fromkeys([*keep, "url"]))
+    trees = H.page_trees(spread(keyed, "page_key"), "page_key", carry=carried)
+    out = with_structure_product(with_meta_product(trees).selectExpr("*", "meta IS NULL AS unread"), needed="unread")
+    shown = out.selectExpr(*others, "if(meta IS NOT NULL, 'meta', 'heuristic') AS strategy", "coalesce(meta, structure) AS product")
+    return stated.selectExpr(*others, "strategy", inline).unionByName(shown.selectExpr(*others, "strategy", inline))
 
 
 def drop_nameless(products: DataFrame) -> DataFrame:

@@ -17,12 +17,14 @@ def salt_of(*columns: str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
-def first_per_group(df: DataFrame, keys: list[str], order: list, n: int, spread_by: list[str]) -> DataFrame:
-    """The first ``n`` rows of every group by ``order``.
+def first_per_group(df: DataFrame, keys: list[str], order: list, n: int | None, spread_by: list[str]) -> DataFrame:
+    """The first ``n`` rows of every group by ``order``; all rows where ``n`` is None.
 
     Cut per salted part of a group, then once more: the second cut sees at most
     ``SALTS * n`` rows of a group. ``spread_by`` columns must vary within a group.
     """
+    if n is None:
+        return df
     salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
     whole = Window.partitionBy(*keys).orderBy(*order)
     return (
@@ -50,6 +52,21 @@ def first_seen(df: DataFrame, keys: list[str], order: Column | str) -> DataFrame
     return df.groupBy(*keys).agg(F.min(order).alias("pos"))
 
 
+def numbered(df: DataFrame, keys: list[str], block: str, order: list[str], name: str = "pos") -> DataFrame:
+    """Adds the 0-based position of every row within its ``keys``, by ``block`` and then ``order``.
+
+    ``block`` (SQL text) rises with the order. Rows are counted per block; only one row
+    per block meets in the window over a whole key, and blocks are numbered apart.
+    """
+    marked = df.withColumn("_block", F.expr(block))
+    sizes = marked.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    placed = marked.withColumn("_in", F.row_number().over(inside)).join(offsets, [*keys, "_block"])
+    return placed.withColumn(name, (F.col("_offset") + F.col("_in") - 1).cast("bigint")).drop("_block", "_in", "_offset")
+
+
 def page_runs(pages: DataFrame, keys: list[str], last: Column | None = None) -> DataFrame:
     """Runs of consecutive page numbers.
 

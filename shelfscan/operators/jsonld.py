@@ -148,10 +148,3 @@ def ld_product(item: str, url: str) -> str:
         )
 
     return let(parts, product)
-
-
-def with_ld_product(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Adds ``ld``: the product struct of the page's first JSON-LD Product, or NULL."""
-    found = pages.selectExpr("*", f"{ld_first_product(html)} AS ld_item")
-    product = when("ld_item IS NOT NULL", ld_product("ld_item", url))
-    return found.selectExpr("*", f"{product} AS ld").drop("ld_item")

@@ -12,14 +12,14 @@ from shelfscan.sources.fetches import api_call
 from shelfscan.sources.sitemaps import SITEMAP_MARKS
 
 
-def resolve_attempts(fetches: DataFrame) -> DataFrame:
+def resolve_attempts(fetches: DataFrame, max_attempts: int | None = None) -> DataFrame:
     """(site, url, attempts, status, body, rendered): one row per fetched URL.
 
-    The first of three attempts that neither failed nor was turned away with 429
-    counts; ``status`` is NULL where none did. ``rendered`` is the body that a browser
+    The first attempt that neither failed nor was turned away with 429 counts, of the
+    first ``max_attempts`` where that is given; ``status`` is NULL where none did. ``rendered`` is the body that a browser
     saw, where the archive has one. One aggregation, combined before its shuffle.
     """
-    kept = f"via <> 'render' AND attempt < {rules.MAX_ATTEMPTS} AND error IS NULL AND status <> 429"
+    kept = "via <> 'render' AND " + ("" if max_attempts is None else f"attempt < {max_attempts} AND ") + "error IS NULL AND status <> 429"
     order = "struct(attempt, fetched_at, status, xxhash64(body))"
     drawn = "via = 'render' AND error IS NULL AND body IS NOT NULL"
     return (

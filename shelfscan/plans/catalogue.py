@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfscan import rules
 from shelfscan.operators import catalogue as C
@@ -38,12 +39,15 @@ class CatalogueRun:
 
 
 def discover_urls(
-    sites: DataFrame, screened: DataFrame, max_pages: int = rules.MAX_URLS, url_lists: DataFrame | None = None
+    sites: DataFrame, screened: DataFrame, max_pages: int | None = None, url_lists: DataFrame | None = None
 ) -> DataFrame:
     """(site, url, kind, source, pos) by the first rung of the ladder that gives any URL."""
     api = D.api_product_urls(screened.filter("role = 'api'"), max_pages)
     sitemaps = D.sitemap_urls(sites, screened.filter("role IN ('robots', 'sitemap')"), max_pages).selectExpr("*", "'sitemap' AS source")
-    homes = screened.filter("role = 'home'")
+    api, sitemaps = stage(api, "api-urls"), stage(sitemaps, "sitemap-urls")
+    # Sites that these rungs solve need no further reading: their home pages are left out.
+    solved = api.select("site").union(sitemaps.select("site")).distinct()
+    homes = screened.filter("role = 'home'").join(solved, "site", "left_anti")
     categories = D.category_links(homes.filter("html IS NOT NULL"))
     shop = D.category_product_urls(categories, screened, max_pages).selectExpr("*", "'categories' AS source")
     links = D.nav_expand(D.home_links(homes, max_pages), screened, max_pages).selectExpr(
@@ -71,7 +75,7 @@ def wanted_urls(sites: DataFrame, screened: DataFrame, candidates: DataFrame) ->
     )
     pages = candidates.selectExpr("site", "url", "if(hop = 0, 'candidate', 'embedded') AS wanted_by")
     out = home
-    for more in (robots, maps, children, api, categories, pages):
+    for more in (robots, maps, children, api, categories, pages, D.next_pages(sites, screened)):
         out = out.unionByName(more)
     return out
 
@@ -80,17 +84,23 @@ def read_catalogues_of(
     sites: DataFrame,
     fetches: DataFrame,
     read_at: datetime,
-    max_pages: int = rules.MAX_URLS,
+    max_pages: int | None = None,
     url_lists: DataFrame | None = None,
     status_lost: bool = False,
 ) -> CatalogueRun:
     """The whole way: screen, discover, choose, classify, extract (two hops), assemble.
 
-    The screened responses and the chosen candidates are staged as tables, as several
+    ``max_pages`` limits the URLs of a site and kind; a site that loses some is ``partial``, not
+    ``complete``, and its header counts them. The screened responses and the chosen candidates are staged as tables, as several
     later steps read them.
     """
     screened = stage(screen_responses(resolve_attempts(fetches)), "screened", partition_by=("role",))
     urls = stage(discover_urls(sites, screened, max_pages, url_lists), "urls")
+    dropped = None
+    if max_pages is not None:
+        found = discover_urls(sites, screened, None, url_lists).groupBy("site").count()
+        kept = urls.groupBy("site").agg(F.count("*").alias("kept"))
+        dropped = found.join(kept, "site", "left").selectExpr("site", "count - coalesce(kept, 0L) AS n_dropped")
     first = stage(D.dedupe_candidates(D.select_candidates(urls)), "candidates")
     routes = page_routes(first, screened)
     readable = routes.filter("html IS NOT NULL")
@@ -109,6 +119,7 @@ def read_catalogues_of(
         extract_products(all_routes.filter("html IS NOT NULL"), keep=("site", "url", "pos", "hop"))
     )
     products = stage(products, "products")
-    header = C.read_header(sites, urls, products, read_at, status_lost)
+    header = C.read_header(sites, urls, products, read_at, status_lost, dropped)
     missing = D.frontier(wanted_urls(sites, screened, candidates), screened)
+    missing = missing.unionByName(D.pages_to_render(all_routes))
     return CatalogueRun(urls, candidates, all_routes, products, header, missing)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from shelfscan import rules
 SETTINGS = {
     # A key repeated inside one JSON object must not make the whole block unreadable.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Lets the per-site top 5 000 be cut on the map side, before its shuffle.
+    # Lets a per-site limit of usual size be cut on the map side, before its shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(rules.MAX_URLS),
     "spark.sql.session.timeZone": "UTC",
     # Tokens reach the fold sorted by page: one page at a time in memory, no hash map of
@@ -45,22 +46,25 @@ def fill_cores(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder that every executor can reach, as named by the cluster."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that every executor can reach, as named by the cluster; one of its own on a local master only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder
 
 
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where several later steps read one costly result. The written table
-    outlives a lost executor. Where no shared folder is named, ``df`` is
-    returned as it is and Spark recomputes it.
+    outlives a lost executor.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
-    if not folder:
-        return df
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:

@@ -9,7 +9,9 @@ from shelfscan.functions.scalars import py_strip
 from shelfscan.functions.sql import each, lit, only
 from shelfscan.operators.groups import first_seen
 
-SITEMAP_XML = "url ARRAY<STRUCT<loc: STRING>>, sitemap ARRAY<STRUCT<loc: STRING>>"
+_LOCS = "ARRAY<STRUCT<loc: STRING>>"
+# The root's own entries, and those of lists that stand below another root.
+SITEMAP_XML = f"url {_LOCS}, sitemap {_LOCS}, urlset ARRAY<STRUCT<url: {_LOCS}>>, sitemapindex ARRAY<STRUCT<sitemap: {_LOCS}>>"
 
 SITEMAP_MARKS = ["<urlset", "<sitemapindex", ":urlset", ":sitemapindex"]
 
@@ -32,9 +34,13 @@ def parse_sitemaps(responses: DataFrame) -> DataFrame:
         trimmed = each(f"{items}.loc", py_strip)
         return f"coalesce({only(trimmed, lambda x: f"{x} <> ''")}, array())"
 
+    def both(item: str, below: str) -> str:
+        return f"concat(coalesce(x.{item}, array()), coalesce(flatten(filter(x.{below}.{item}, l -> l IS NOT NULL)), array()))"
+
     looks_xml = " OR ".join(f"contains(body, {lit(mark)})" for mark in SITEMAP_MARKS)
     return (
         responses.filter(f"status = 200 AND ({looks_xml})")
-        .select("site", "url", F.from_xml("body", SITEMAP_XML).alias("x"))
-        .selectExpr("site", "url", f"{texts('x.sitemap')} AS children", f"{texts('x.url')} AS locs")
+        .select("site", "url", F.from_xml("body", SITEMAP_XML, {"ignoreNamespace": "true"}).alias("x"))
+        .selectExpr("site", "url", f"{both('sitemap', 'sitemapindex')} AS maps", f"{both('url', 'urlset')} AS pages")
+        .selectExpr("site", "url", f"{texts('maps')} AS children", f"{texts('pages')} AS locs")
     )

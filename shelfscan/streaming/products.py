@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfscan import rules
 from shelfscan.operators.extract import drop_nameless, extract_products
 from shelfscan.operators.screen import screen_responses
 
@@ -13,7 +12,7 @@ from shelfscan.operators.screen import screen_responses
 def accepted_once(fetch_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Usable responses, one per URL within the watermark; the only state is those URLs."""
     usable = fetch_stream.filter(
-        f"coalesce(via, 'http') <> 'render' AND attempt < {rules.MAX_ATTEMPTS} AND error IS NULL AND status <> 429"
+        "coalesce(via, 'http') <> 'render' AND error IS NULL AND status <> 429"
     )
     return usable.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["site", "url"])
 

@@ -1,5 +1,4 @@
 import sys
-import tempfile
 from pathlib import Path
 
 import pytest
@@ -20,8 +19,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if not shared_folder(session):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
+    shared_folder(session)
     yield prepare(session)
     session.stop()
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_support import S, page, site_archive
 
-from shelfscan import rules
+from shelfscan import rules, schemas
 from shelfscan.operators import catalogue as C
 from shelfscan.plans.catalogue import read_catalogues_of
 from shelfscan.sources.catalogues import read_catalogues, write_catalogues, write_products
@@ -54,6 +54,7 @@ def test_catalogues_hold_products_in_order(run):
 def test_large_sites_are_spread_over_rows(run):
     _, r = run
     parts = C.assemble_catalogues(r.header, r.products, per_row=1).filter(f"site = '{S}'").collect()
+    assert [p.name for x in sorted(parts, key=lambda x: x.part) for p in x.products] == ["One", "Two", 'Quo"ted é', "Hidden"]
     assert [x.parts for x in parts] == [4] * 4 and {x.part for x in parts} == {0, 1, 2, 3}
     assert sorted(p.name for x in parts for p in x.products) == sorted(["One", "Two", 'Quo"ted é', "Hidden"])
 
@@ -132,3 +133,38 @@ def test_stored_documents(spark):
         f"count_if(id = {make_product_id('NULL', 'url')}) AS hashed",
     ).first()
     assert tuple(got) == (46, 43, 3, 28, 10, 0, 28, 18)
+
+
+def test_documents_of_many_sites_are_whole(spark):
+    """Colliding names, sites of several documents and unmerged partitions lose nothing."""
+    sites = [f"https://www.s{i}.example" for i in range(12)] + ["https://s3.example", "http://s3.example"]
+    rows = [(s, 0, i, f"{s}/p/{i}", f"{s}-{i}", f"N{i}") for k, s in enumerate(sites) for i in range(3 + 5 * (k % 4))]
+    products = spark.createDataFrame(rows, "site string, hop int, pos long, url string, id string, name string")
+    for name, kind in schemas.PRODUCT_FIELDS:
+        if name not in products.columns:
+            products = products.withColumn(name, F.expr(f"CAST(NULL AS {kind})"))
+    listed = spark.createDataFrame([(s,) for s in sites], "site string")
+    header = C.read_header(listed, products.select("site", "url"), products, datetime(2026, 1, 1))
+    folder = tempfile.mkdtemp(prefix="run-")
+    merge = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_catalogues(header, products, folder, per_document=6)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merge)
+    for f in Path(folder).glob("file=*"):
+        assert [json.loads(p.read_text())["complete"] for p in f.glob("part-*")] == [True]
+    back = read_catalogues(spark, folder).selectExpr("site", "explode(products) AS p").selectExpr("site", "p.id").collect()
+    assert sorted(tuple(r) for r in back) == sorted((r[0], r[4]) for r in rows)
+
+
+def test_limit_is_reported(spark):
+    got = read_catalogues_of(read_sites(spark, [S]), site_archive(spark), datetime(2026, 1, 1), max_pages=2)
+    row = got.header.filter(f"site = '{S}'").first()
+    assert not row.complete and row.discoveryStatus == "partial" and row.n_dropped > 0
+
+
+def test_pages_to_render_are_wanted(run):
+    _, r = run
+    wanted = {(x.url, x.wanted_by) for x in r.frontier.filter(f"site = '{S}'").collect()}
+    assert (S + "/p/blocked", "render") in wanted

@@ -37,8 +37,8 @@ def fetches(spark, rows):
     ).selectExpr("site", "url", "attempt", "CAST(NULL AS TIMESTAMP) AS fetched_at", "status", "body", "error", "via")
 
 
-def archive(spark, rows):
-    return screen_responses(resolve_attempts(fetches(spark, rows)))
+def archive(spark, rows, max_attempts=None):
+    return screen_responses(resolve_attempts(fetches(spark, rows), max_attempts))
 
 
 def sites(spark):
@@ -54,16 +54,18 @@ def test_sites(spark):
     assert sorted(r.site for r in got) == ["http://b.example", "https://www.a.example"]
 
 
-def test_attempts(spark):
+@pytest.mark.parametrize("limit", [None, rules.MAX_ATTEMPTS])
+def test_attempts(spark, limit):
+    """All attempts count; with the reader's own limit, those beyond it do not."""
     got = archive(spark, [
         ("/a", "late", 200, 1), ("/a", "", 429, 0),
         ("/b", None, None, 0, "timeout"), ("/b", None, 429, 1), ("/b", "fourth", 200, 3),
         ("/c", "no", 404), ("/d", "no", 503, 0), ("/d", "drawn", 200, 0, None, "render"),
         ("/e", "Just a moment <h1>"), ("/f", "<body></body>"), ("/g", "ok <h1>"), ("/g", "second <h1>", 200, 1),
-    ])
+    ], limit)
     rows = {r.url[len(S):]: (r.route, r.reason, r.html) for r in got.collect()}
     assert rows == {
-        "/a": ("accept", "ok", "late"), "/b": ("needs_render", "no response", None), "/c": ("drop", "status", None),
+        "/a": ("accept", "ok", "late"), "/b": ("needs_render", "no response", None) if limit else ("accept", "ok", "fourth"), "/c": ("drop", "status", None),
         "/d": ("needs_render", "blocked", "drawn"), "/e": ("needs_render", "challenge", None),
         "/f": ("needs_render", "shell", None), "/g": ("accept", "ok", "ok <h1>"),
     }
@@ -241,3 +243,22 @@ def test_page_runs(spark):
     for (k, p), found in got.items():
         assert found == ((5, 0) if k == "m" else (stop(p), before(p)))
     assert len(got) > 7
+
+
+def test_prefixed_and_nested_sitemaps(spark):
+    prefixed = f'<s:urlset xmlns:s="{NS}"><s:url><s:loc>{S}/x</s:loc></s:url></s:urlset>'
+    nested = f'<feed><urlset xmlns="{NS}"><url><loc>{S}/y</loc></url><url><loc>{S}/z</loc></url></urlset></feed>'
+    found = archive(spark, [("/a.xml", prefixed), ("/b.xml", nested)])
+    got = {r.url[len(S):]: r.locs for r in parse_sitemaps(found).collect()}
+    assert got == {"/a.xml": [f"{S}/x"], "/b.xml": [f"{S}/y", f"{S}/z"]}
+
+
+def test_next_pages_of_runs_that_go_on(spark):
+    """A full API page and a feed page ask for the next one; a short API page does not."""
+    prefixes = [p for p, _ in rules.API_ENDPOINTS]
+    items = json.dumps([{"id": i, "permalink": f"{S}/p/{i}"} for i in range(rules.API_PAGE_SIZE)])
+    feed = "/sitemap_products.xml?type=products&page=1"
+    found = archive(spark, [(prefixes[0] + "1", items), (prefixes[0] + "2", items), (prefixes[1] + "1", items[:200].rsplit(",", 1)[0] + "]"), (feed, urlset("/q"))])
+    wanted = {(r.url[len(S):], r.wanted_by) for r in D.next_pages(sites(spark), found).collect()}
+    assert (prefixes[0] + "3", "api") in wanted and (prefixes[1] + "2", "api") not in wanted
+    assert (feed.replace("page=1", "page=2"), "sitemap") in wanted

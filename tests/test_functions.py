@@ -114,3 +114,12 @@ def test_markup_survives_long_input(spark):
     assert column(spark, pages, M.count_tags(M.without_raw_blocks("v"), "h1")) == [0, 0, 0, 0]
     joined = column(spark, pages, f"array_join(regexp_extract_all(v, {chr(39)}{M.TOKEN.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}{chr(39)}, 0), '') = v")
     assert joined == [True] * 4
+
+
+def test_padded_references_and_apostrophes(ev):
+    assert ev(M.html_unescape("t"), t="O&apos;Neil &#00000065;&#x000041;") == "O'Neil AA"
+
+
+def test_price_labels_are_plain(ev):
+    for p, want in [(12500000.0, "$12500000.0"), (0.0005, "$0.0005"), (5.0, "$5.0"), (1e16, "$1e+16"), (0.00001, "$1e-05"), (19.99, "$19.99"), (0.0, "price on request")]:
+        assert ev(S.price_label("CAST(t AS DOUBLE)"), t=repr(p)) == want
