@@ -1,0 +1,248 @@
+"""Operators against brute force, and on the odd cases: nulls, empty and long texts, repeated rows, empty tables."""
+
+import random
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from conftest import frame, prose
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from shelfscan.llm import credentials, decontaminate, language, licenses, minhash, mixing, neighbours, pii, substring_dedup, token_counts
+from shelfscan.llm.graphs import components
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def rows_of(df, key, *columns):
+    return {r[key]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.filter("false")
+
+
+# -- row by row --------------------------------------------------------------
+
+
+def test_secrets(docs, numbered):
+    found = credentials.secret_digest(docs)
+    assert rows_of(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == {i: brute.op1(t) for i, t in numbered}
+    spans = {r.doc_id: r.spans for r in found.filter("spans <> ''").collect()}
+    (row,) = [s for s in spans.values() if "access" in s]
+    assert "user:" in row and "endpoint:" in row
+
+
+def test_weak_parts_need_others(spark):
+    bare = frame(spark, ["user=alice goes to https://a.example/x", "user=alice " + "x " * 300 + "password=abcdefgh", "password=abcdefgh user=alice"])
+    assert rows_of(credentials.secret_digest(bare), "doc_id", "n_linked") == {3: (0,), 4: (0,), 5: (1,)}
+
+
+def test_tokens(docs, numbered):
+    library = Tokenizer.from_file(PATH)
+    got = rows_of(token_counts.token_counts(docs, PATH, 100), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    want = {}
+    for i, t in numbered:
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        want[i] = (len((t or "").encode()), n, n > 100)
+    assert got == want
+
+
+def test_every_prefix(spark):
+    library = Tokenizer.from_file(PATH)
+    r = random.Random(5)
+    pieces = ["'s", "'re", "'r", "'", " ", "  ", "\n", "\x85", "\x1c", "é", "日本", "😀", "12", "!", "<|endoftext|>", "<|endo", "hello", " the", "--", "　"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(300)] + [prose(3, 60), "a" * 500, "-" * 300]
+    table = token_counts.table(PATH)
+    for t in texts:
+        assert token_counts.prefix_counts_of(table, t) == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    stored = token_counts.token_counts(frame(spark, texts), PATH, 7, with_prefixes=True)
+    for row in token_counts.fit(stored, 7).collect():
+        longest = max(i for i, n in enumerate(row.prefix_counts) if n <= 7)
+        assert row.keep_chars == longest and row.n_tokens == row.prefix_counts[-1]
+    direct = rows_of(token_counts.token_counts(frame(spark, texts), PATH, 7), "doc_id", "keep_chars")
+    assert direct == rows_of(token_counts.fit(stored, 7), "doc_id", "keep_chars")
+
+
+def test_licenses(docs, numbered):
+    found = licenses.license_scan(docs)
+    assert rows_of(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == {i: brute.op4(t) for i, t in numbered}
+    labels = {r.labels for r in found.filter("labels <> ''").collect()}
+    assert "cc-by-nc-4.0" in labels and any("apache-2.0" in x and "gpl-3" in x for x in labels)
+    assert found.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+
+
+def test_contained_detections_are_suppressed():
+    tokens = "licensed under the apache license version 2 0 and mit license".encode().split()
+    assert [d[2] for d in licenses.detections(tokens)] == ["apache-2.0", "mit"]
+    assert len(licenses.rules()) > 1000
+
+
+def test_personal_data(docs, numbered):
+    found = pii.pii_digest(docs)
+    assert rows_of(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == {i: brute.op6(t) for i, t in numbered}
+
+
+def test_labelers_are_weighed():
+    patterns = [("phone", (1, 1, 0, 1), 90), ("phone", (-1, -1, 0, 1), 90), ("phone", (1, -1, 0, 1), 10)]
+    share, right = pii.estimate(patterns)
+    assert 0.3 < share["phone"] < 0.7 and right[0] > 0.85
+    assert pii.posterior("phone", (1, 1, 0, 1), share, right) > 0.9 > 0.1 > pii.posterior("phone", (-1, -1, 0, -1), share, right)
+
+
+def test_redaction(spark):
+    one = frame(spark, ["é mail a@b.example.com or +1 (743) 555-3824.", "nothing", None, ""])
+    text = pii.spans_of("text", {"": -1.0})
+    got = one.withColumn("s", F.expr(text)).withColumn("t", F.expr(f"if(text IS NULL, NULL, {pii.redacted('text', 's')})"))
+    assert rows_of(got, "doc_id", "t") == {3: ("é mail [EMAIL] or [PHONE].",), 4: ("nothing",), 5: (None,), 6: ("",)}
+
+
+# -- groups ------------------------------------------------------------------
+
+
+def test_substrings(docs, numbered):
+    got = rows_of(substring_dedup.dedup_substrings(docs, 50), "doc_id", "n_words", "n_removed", "kept_sha256")
+    want = brute.op3(numbered)
+    assert got == want and sum(n > 0 for _, n, _ in want.values()) >= 5
+
+
+def test_winnowing_guarantee():
+    r = np.random.default_rng(1)
+    x = r.integers(0, 50, 400).astype(np.uint64)
+    places = substring_dedup.winnow(x, 31)
+    assert all(((places >= i) & (places < i + 31)).any() for i in range(len(x) - 30))
+
+
+def test_near_duplicates(docs, numbered):
+    got = rows_of(minhash.near_duplicates(docs, 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    want = brute.op7(numbered)
+    assert got == want and sum(not k for _, _, k in want.values()) >= 3
+
+
+def test_chains_and_blocks_of_near_copies(spark):
+    """A group whose copies are only linked one to the next, and a star of many."""
+    words = prose(7, 120).split()
+    chain = []
+    for i in range(14):
+        words = words.copy()
+        words[8 * i] = f"edit{i}"
+        chain.append(" ".join(words))
+    star = [" ".join([*prose(8, 100).split()[:50], f"own{i}", *prose(8, 100).split()[51:]]) for i in range(300)]
+    texts = chain[::-1] + star
+    got = rows_of(minhash.near_duplicates(frame(spark, texts), 3, 85), "doc_id", "n_shingles", "component_id", "kept")
+    assert got == brute.op7(list(enumerate(texts, 3)))
+
+
+def test_components(spark):
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = rows_of(components(spark.createDataFrame(links, "a long, b long")), "id", "component")
+    assert {k: v for k, (v,) in got.items()} == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_decontamination(spark, docs, numbered, texts):
+    items = [(1, texts[3]), (2, "one two"), (3, None), (4, ""), (5, prose(52, 12)), (5, prose(52, 12)), (60, " ".join(texts[14].split()[20:45])), (7, "x")]
+    frame_of_items = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1)).withColumn("k", F.lit(2))
+    got = rows_of(decontaminate.decontamination_digest(docs, frame_of_items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    want = brute.op9(numbered, items)
+    assert got == want and sum(c for *_, c in want.values()) >= 6
+
+
+def test_mixing_shares_and_shortages(spark):
+    """A short language leaves its share to its siblings; whole tokens are accounted for."""
+    texts = [prose(i, 50) for i in range(60)]
+    docs = frame(spark, texts).withColumn("lang", F.expr("CASE WHEN doc_id < 43 THEN 'en' WHEN doc_id < 45 THEN 'de' ELSE 'fr' END")).withColumn("source", F.lit("s"))
+    got = mixing.mix(docs, share=(1, 1), epochs=2, domain="'d'").collect()
+    taken = {}
+    for r in got:
+        taken[r.lang] = taken.get(r.lang, 0) + r.tokens * r.full_epochs + r.last_tokens
+    # 3000 tokens by 40:20:20; de has 100 and may be read twice, so en and fr share the other 2800.
+    assert taken == {"de": 200, "en": 1866, "fr": 933}
+    assert {r.doc_id for r in mixing.mix(docs, share=(1, 1), epochs=2, domain="'d'").collect()} == {r.doc_id for r in got}
+
+
+def test_mixing_odd_rows(docs):
+    out = mixing.mix(docs.withColumn("lang", F.expr("if(doc_id % 2 = 0, NULL, lang)")))
+    assert out.filter("tokens = 0 OR last_tokens < 0 OR last_tokens > tokens").count() == 0 and out.count() > 5
+
+
+def test_language(spark):
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
+
+    def text(lang, seed, n):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+
+    rows = [(i, text(lang, i, 30), lang if i % 10 else "aa", f"host-{lang}") for i, lang in enumerate(list(letters) * 60)]
+    rows += [(900, "", "aa", "host-aa"), (901, None, None, None), (902, "!!! ...", "bb", "host-bb"), (903, "漢字漢字漢字漢字漢字漢字", None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("scores", F.lit(1)).withColumn("host", F.lit(2))
+    got = rows_of(language.language_id(docs), "doc_id", "language", "rejected")
+    right = [got[i] == (lang, False) for i, lang in enumerate(list(letters) * 60)]
+    assert sum(right) / len(right) > 0.98
+    assert all(got[i] == ("und", True) for i in (900, 901, 902, 903))
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(700, 16))
+    x[100:140] = x[7]
+    ids = r.permutation(5000)[:700]
+    rows = [(int(i), [float(v) for v in row]) for i, row in zip(ids, x)]
+    odd = [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [None] * 16), (9080, [1.0, 2.0]), (None, [1.0] * 16), rows[0]]
+    table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("v", F.lit(2))
+    got = {}
+    for row in neighbours.nearest(table, 20, 20).collect():
+        got.setdefault(row.query_id, {})[row["rank"]] = (row.vec_id, row.score)
+    hits = total = 0
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    for q, found in got.items():
+        scores = x @ x[list(ids).index(q)]
+        order = sorted((-s, int(i)) for s, i in zip(scores, ids) if i != q)[:20]
+        hits += len({i for _, i in order} & {v for v, _ in found.values()})
+        total += 20
+        listed = [(-found[k][1], found[k][0]) for k in sorted(found)]
+        assert sorted(found) == list(range(1, 21)) and listed == sorted(listed)
+        assert all(abs(found[k][1] - scores[list(ids).index(found[k][0])]) < 1e-9 for k in found)
+    assert hits / total > 0.9
+    few = neighbours.nearest(table.filter("vec_id IN (%s)" % ",".join(str(int(i)) for i in ids[:5])), 1, 20)
+    assert few.count() == 20
+    assert neighbours.nearest(table.filter("false"), 20, 20).count() == 0
+
+
+# -- odd tables --------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [credentials.secret_digest, lambda d: token_counts.token_counts(d, PATH), licenses.license_scan, pii.pii_digest, substring_dedup.dedup_substrings, minhash.near_duplicates, mixing.mix, language.language_id, lambda d: decontaminate.decontamination_digest(d, d.selectExpr("doc_id AS item_id", "text"))],
+)
+def test_empty_table(empty, operator):
+    assert operator(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [credentials.secret_digest, lambda d: token_counts.token_counts(d, PATH), licenses.license_scan, pii.pii_digest, substring_dedup.dedup_substrings, minhash.near_duplicates, language.language_id, lambda d: decontaminate.decontamination_digest(d, d.limit(0).selectExpr("doc_id AS item_id", "text"))],
+)
+def test_repeated_rows_and_missing_ids(spark, operator):
+    """Every row stays a row: repeated ones give equal rows, rows without an id stay without one."""
+    texts = [prose(1, 80), prose(1, 80), prose(1, 80), prose(2, 90), None, prose(3, 60)]
+    got = operator(frame(spark, texts, [5, 5, 7, None, None, 9])).collect()
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+    assert ids == [(False, 5), (False, 5), (False, 7), (False, 9), (True, 0), (True, 0)]
+    first, second = [tuple(r) for r in got if r.doc_id == 5]
+    assert first == second
