@@ -30,8 +30,8 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE = 1_000_000
-CHUNK = 4 << 20
+CACHE = 500_000
+CHUNK = 2 << 20
 
 
 @lru_cache(1)
