@@ -10,10 +10,12 @@ similarity of 0.85 there are 12 chunks of 6: a component differs with probabilit
 differ in more; less than one in a million at 0.88). For 0.80 there are 15 chunks of 5 and the distance
 is 29, again 4.2 deviations above the mean of 15.
 
-Links are wanted up to connectivity. Under each key all members meet three hubs (smallest, largest, a
-hashed choice), the pairs are confirmed on the full shingle sets, and components are formed. Then the
-remaining pairs under a key are formed only between different components, confirmed, and joined in:
-pairs inside a component add nothing. So a group of copies costs pairs in proportion to its rows.
+Links are wanted up to connectivity. The smallest member under a key is its hub; all members meet their
+hubs, the pairs are confirmed on the full shingle sets, and components are formed. Two documents that
+share a key share a hub, so what is left are pairs around one hub in different components. Around each
+hub, the documents outside its largest component meet all others in blocks of bounded size, set against
+set inside a task, and only links leave it; links inside a component add nothing. So a group of copies
+costs rows in proportion to its documents.
 
 Words: A-Z lower-cased, runs between white space. A document with fewer words than a shingle is one
 shingle; null or empty text has none and is linked with nothing. Rows with one ``doc_id`` are one
@@ -149,6 +151,59 @@ def _confirmed(percent: int):
     return run
 
 
+def _blocks(percent: int):
+    """Links between the documents outside (``out``) and all others of a block, in different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left: list[int] = []
+            right: list[int] = []
+            for members in batch.column(0):
+                flat = members.values
+                ids, comps = flat.field("id").to_numpy(), flat.field("c").to_numpy()
+                out = flat.field("out").to_numpy(zero_copy_only=False)
+                sets = [np.frombuffer(x.as_buffer(), words.U) for x in flat.field("shingles")]
+                x, y = np.flatnonzero(out), np.flatnonzero(~out)
+                both = _common([sets[i] for i in x], [sets[i] for i in y])
+                size = np.array([len(s) for s in sets])
+                linked = 100 * both >= percent * (size[x][:, None] + size[y][None, :] - both)
+                linked &= comps[x][:, None] != comps[y][None, :]
+                i, j = np.nonzero(linked)
+                left += np.minimum(ids[x[i]], ids[y[j]]).tolist()
+                right += np.maximum(ids[x[i]], ids[y[j]]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``left`` with every set of ``right``."""
+    both = np.zeros((len(left), len(right)), np.int64)
+    if not len(left) or not len(right):
+        return both
+    values = [np.concatenate(left), np.concatenate(right)]
+    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (left, right)]
+    known = np.intersect1d(np.unique(values[0]), np.unique(values[1]), assume_unique=True)
+    place = [np.searchsorted(known, v) for v in values]
+    for k in (0, 1):
+        good = place[k] < len(known)
+        good[good] = known[place[k][good]] == values[k][good]
+        place[k], rows[k] = place[k][good], rows[k][good]
+    for at in range(0, len(known), 4096):
+        parts = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            m = np.zeros((n, min(4096, len(known) - at)), np.float32)
+            inside = (place[k] >= at) & (place[k] < at + m.shape[1])
+            m[rows[k][inside], place[k][inside] - at] = 1
+            parts.append(m)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+#: Documents of a side of a block.
+BLOCK = 256
+
+
 class Search:
     """The stages of one run; each result is a table in the shared folder."""
 
@@ -165,34 +220,47 @@ class Search:
         signs = named.join(firsts, ["doc_id", "one", "two", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
         self.signs = staged(signs.selectExpr("doc_id AS id", "n_shingles AS n", "signature"), "class-signatures")
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
+    def stars(self) -> DataFrame:
+        """``hub`` and ``id`` of every member of a key that is not its hub."""
+        keyed = self.signs.select("id", "signature").mapInArrow(_keyed(self.chunks, self.width), "key long, id long")
+        hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+        hubs = staged(hubs.filter("hub < last").select("key", "hub"), "hubs")
+        return staged(keyed.join(hubs, "key").filter("id <> hub").select("hub", "id").distinct(), "stars")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """``id`` and ``shingles`` of the documents with the given ``doc_id``."""
+        full = self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return staged(full.mapInArrow(_sets(self.shingle), "id long, shingles binary"), "shingle-sets")
+
+    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (``a``, ``b``; distinct) that are similar: by size, by signature, then on full sets."""
         sign = self.signs
         sized = pairs.join(sign.selectExpr("id AS a", "n AS na", "signature AS sa"), "a").join(sign.selectExpr("id AS b", "n AS nb", "signature AS sb"), "b")
         sized = sized.filter(f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)").select("a", "b", "sa", "sb")
         near = staged(sized.mapInArrow(_close(2 * self.chunks - 1), "a long, b long"), "near-pairs")
-        wanted = near.selectExpr("a AS doc_id").union(near.selectExpr("b AS doc_id")).distinct()
-        full = self.docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = staged(full.mapInArrow(_sets(self.shingle), "id long, shingles binary"), "shingle-sets")
         met = near.join(sets.selectExpr("id AS a", "shingles AS xa"), "a").join(sets.selectExpr("id AS b", "shingles AS xb"), "b")
         return staged(met.select("a", "b", "xa", "xb").mapInArrow(_confirmed(self.percent), "a long, b long"), "links")
 
+    def rest(self, stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between different components around one hub."""
+        around = stars.union(stars.selectExpr("hub", "hub AS id").distinct()).join(found, "id", "left").selectExpr("hub", "id", "coalesce(component, id) AS c")
+        around = staged(around, "around-hubs")
+        counts = around.groupBy("hub", "c").agg(F.count("*").alias("m"))
+        mains = counts.groupBy("hub").agg(F.sum("m").alias("n"), F.expr("min(named_struct('m', -m, 'c', c)) AS main")).filter("-main.m < n")
+        mains = staged(mains.selectExpr("hub", "main.c AS main", f"CAST(ceil((n + main.m) / {BLOCK}) AS int) AS outs", f"CAST(ceil(n / {BLOCK}) AS int) AS alls"), "mixed-hubs")
+        mixed = around.join(mains, "hub")
+        out = mixed.filter("c <> main").selectExpr("hub", "id", "c", "true AS out", "CAST(pmod(xxhash64(id), outs) AS int) AS i", "explode(sequence(0, alls - 1)) AS j")
+        others = mixed.selectExpr("hub", "id", "c", "false AS out", "explode(sequence(0, outs - 1)) AS i", "CAST(pmod(xxhash64(id), alls) AS int) AS j")
+        blocks = out.union(others).join(sets, "id").groupBy("hub", "i", "j").agg(F.collect_list(F.struct("id", "c", "out", "shingles")).alias("members"))
+        return staged(blocks.select("members").mapInArrow(_blocks(self.percent), "a long, b long").distinct(), "links")
+
     def components(self) -> DataFrame:
         """``id`` (of a class) and ``component``, for classes that are linked."""
-        keyed = self.signs.select("id", "signature").mapInArrow(_keyed(self.chunks, self.width), "key long, id long")
-        hubs = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.expr("named_struct('h', xxhash64(id), 'id', id)")).alias("mid"))
-        hubs = staged(hubs.filter("lo < hi").selectExpr("key", "lo", "hi", "mid.id AS mid"), "hubs")
-        members = staged(keyed.join(hubs, "key"), "members")
-        stars = members.selectExpr("id", "explode(array(lo, mid, hi)) AS hub").filter("id <> hub")
-        links = self.verify(stars.selectExpr("least(id, hub) AS a", "greatest(id, hub) AS b").distinct())
+        stars = self.stars()
+        sets = self.sets(stars.selectExpr("hub AS doc_id").union(stars.selectExpr("id AS doc_id")).distinct())
+        links = self.verify(stars.selectExpr("hub AS a", "id AS b"), sets)
         found = staged(components(links), "components")
-        placed = members.select("key", "id").join(found, "id", "left").selectExpr("key", "id", "coalesce(component, id) AS c")
-        several = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).filter("x < y AND n > 2").select("key")
-        rest = staged(placed.join(staged(several, "mixed-keys"), "key"), "mixed-members")
-        others = rest.selectExpr("key", "id AS id2", "c AS c2")
-        cross = rest.join(others, "key").filter("c < c2").selectExpr("least(id, id2) AS a", "greatest(id, id2) AS b").distinct()
-        stars = stars.selectExpr("least(id, hub) AS a", "greatest(id, hub) AS b").distinct()
-        more = self.verify(cross.join(stars, ["a", "b"], "left_anti"))
+        more = self.rest(stars, found, sets)
         return found if more.isEmpty() else staged(components(links.union(more)), "components")
 
 
