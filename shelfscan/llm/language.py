@@ -33,17 +33,25 @@ TEMPER = 0.2
 #: Rows that a parent's prior counts for, and what an unseen declaration counts for.
 SMOOTHING, UNSEEN = 20.0, 1.0
 UND = "und"
+#: The most that one trigram can speak for ``und`` against a language, so that a name or code outweighs no sentence.
+UNKNOWN = 2.0
+#: Letters, white space and everything beyond ASCII.
+TOLD = ~words.SPACED | (words.ALNUM & ~np.isin(np.arange(256), range(0x30, 0x3A)))
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
-    """The bucket of the three bytes from each place on; the last two places have none."""
+    """The bucket of the three bytes from each place on; the last two places have none.
+
+    Digits and punctuation speak for no language: places with any are in the extra bucket ``BUCKETS``.
+    """
     if len(data) < 3:
         return np.zeros(0, np.int64)
+    told = TOLD[data]
     x = words.LOWER[data].astype(np.uint32)
     h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return (h >> np.uint32(17)).astype(np.int64)
+    return np.where(told[:-2] & told[1:-1] & told[2:], (h >> np.uint32(17)).astype(np.int64), BUCKETS)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +60,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         for lang, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-            counts = np.bincount(_trigrams(data[a:b]), minlength=BUCKETS)
+            counts = np.bincount(_trigrams(data[a:b]), minlength=BUCKETS + 1)[:BUCKETS]
             total[lang] = total[lang] + counts if lang in total else counts
     for lang, counts in total.items():
         some = np.flatnonzero(counts)
@@ -78,7 +86,8 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
         table[names.index(r["lang"]), r["bucket"]] += r["n"]
     table[-1] = 1.0
     table /= table.sum(axis=1, keepdims=True)
-    return [*names, UND], np.log(table).astype(np.float32)
+    logs = np.log(table)
+    return [*names, UND], np.maximum(logs, logs[-1] - UNKNOWN).astype(np.float32)
 
 
 def literal(value: str) -> str:
@@ -100,7 +109,7 @@ def _likelihoods(model: np.ndarray):
                 worded[a:b] = np.diff(words.bounds(part, at, words.ALNUM)[2]) > 0
                 grams = _trigrams(part)
                 first, last = np.minimum(at[:-1], len(grams)), np.minimum(np.maximum(at[:-1], at[1:] - 2), len(grams))
-                for j, row in enumerate(model):
+                for j, row in enumerate(np.concatenate([model, np.zeros((len(model), 1), np.float32)], axis=1)):
                     total = np.zeros(len(grams) + 1)
                     np.cumsum(row[grams], out=total[1:])
                     scores[a:b, j] = total[last] - total[first]
