@@ -51,4 +51,30 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_substring_dedup, op4_license_scan, op5_mixing, op6_pii, op7_near_duplicates, op8_nearest, op9_decontamination, op10_language)}
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES = {
+    "op3_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, s, w[s:s + 49] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS lo FROM grams GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM grams JOIN firsts USING (g) WHERE lo < doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+each AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_decontamination": f"""
+WITH items AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, w[s:s + 9] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS s FROM items WHERE len(w) > 0)),
+words AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+sizes AS (SELECT DISTINCT len(win) AS k FROM wins),
+grams AS (SELECT doc_id, s, k, w[s:s + k - 1] AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM words, sizes WHERE len(w) >= k)),
+hits AS (SELECT DISTINCT doc_id, s, k, item_id FROM grams JOIN wins USING (win)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)""",
+}
