@@ -221,19 +221,24 @@ def extract_products(
     keep: tuple[str, ...] = (),
     url: str = "url",
     html: str = "html",
+    classified: bool = True,
 ) -> DataFrame:
     """(``keep`` columns, strategy, 13 product fields) of every page that holds a product.
 
     One row of ``pages`` per (``keep`` columns, url). JSON-LD and the classification are
     row-local, and their result is staged: JSON-LD products are read from it as they are, and
-    only product pages without JSON-LD are shuffled, once, to be shredded.
+    only product pages without JSON-LD are shuffled, once, to be shredded. ``classified=False``
+    skips the test for product pages.
     """
     screened = pages.selectExpr("*", f"{ld_first_product(html)} AS ld_item")
-    screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
+    is_product = "true"
+    if classified:
+        screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
+        is_product = "is_product"
     fields = [*keep, f"{url} AS url", "ld_item", f"if(ld_item IS NULL, {html}, NULL) AS html"]
     if url in keep:
         fields.remove(f"{url} AS url")
-    found = stage(rows_where(screened, "is_product", fields), "product-pages")
+    found = stage(rows_where(screened, is_product, fields), "product-pages")
     identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*keep, "url"])
     others = [c for c in keep if c != "url"]
     inline = "inline(if(product IS NULL, NULL, array(product)))"
