@@ -21,14 +21,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscan.llm.spans import by_kind, matches, quoted, written
+from shelfscan.llm.spans import PIECE, around, bound, by_kind, matches, pieces, quoted, written
 
 BASE = ["email", "ip", "card", "phone"]
 MORE = ["local", "ssn", "iban"]
 KINDS = BASE + MORE
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-CARD = r"[0-9]([\x20-]?[0-9])+"
+# A run of local or digit characters fails at all of its places or at none, so it is tried once, at its start or where the
+# last match ended; possessive repeats match the same text without a stack frame per repeat.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOCAL = r"(?<![0-9+.-])\(?[2-9][0-9]{2}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9-])"
 SSN = r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -100,11 +102,6 @@ def _candidates(docs: DataFrame) -> DataFrame:
     return found.withColumn("more", F.expr(f"if(size(more) = 0 OR size(base) = 0, more, filter(more, w -> {APART.format('base')}))"))
 
 
-def _around(spans: str, text: str = "text") -> str:
-    """The spans with 40 code points before and one after each."""
-    return f"transform({spans}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found, 'left', substr({text}, CAST(greatest(1, s.start - 39) AS int), CAST(least(40, s.start) AS int)), 'right', substr({text}, CAST(s.end + 1 AS int), 1)))"
-
-
 def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 40) -> tuple[dict[str, float], list[float]]:
     """Share of personal data per kind and accuracy per labeler, from (kind, votes, count) by EM.
 
@@ -138,7 +135,7 @@ def posterior(kind: str, votes: tuple[int, ...], share: dict[str, float], right:
 def train(docs: DataFrame) -> dict[str, float]:
     """Weights of the final classifier, by feature; ``''`` is the constant. All spans of all rows count."""
     votes = [f"{v} AS v{j}" for j, v in enumerate(VOTES)]
-    spans = _candidates(docs).selectExpr(f"explode({_around('concat(base, more)')}) AS s").selectExpr("s.kind AS kind", *votes, f"{FEATURES} AS f")
+    spans = _candidates(docs).selectExpr(f"explode({around('concat(base, more)', 'text')}) AS s").selectExpr("s.kind AS kind", *votes, f"{FEATURES} AS f")
     names = [f"v{j}" for j in range(len(VOTES))]
     # Features follow from kind, votes, length and edge: a bounded table holds all that EM and the classifier need.
     table = [(r["kind"], tuple(r[n] for n in names), r["f"], r["n"]) for r in spans.groupBy("kind", *names, "f").agg(F.count("*").alias("n")).collect()]
@@ -159,7 +156,7 @@ def _accepted(more: str, text: str, weights: dict[str, float]) -> str:
     """Those of the further spans that the classifier takes for personal data."""
     model = "map(" + ", ".join(f"{quoted(f)}, {x!r}D" for f, x in sorted(weights.items())) + ")"
     score = f"aggregate({FEATURES}, {weights.get('', 0.0)!r}D, (a, f) -> a + coalesce(element_at({model}, f), 0D))"
-    kept = f"filter({_around(more, text)}, s -> {score} > 0 AND s.left NOT RLIKE '[A-Za-z0-9_/#=]$')"
+    kept = f"filter({around(more, text)}, s -> {score} > 0 AND s.left NOT RLIKE '[A-Za-z0-9_/#=]$')"
     return f"if(size({more}) = 0, {more}, transform({kept}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found)))"
 
 
@@ -187,8 +184,10 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def redacted(text: str, spans: str) -> str:
     """SQL for ``text`` with every span replaced by its kind in brackets; overlapping spans become one."""
     ordered = f"array_sort(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
-    return f"""if(size({spans}) = 0, {text}, aggregate({ordered}, named_struct('at', 0L, 'out', ''),
+    between = f"substr(array_join(slice(p, CAST(acc.at DIV {PIECE} + 1 AS int), CAST(s.start DIV {PIECE} - acc.at DIV {PIECE} + 1 AS int)), ''), CAST(acc.at % {PIECE} + 1 AS int), CAST(s.start - acc.at AS int))"
+    rest = f"substr(array_join(slice(p, CAST(acc.at DIV {PIECE} + 1 AS int), size(p)), ''), CAST(acc.at % {PIECE} + 1 AS int))"
+    return f"""if(size({spans}) = 0, {text}, {bound(pieces(text), 'p')} -> aggregate({ordered}, named_struct('at', 0L, 'out', ''),
       (acc, s) -> if(s.start < acc.at,
         named_struct('at', greatest(acc.at, s.end), 'out', acc.out),
-        named_struct('at', s.end, 'out', concat(acc.out, substr({text}, CAST(acc.at + 1 AS int), CAST(s.start - acc.at AS int)), '[', upper(s.kind), ']'))),
-      acc -> concat(acc.out, substr({text}, CAST(acc.at + 1 AS int)))))"""
+        named_struct('at', s.end, 'out', concat(acc.out, {between}, '[', upper(s.kind), ']'))),
+      acc -> concat(acc.out, {rest})))[0])"""

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from shelfscan.llm import credentials, decontaminate, language, licenses, minhash, mixing, neighbours, pii, substring_dedup, token_counts
 from shelfscan.llm.graphs import components
+from shelfscan.llm.spans import around
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -100,6 +101,37 @@ def test_redaction(spark):
     assert rows_of(got, "doc_id", "t") == {3: ("é mail [EMAIL] or [PHONE].",), 4: ("nothing",), 5: (None,), 6: ("",)}
 
 
+HARD = [
+    "1 " * 20000 + "x 4111 1111 1111 1111",
+    "a@b" + ".c" * 20000,
+    "a" * 5000 + " x@y.de " + "1" * 5000 + " 10.2.3.4",
+    "a@b.c_d@e.f 1.2.3.4.5.6.7.8 a@b.c%x@y.z.w a@@b.c x@y",
+    "é😀 joe@x.de token=abcdef1 +1 (743) 555-3824 " * 3000,
+    "😀" * 1023 + "a@b.de" + "ü" * 1018 + "+1 743 555 3824",
+]
+
+
+def test_long_runs_and_many_matches(spark):
+    hard = frame(spark, HARD)
+    found = pii.pii_digest(hard)
+    assert rows_of(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == {i: brute.op6(t) for i, t in enumerate(HARD, 3)}
+    found = credentials.secret_digest(hard)
+    assert rows_of(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == {i: brute.op1(t) for i, t in enumerate(HARD, 3)}
+
+
+def test_context_and_redaction_of_long_texts(spark):
+    hard = frame(spark, HARD).withColumn("s", F.expr(pii.base_spans("text")))
+    got = hard.withColumn("c", F.expr(around("s", "text"))).withColumn("t", F.expr(pii.redacted("text", "s"))).collect()
+    for row in got:
+        assert [(c["left"], c["right"]) for c in row.c] == [(row.text[max(0, s["start"] - 40) : s["start"]], row.text[s["end"] : s["end"] + 1]) for s in row.s]
+        out, at = [], 0
+        for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in row.s):
+            if start >= at:
+                out += [row.text[at:start], f"[{kind.upper()}]"]
+            at = max(at, end)
+        assert row.t == "".join(out) + row.text[at:]
+
+
 # -- groups ------------------------------------------------------------------
 
 
