@@ -2,7 +2,7 @@
 
 Candidate spans come from the base patterns and from further forms. Four labelers vote on each
 (yes, no, abstain): a strict form or checksum, a gazetteer of codes and ranges, the words before it, and
-what touches it. Expectation-maximisation over the counts of vote patterns (a bounded table: kinds times
+what touches it (a key's equals sign is no edge). Expectation-maximisation over the counts of vote patterns (a bounded table: kinds times
 3 ** 4 patterns) estimates how far each labeler can be trusted and how likely each pattern is personal
 data. Those likelihoods train the final span classifier, a naive Bayes model over the votes, the length and
 the neighbouring characters, by one grouped sum. Base spans always stay; the others stay where the
@@ -84,7 +84,7 @@ VOTES = (
       WHEN 'iban' THEN if(s.found rlike {quoted(IBAN_COUNTRIES)}, 1, -1)
       ELSE 0 END""",
     rf"CASE WHEN s.left rlike {quoted(FOR)} THEN 1 WHEN s.left rlike {quoted(AGAINST)} THEN -1 ELSE 0 END",
-    r"if(s.left rlike '[A-Za-z0-9_/#=]$' OR s.right rlike '^[A-Za-z0-9_/=]', -1, 1)",
+    r"if(s.left rlike '[A-Za-z0-9_/#]$' OR s.right rlike '^[A-Za-z0-9_/=]', -1, 1)",
 )
 #: Features of the final classifier.
 FEATURES = f"""array(concat('kind=', s.kind),
@@ -156,7 +156,7 @@ def _accepted(more: str, text: str, weights: dict[str, float]) -> str:
     """Those of the further spans that the classifier takes for personal data."""
     model = "map(" + ", ".join(f"{quoted(f)}, {x!r}D" for f, x in sorted(weights.items())) + ")"
     score = f"aggregate({FEATURES}, {weights.get('', 0.0)!r}D, (a, f) -> a + coalesce(element_at({model}, f), 0D))"
-    kept = f"filter({around(more, text)}, s -> {score} > 0 AND s.left NOT RLIKE '[A-Za-z0-9_/#=]$')"
+    kept = f"filter({around(more, text)}, s -> {score} > 0)"
     return f"if(size({more}) = 0, {more}, transform({kept}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end, 'found', s.found)))"
 
 

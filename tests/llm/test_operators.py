@@ -10,6 +10,7 @@ from conftest import frame, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from shelfscan.llm import credentials, decontaminate, language, licenses, minhash, mixing, neighbours, pii, substring_dedup, token_counts
 from shelfscan.llm.graphs import components
 from shelfscan.llm.spans import around
@@ -101,6 +102,18 @@ def test_redaction(spark):
     assert rows_of(got, "doc_id", "t") == {3: ("é mail [EMAIL] or [PHONE].",), 4: ("nothing",), 5: (None,), 6: ("",)}
 
 
+def test_personal_data_after_a_key(spark):
+    """The classifier decides on spans that follow a key and an equals sign, as in forms, logs and query strings."""
+    forms = {"ssn=123-45-6789 ok": ("ssn", 4), "iban=DE89370400440532013000&x=1": ("iban", 5), "https://a.example/f?tel=212 555-0123&y=2": ("local", 24)}
+    texts = [*forms, "call 212 555-0143 now", "ssn 123-45-6780", "plain words", "order AB12345678901234567"] * 5
+    got = rows_of(pii.pii_spans(frame(spark, texts)), "doc_id", "added")
+    for i, t in enumerate(texts, 3):
+        if t in forms:
+            assert [(s["kind"], s["start"]) for s in got[i][0]] == [forms[t]]
+    stage = corpus_pipeline.redact_personal_data(spark, frame(spark, texts), "")
+    assert rows_of(stage, "doc_id", "text")[4] == ("iban=[IBAN]&x=1",)
+
+
 HARD = [
     "1 " * 20000 + "x 4111 1111 1111 1111",
     "a@b" + ".c" * 20000,
