@@ -2,8 +2,10 @@
 
 Strong parts (a named assignment, an access identifier, a long hex run) are always reported. Weak ones
 (a bare key-like run, a user name, an endpoint) are candidates: they are reported only where
-complementary parts stand within ``reach`` code points in the same document, found by an interval join
-over position bins. Bins carry one row per part role, so a text full of parts costs no pairs.
+complementary parts stand within ``reach`` code points in the same document, from the end of one to the
+start of the other, found by an interval join over position bins. A part is in every bin it touches; bins
+carry one row per part role, so a text full of parts costs no pairs. A weak part over a strong one is no
+candidate, but for endpoints: an address with a secret inside is linked to it.
 
 Everything is DataFrame or SQL. Null or empty text has no spans; repeated rows give repeated rows; a
 null ``doc_id`` stays null. Only ``doc_id`` and ``text`` are read.
@@ -22,7 +24,7 @@ VALUE = r"[A-Za-z0-9+/_.=-]+"
 BASE = ["assign", "access", "hex"]
 WEAK = ["key", "user", "endpoint"]
 #: Weak parts: a 40-character run with digits and both cases, a named user, an address.
-KEY = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
+KEY = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 USER = r"""(?i:user(?:_?name|_?id)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 ENDPOINT = r"""(?i:https?|s3|postgres(?:ql)?|mysql|redis|mongodb|amqp|ftp)://[^\x00-\x20"'<>]+"""
 #: What a part can stand for, and which other roles a weak one needs near it.
@@ -51,7 +53,7 @@ def find_parts(docs: DataFrame) -> DataFrame:
     parts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).select(
         F.monotonically_increasing_id().alias("_row"), "doc_id", F.expr(_base("t")).alias("base"), F.expr(_weak("t")).alias("weak")
     )
-    apart = "NOT exists(base, b -> b.start < w.end AND w.start < b.end)"
+    apart = "w.kind = 'endpoint' OR NOT exists(base, b -> b.start < w.end AND w.start < b.end)"
     bare = "transform({}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))"
     return parts.withColumn("weak", F.expr(f"if(size(weak) = 0 OR size(base) = 0, weak, filter(weak, w -> {apart}))")).select(
         "_row", "doc_id", F.expr(bare.format("base")).alias("base"), F.expr(bare.format("weak")).alias("weak")
@@ -64,12 +66,15 @@ def link_parts(parts: DataFrame, reach: int = 200) -> DataFrame:
     each = (
         parts.filter("size(weak) > 0 AND size(weak) + size(base) > 1")
         .select("_row", F.expr("explode(concat(base, weak)) AS p"))
-        .selectExpr("_row", "p", f"{roles} AS role", f"p.start DIV {reach} AS bin")
+        .selectExpr("_row", "p", f"{roles} AS role")
     )
-    bins = each.groupBy("_row", "bin", "role").agg(F.expr("min(p.start) AS first"), F.expr("max(p.start) AS last"))
+    bins = each.selectExpr("_row", "p", "role", f"explode(sequence(p.start DIV {reach}, p.end DIV {reach})) AS bin")
+    bins = bins.groupBy("_row", "bin", "role").agg(F.expr("min(p.start) AS first"), F.expr("max(p.end) AS last"))
     wants = "CASE p.kind " + " ".join(f"WHEN '{k}' THEN array({n})" for k, n in NEEDS.items()) + " END"
-    weak = each.filter(F.col("p.kind").isin(WEAK)).selectExpr("_row", "p", f"explode({wants}) AS role", "bin AS _bin").selectExpr("_row", "p", "role", "explode(array(_bin - 1, _bin, _bin + 1)) AS bin")
-    near = weak.join(bins, ["_row", "bin", "role"]).filter(f"last >= p.start - {reach} AND first <= p.start + {reach}")
+    around = f"explode(sequence(greatest(0L, p.start - {reach}) DIV {reach}, (p.end + {reach}) DIV {reach})) AS bin"
+    weak = each.filter(F.col("p.kind").isin(WEAK)).selectExpr("_row", "p", f"explode({wants}) AS role").selectExpr("_row", "p", "role", around)
+    # A bin holds one end of the reach at most, so first and last of different parts tell no untruth.
+    near = weak.join(bins, ["_row", "bin", "role"]).filter(f"last >= p.start - {reach} AND first <= p.end + {reach}")
     return near.groupBy("_row").agg(F.collect_set("p").alias("linked"))
 
 
