@@ -1,8 +1,9 @@
 """From documents to a training mix: language, near duplicates, benchmark passages, personal data, weights.
 
 Each stage takes all its predecessor kept and returns the columns of its input, the last one the mix.
-Decisions are made on a key: ``doc_id``, or for rows without one a negative hash of the text, so that
-such rows are judged like all others. Stages are written as Parquet in the shared folder and read again.
+Decisions are made on a key of a row's ``doc_id`` and text (for languages also what is declared), so that rows
+that share a ``doc_id`` but not the text are judged one by one. Near duplicates need an order: there the key is
+``doc_id``, or for rows without one, and where one has several texts, a negative hash. Stages are written as Parquet in the shared folder and read again.
 """
 
 from __future__ import annotations
@@ -11,43 +12,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscan.llm import decontaminate, language, minhash, mixing, pii
-from shelfscan.llm.common import staged, table
+from shelfscan.llm.common import salted_lookup, staged, table
 
 KEY = "coalesce(CAST(doc_id AS bigint), -2 - (xxhash64(text) & 9223372036854775807L) DIV 2)"
+#: For rows whose ``doc_id`` has several texts.
+VERSION = "-2 - (xxhash64(doc_id, text) & 9223372036854775807L) DIV 2"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.expr(KEY))
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key ``___key``: one per document, and per text where a ``doc_id`` has several."""
+    texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("min(xxhash64(text)) < max(xxhash64(text)) AS ___many"))
+    several = staged(texts.filter("___many"), "repeated-ids")
+    if several.isEmpty():
+        return docs.withColumn("___key", F.expr(KEY))
+    return salted_lookup(docs, several, ["doc_id"]).withColumn("___key", F.expr(f"if(___many, {VERSION}, {KEY})")).drop("___many")
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose key is in ``keys`` (``doc_id``)."""
+    """``docs`` with ``___key`` less the rows whose key is in ``keys`` (``doc_id``)."""
     gone = keys.select(F.col("doc_id").alias("___gone")).distinct()
-    return docs.join(gone, F.expr(KEY) == F.col("___gone"), "left_anti")
+    return docs.join(gone, F.col("___key") == F.col("___gone"), "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language (operator 10)."""
-    found = language.language_id(_keyed(docs))
-    return _without(docs, found.filter("rejected"))
+    """Documents in a known language (operator 10). The text, its declared language and its source are judged."""
+    marked = docs.withColumn("___key", F.expr("xxhash64(doc_id, text, lang, source)"))
+    found = language.language_id(marked.withColumn("doc_id", F.col("___key")))
+    return _without(marked, found.filter("rejected")).drop("___key")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest key (operator 7): five words, 0.8."""
-    found = minhash.near_duplicates(_keyed(docs), shingle=5, percent=80)
-    kept = _without(docs, found.filter("NOT kept"))
-    twice = staged(docs.groupBy(F.expr(KEY).alias("doc_id")).count().filter("count > 1").select("doc_id"), "repeated-keys")
+    marked = _marked(docs)
+    found = minhash.near_duplicates(marked.selectExpr("___key AS doc_id", "text"), shingle=5, percent=80)
+    kept = _without(marked, found.filter("NOT kept"))
+    twice = staged(marked.groupBy(F.col("___key").alias("doc_id")).count().filter("count > 1").select("doc_id"), "repeated-keys")
     if twice.isEmpty():
-        return kept
-    repeated = kept.join(twice.withColumnRenamed("doc_id", "__twice"), F.expr(KEY) == F.col("__twice"), "left_semi")
-    single = repeated.withColumn("__key", F.expr(KEY)).dropDuplicates(["__key"]).drop("__key")
-    return _without(kept, twice).unionByName(single)
+        return kept.drop("___key")
+    repeated = kept.join(twice.withColumnRenamed("doc_id", "___twice"), F.col("___key") == F.col("___twice"), "left_semi")
+    return _without(kept, twice).unionByName(repeated.dropDuplicates(["___key"])).drop("___key")
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a ten-word run of a benchmark item (operator 9)."""
-    found = decontaminate.find_hits(_keyed(docs), table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("size(hits) > 0"))
+    marked = docs.withColumn("___key", F.expr("xxhash64(doc_id, text)"))
+    found = decontaminate.find_hits(marked.selectExpr("___key AS doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return _without(marked, found.filter("size(hits) > 0")).drop("___key")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

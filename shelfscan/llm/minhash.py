@@ -19,7 +19,7 @@ costs rows in proportion to its documents.
 
 Words: A-Z lower-cased, runs between white space. A document with fewer words than a shingle is one
 shingle; null or empty text has none and is linked with nothing. Rows with one ``doc_id`` are one
-document's versions and count as linked; rows without ``doc_id`` take no part and are kept. Only ``doc_id``
+document's versions and count as linked, each judged by its own text; rows without ``doc_id`` take no part and are kept. Only ``doc_id``
 and ``text`` are read.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscan.llm import words
-from shelfscan.llm.common import chunks, ship, staged, text_buffers
+from shelfscan.llm.common import chunks, salted_lookup, ship, staged, text_buffers
 from shelfscan.llm.graphs import components
 
 #: Components of the longest signature.
@@ -79,14 +79,23 @@ def signature(shingles: np.ndarray, parts: int) -> np.ndarray:
     return (best >> np.uint32(16)).astype(np.uint16)
 
 
+def _marks(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums of hashes that tell one set from another."""
+    if not len(shingles):
+        return 0, 0
+    one, two = words.mix(shingles), words.mix(shingles ^ words.U(0x5851F42D4C957F2D))
+    return tuple(int(x.sum(dtype=words.U).view(np.int64)) for x in (one, two))
+
+
 def _signed(shingle: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, signs = [], [], [], []
             for s in shingle_sets(batch.column(1), shingle):
                 n.append(len(s))
-                one.append(int(words.mix(s).sum(dtype=words.U).view(np.int64)) if len(s) else 0)
-                two.append(int(words.mix(s ^ words.U(0x5851F42D4C957F2D)).sum(dtype=words.U).view(np.int64)) if len(s) else 0)
+                marks = _marks(s)
+                one.append(marks[0])
+                two.append(marks[1])
                 signs.append(signature(s, parts).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary())],
@@ -131,8 +140,10 @@ def _close(most: int):
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            sets = list(shingle_sets(batch.column(1), shingle))
+            one, two = ([m[k] for m in map(_marks, sets)] for k in (0, 1))
+            columns = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "shingles", "n_shingles", "one", "two"])
 
     return run
 
@@ -202,6 +213,8 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 #: Documents of a side of a block.
 BLOCK = 256
+#: What tells one class from another.
+CLASS = ["one", "two", "n_shingles"]
 
 
 class Search:
@@ -215,10 +228,21 @@ class Search:
         schema = "doc_id long, n_shingles long, one long, two long, signature binary"
         self.rows = staged(self.docs.mapInArrow(_signed(shingle, self.chunks * self.width), schema), "signatures")
         named = self.rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.classes = staged(named.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-        firsts = self.classes.selectExpr("id AS doc_id", "one", "two", "n_shingles")
-        signs = named.join(firsts, ["doc_id", "one", "two", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
-        self.signs = staged(signs.selectExpr("doc_id AS id", "n_shingles AS n", "signature"), "class-signatures")
+        several = named.groupBy("doc_id").agg(F.expr("min(struct(one, two, n_shingles)) < max(struct(one, two, n_shingles)) AS differ"))
+        self.versioned = staged(several.filter("differ").select("doc_id"), "versioned")
+        self.versions = not self.versioned.isEmpty()
+        classes = named.groupBy(*CLASS).agg(F.min("doc_id").alias("first"))
+        if self.versions:
+            # The first document of a class may be the first of another, too: such classes have an id of their own.
+            own = self.versioned.withColumnRenamed("doc_id", "_v")
+            classes = classes.join(own, F.col("first") == F.col("_v"), "left")
+            classes = classes.selectExpr(*CLASS, "first", "if(_v IS NULL, first, -2 - (xxhash64(one, two, n_shingles) & 9223372036854775807L) DIV 2) AS id")
+        else:
+            classes = classes.selectExpr(*CLASS, "first", "first AS id")
+        self.classes = staged(classes, "classes")
+        firsts = self.classes.selectExpr("first AS doc_id", *CLASS, "id")
+        signs = named.join(firsts, ["doc_id", *CLASS]).dropDuplicates(["id"])
+        self.signs = staged(signs.selectExpr("id", "n_shingles AS n", "signature"), "class-signatures")
 
     def stars(self) -> DataFrame:
         """``hub`` and ``id`` of every member of a key that is not its hub."""
@@ -228,9 +252,21 @@ class Search:
         return staged(keyed.join(hubs, "key").filter("id <> hub").select("hub", "id").distinct(), "stars")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """``id`` and ``shingles`` of the documents with the given ``doc_id``."""
-        full = self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        return staged(full.mapInArrow(_sets(self.shingle), "id long, shingles binary"), "shingle-sets")
+        """``id`` and ``shingles`` of the classes with the given ``id``."""
+        wanted = self.classes.join(ids, "id", "left_semi")
+        full = self.docs.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+        schema = "id long, shingles binary, n_shingles long, one long, two long"
+        if not self.versions:
+            return staged(full.dropDuplicates(["doc_id"]).mapInArrow(_sets(self.shingle), schema).select("id", "shingles"), "shingle-sets")
+        found = full.mapInArrow(_sets(self.shingle), schema).withColumnRenamed("id", "first").join(wanted, ["first", *CLASS])
+        return staged(found.dropDuplicates(["id"]).select("id", "shingles"), "shingle-sets")
+
+    def between_versions(self) -> DataFrame:
+        """Links between the classes that share a document."""
+        named = self.rows.filter("n_shingles > 0").join(self.versioned, "doc_id", "left_semi").select("doc_id", *CLASS).distinct()
+        met = named.join(self.classes.select(*CLASS, "id"), CLASS).select("doc_id", "id")
+        firsts = met.groupBy("doc_id").agg(F.min("id").alias("a"))
+        return staged(met.join(firsts, "doc_id").filter("a < id").selectExpr("a", "id AS b").distinct(), "version-links")
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (``a``, ``b``; distinct) that are similar: by size, by signature, then on full sets."""
@@ -257,8 +293,10 @@ class Search:
     def components(self) -> DataFrame:
         """``id`` (of a class) and ``component``, for classes that are linked."""
         stars = self.stars()
-        sets = self.sets(stars.selectExpr("hub AS doc_id").union(stars.selectExpr("id AS doc_id")).distinct())
+        sets = self.sets(stars.selectExpr("hub AS id").union(stars.select("id")).distinct())
         links = self.verify(stars.selectExpr("hub AS a", "id AS b"), sets)
+        if self.versions:
+            links = links.union(self.between_versions())
         found = staged(components(links), "components")
         more = self.rest(stars, found, sets)
         return found if more.isEmpty() else staged(components(links.union(more)), "components")
@@ -267,7 +305,11 @@ class Search:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``."""
     s = Search(docs, shingle, percent)
-    of_class = s.classes.join(s.components(), "id", "left").selectExpr("one", "two", "n_shingles", "coalesce(component, id) AS class_component")
-    of_class = staged(of_class, "class-components")
-    joined = s.rows.select("doc_id", "n_shingles", "one", "two").join(of_class, ["one", "two", "n_shingles"], "left")
+    of_class = s.classes.join(s.components(), "id", "left").selectExpr(*CLASS, "first", "coalesce(component, id) AS class_component")
+    if s.versions:
+        of_class = staged(of_class, "labelled-classes")
+        lowest = of_class.groupBy("class_component").agg(F.min("first").alias("lowest"))
+        of_class = salted_lookup(of_class, lowest, ["class_component"]).selectExpr(*CLASS, "lowest AS class_component")
+    of_class = staged(of_class.select(*CLASS, "class_component"), "class-components")
+    joined = s.rows.select("doc_id", *CLASS).join(of_class, CLASS, "left")
     return joined.selectExpr("doc_id", "n_shingles", "if(doc_id IS NULL, NULL, coalesce(class_component, doc_id)) AS component_id").selectExpr("*", "coalesce(doc_id = component_id, true) AS kept")

@@ -182,6 +182,15 @@ def test_near_duplicates(docs, numbered):
     assert got == want and sum(not k for _, _, k in want.values()) >= 3
 
 
+def test_versions_of_a_document(spark):
+    """Different texts under one ``doc_id`` are linked, and each brings the links of its own."""
+    a, b, c = (prose(i, 100) for i in (1, 2, 3))
+    rows = [(5, a), (5, b), (5, a), (7, b + " tail"), (9, a + " tail"), (3, a + " more"), (11, c), (12, c + " tail"), (12, b), (13, prose(4, 50)), (13, prose(5, 50))]
+    for parts in (1, 5):
+        got = minhash.near_duplicates(frame(spark, [t for _, t in rows], [i for i, _ in rows]).repartition(parts), 3, 85)
+        assert rows_of(got, "doc_id", "component_id", "kept") == {**{i: (3, i == 3) for i in (3, 5, 7, 9, 11, 12)}, 13: (13, True)}
+
+
 def test_chains_and_blocks_of_near_copies(spark):
     """A group whose copies are only linked one to the next, and a star of many."""
     words = prose(7, 120).split()

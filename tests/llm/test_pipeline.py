@@ -36,3 +36,21 @@ def test_stages(spark, tmp_path):
     mix = seen["mixing"].collect()
     assert mix and all(0 <= r.last_tokens <= r.tokens for r in mix)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(mix)
+
+
+def test_texts_that_share_an_id(spark, tmp_path):
+    """No text is lost for another one under its ``doc_id``: each is judged by itself."""
+    item = prose(77, 20)
+    a, b, c = (prose(i, 60) for i in (1, 2, 3))
+    rows = [(1, a), (1, b), (1, a), (2, c), (2, a + " tail"), (3, prose(4, 40) + " " + item), (3, prose(5, 60)), (4, "!!! ..."), (4, prose(6, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def texts(stage):
+        return sorted((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect())
+
+    assert texts(corpus_pipeline.keep_known_languages) == sorted(r for r in rows if r != (4, "!!! ..."))
+    once = texts(corpus_pipeline.keep_one_of_each)
+    assert len(once) == 7 and len({a, a + " tail"} & {t for _, t in once}) == 1
+    assert {t for _, t in once} - {a, a + " tail"} == {t for _, t in rows} - {a, a + " tail"}
+    assert texts(corpus_pipeline.drop_benchmark_passages) == sorted(r for r in rows if item not in r[1])
