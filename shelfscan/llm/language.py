@@ -1,8 +1,7 @@
 """Language identification by Bayesian fusion of evidence.
 
 The text's likelihood under each language comes from byte trigrams (A-Z lower-cased) in ``BUCKETS`` hashed
-buckets, fitted on at most ``PER_LANGUAGE`` labelled rows of each of at most ``LANGUAGES`` languages, chosen
-by hash; ``und`` is the model of no language, with all buckets alike. All rows are then scored, and grouped
+buckets, fitted on at most ``PER_LANGUAGE`` labelled rows of every declared language, chosen by hash; ``und`` is the model of no language, with all buckets alike. All rows are then scored, and grouped
 counts over all rows give the other evidence: how a declared language goes with what texts say, and priors
 per host, smoothed by the address suffix's and those by the whole corpus's. The posterior adds the logs
 of all of them; the text's is tempered, as its trigrams are not independent.
@@ -27,8 +26,8 @@ from shelfscan.llm import words
 from shelfscan.llm.common import chunks, salted_lookup, ship, staged, text_buffers
 
 BUCKETS = 1 << 15
-#: Bounds of the labelled sample that the text model is fitted on.
-PER_LANGUAGE, LANGUAGES = 500, 64
+#: Bound of the labelled sample of a language that its text model is fitted on.
+PER_LANGUAGE = 500
 TEMPER = 0.2
 #: Rows that a parent's prior counts for, and what an unseen declaration counts for.
 SMOOTHING, UNSEEN = 20.0, 1.0
@@ -71,23 +70,25 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of every bucket in each; ``und`` comes last. ``rows``: ``key``, ``text``, ``declared``."""
     ship(rows.sparkSession)
     labelled = rows.filter("declared IS NOT NULL AND declared <> '' AND text IS NOT NULL")
-    common = [r[0] for r in labelled.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
-    narrow = labelled.filter(F.col("declared").isin(common)).select("declared", F.xxhash64("key", "declared").alias("h"))
+    narrow = labelled.select("declared", F.xxhash64("key", "declared").alias("h"))
     for keys in (["declared", F.expr("pmod(h, 64)")], ["declared"]):
         narrow = narrow.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(f"_n <= {PER_LANGUAGE}").drop("_n")
     edges = {r[0]: r[1] for r in narrow.groupBy("declared").agg(F.max("h")).collect()}
     if not edges:
         return [UND], np.full((1, BUCKETS), -math.log(BUCKETS), np.float32)
-    listed = F.expr("CASE declared " + " ".join(f"WHEN {literal(k)} THEN xxhash64(key, declared) <= {h}L" for k, h in edges.items()) + " ELSE false END")
-    counts = labelled.filter(listed).select("declared", "text").mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    edge = f"element_at(map({', '.join(f'{literal(k)}, {h}L' for k, h in edges.items())}), declared)"
+    counts = labelled.filter(f"xxhash64(key, declared) <= {edge}").select("declared", "text").mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     names = sorted(edges)
-    table = np.full((len(names) + 1, BUCKETS), 0.05)
-    for r in counts.collect():
-        table[names.index(r["lang"]), r["bucket"]] += r["n"]
-    table[-1] = 1.0
-    table /= table.sum(axis=1, keepdims=True)
-    logs = np.log(table)
-    return [*names, UND], np.maximum(logs, logs[-1] - UNKNOWN).astype(np.float32)
+    model = np.empty((len(names) + 1, BUCKETS), np.float32)
+    model[:] = -math.log(BUCKETS)
+    # One language at a time: the driver holds the model, not the counts.
+    place = {name: i for i, name in enumerate(names)}
+    for r in counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).toLocalIterator():
+        row = np.full(BUCKETS, 0.05)
+        row[r["buckets"]] += r["n"]
+        model[place[r["lang"]]] = np.log(row / row.sum())
+    model[-1] = -math.log(BUCKETS)
+    return [*names, UND], np.maximum(model, np.float32(-math.log(BUCKETS) - UNKNOWN))
 
 
 def literal(value: str) -> str:
@@ -99,6 +100,7 @@ def _likelihoods(model: np.ndarray):
     """The tempered log likelihood of every text in every language, the largest being 0; none where there is no letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = np.zeros(BUCKETS + 1, np.float32)
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             n = batch.num_rows
@@ -109,7 +111,8 @@ def _likelihoods(model: np.ndarray):
                 worded[a:b] = np.diff(words.bounds(part, at, words.ALNUM)[2]) > 0
                 grams = _trigrams(part)
                 first, last = np.minimum(at[:-1], len(grams)), np.minimum(np.maximum(at[:-1], at[1:] - 2), len(grams))
-                for j, row in enumerate(np.concatenate([model, np.zeros((len(model), 1), np.float32)], axis=1)):
+                for j, logs in enumerate(model):
+                    row[:BUCKETS] = logs
                     total = np.zeros(len(grams) + 1)
                     np.cumsum(row[grams], out=total[1:])
                     scores[a:b, j] = total[last] - total[first]

@@ -265,6 +265,18 @@ def test_language(spark):
     assert all(got[i] == ("und", True) for i in (900, 901, 902, 903))
 
 
+def test_every_declared_language_has_a_model(spark):
+    """Seventy languages, the last ones with the fewest rows."""
+    r = random.Random(6)
+    letters = [r.sample("abcdefghijklmnopqrstuvwxyz", 6) for _ in range(70)]
+    langs = [j for j in range(70) for _ in range(12 if j < 64 else 8)]
+    rows = [(i, " ".join("".join(r.choice(letters[j]) for _ in range(5)) for _ in range(40)), f"l{j:02}", f"host-{j}") for i, j in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = rows_of(language.language_id(docs), "doc_id", "text_language", "language")
+    rare = [got[i] == (f"l{j:02}", f"l{j:02}") for i, j in enumerate(langs) if j >= 64]
+    assert sum(rare) / len(rare) > 0.9
+
+
 def test_nearest(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(700, 16))
