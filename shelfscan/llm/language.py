@@ -185,3 +185,11 @@ def of_pages(pages: DataFrame) -> DataFrame:
 
 def language_id(docs: DataFrame) -> DataFrame:
     return identify(of_documents(docs)).withColumnRenamed("key", "doc_id")
+
+
+def language_of_tables(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``table``, ``doc_id`` or ``page_id``, and what ``identify`` finds: every row of both, each table by its own evidence."""
+    key = {f: t.schema[f].dataType.simpleString() for f, t in (("doc_id", docs), ("page_id", pages))}
+    columns = ["language", "probability", "text_language", "declared", "rejected"]
+    of_docs = identify(of_documents(docs)).selectExpr("'documents' AS table", "key AS doc_id", f"CAST(NULL AS {key['page_id']}) AS page_id", *columns)
+    return of_docs.union(identify(of_pages(pages)).selectExpr("'pages' AS table", f"CAST(NULL AS {key['doc_id']}) AS doc_id", "key AS page_id", *columns))

@@ -47,7 +47,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_id(table(spark, sf_dir, "documents"))
+    return language.language_of_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_substring_dedup, op4_license_scan, op5_mixing, op6_pii, op7_near_duplicates, op8_nearest, op9_decontamination, op10_language)}

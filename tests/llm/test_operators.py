@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from shelfscan.llm import credentials, decontaminate, language, licenses, minhash, mixing, neighbours, pii, substring_dedup, token_counts
 from shelfscan.llm.graphs import components
+from shelfscan.llm.queries import QUERIES
 from shelfscan.llm.spans import around
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -265,6 +266,32 @@ def test_language(spark):
     assert all(got[i] == ("und", True) for i in (900, 901, 902, 903))
 
 
+def test_language_of_pages(spark, tmp_path):
+    """The query reads pages too: declared markup language, host, and the address suffix where the host is new."""
+    letters = {"de": "abcdef", "fr": "ghijkl"}
+
+    def text(lang, seed, n):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+
+    def page(lang, body):
+        return f'<!DOCTYPE html><HTML class="x" lang="{lang}-XX"><head><script>var mnop="</p>";</script></head><body><p>{body}</p></body></html>' if lang else f"<p>{body}</p>"
+
+    rows = [(i, f"https://www{i % 4}.host.{lang}:80/a/{i}?x=b.com", page(lang.upper() if i % 3 else "", text(lang, i, 20))) for i, lang in enumerate(list(letters) * 60)]
+    odd = "zz"  # tells nothing
+    rows += [(900, "https://www0.host.de/x", page("", odd)), (901, "https://new.fr/x", page("", odd)), (902, "https://elsewhere.org/x", page("fr", odd)), (903, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, text("de", 1, 9), "de", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    evidence = {r.key: r for r in language.of_pages(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()}
+    assert (evidence[1].declared, evidence[1].host, evidence[1].suffix) == ("fr", "www1.host.fr", "fr") and evidence[0].declared is None
+    assert "mnop" not in evidence[1].text and evidence[1].text.strip() == text("fr", 1, 20)
+    out = QUERIES["op10_language"](spark, str(tmp_path))
+    assert rows_of(out.filter("table = 'documents'"), "doc_id", "page_id", "declared") == {1: (None, "de")}
+    pages = rows_of(out.filter("table = 'pages'"), "page_id", "doc_id", "language")
+    assert {i: pages[i] for i, _, _ in rows[:120]} == {i: (None, lang) for i, lang in enumerate(list(letters) * 60)}
+    assert (pages[900], pages[901], pages[902]) == ((None, "de"), (None, "fr"), (None, "fr")) and pages[903] == (None, "und")
+
+
 def test_every_declared_language_has_a_model(spark):
     """Seventy languages, the last ones with the fewest rows."""
     r = random.Random(6)
