@@ -1,7 +1,7 @@
 """Licence scans: ordered signature rules behind a keyword prefilter.
 
 Rules are hand-written forms (title, grant, tag, address) of named licence families with their
-versions. A row whose bytes hold none of the keywords is never matched. Each rule is a sequence of
+versions. A row that holds none of the words that a rule needs, one word a rule, is never matched. Each rule is a sequence of
 words, matched on the row's words, with a priority. A detection whose word interval lies inside one of
 another rule with higher priority, or with the same priority and more words, is suppressed.
 
@@ -88,7 +88,6 @@ FORMS = (
     ("under the terms of the", 30, 0.95),
     ("", 10, 0.8),
 )
-KEYWORDS = ("licens", "licenc", "gpl", "mpl", "epl", "cddl", "odbl", "gfdl", "cc by", "cc-by", "cc0", "creative commons", "public domain", "redistribution and use", "hereby granted", "all rights reserved", "free software", "to use", "spdx", "without any express")
 SHORT_ALONE = {"gpl", "lgpl", "agpl", "mpl", "epl"}  # too short to count without a form before or a version after
 
 
@@ -123,7 +122,23 @@ def _tree() -> dict:
     return root
 
 
-_KEY = re.compile("|".join(re.escape(k) for k in KEYWORDS).encode())
+def necessary(texts: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
+    """A word of every text (words): the longest one, where no word of a shorter text is in it."""
+    chosen: dict[str, None] = {}
+    out = {}
+    for t in sorted(texts, key=lambda t: (len(t), t)):
+        out[t] = next((w for w in t if w in chosen), None) or max(t, key=len)
+        chosen[out[t]] = None
+    return out
+
+
+@lru_cache(1)
+def gate() -> re.Pattern[bytes]:
+    """What every text with a detection or a base place holds: a word of each rule, derived from the rules."""
+    some = set(necessary([r[0] for r in rules()] + [tuple(p.split()) for p, _ in BASE]).values())
+    return re.compile(("(?:" + "|".join(sorted(some, key=lambda w: (-len(w), w))) + r")(?![0-9a-z\x80-\xff])").encode())
+
+
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = tuple((tuple(p.encode().split()), label) for p, label in BASE)
 
@@ -179,11 +194,9 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(offsets):
             part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             counts[a:b] = np.diff(words.bounds(part, at, words.ALNUM)[2])
-            raw, hit = part.tobytes(), -1
-            for m in _KEY.finditer(raw):
-                row = int(np.searchsorted(at, m.start(), "right")) - 1
-                if row != hit and m.end() <= at[row + 1]:
-                    hit = row
+            raw = part.tobytes()
+            for row in range(b - a):
+                if gate().search(raw, at[row], at[row + 1]):
                     found[a + row] = _scan(raw[at[row] : at[row + 1]])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
         columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]

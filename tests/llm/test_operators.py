@@ -99,6 +99,15 @@ def test_contained_detections_are_suppressed():
     assert len(licenses.rules()) > 1000
 
 
+def test_every_license_rule_passes_the_gate(spark):
+    for words, *_ in licenses.rules():
+        for between in (" ", "\n", "-", ",\n * "):
+            assert licenses.gate().search(between.join(words).encode())
+    texts = ["distributed under the EUPL v1.2", "WTFPL", "released into the public\ndomain", "All rights\nreserved", "Creative\nCommons Attribution 4.0", "x license"]
+    got = rows_of(licenses.license_scan(frame(spark, texts)), "doc_id", "labels")
+    assert [got[i][0] for i in range(3, 9)] == ["eupl-1.2", "wtfpl", "public-domain", "proprietary", "cc-by-4.0", ""]
+
+
 def test_personal_data(docs, numbered):
     found = pii.pii_digest(docs)
     assert rows_of(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == {i: brute.op6(t) for i, t in numbered}
