@@ -1,8 +1,9 @@
 """Licence scans: ordered signature rules behind a keyword prefilter.
 
 Rules are hand-written forms (title, grant, tag, address) of named licence families with their
-versions. A row that holds none of the words that a rule needs, one word a rule, is never matched. Each rule is a sequence of
-words, matched on the row's words, with a priority. A detection whose word interval lies inside one of
+versions. A row that holds none of the words that a rule needs, one word a rule, is never matched. Each rule is a
+regular expression over the row's words (SPDX identifiers, short names after a form, glued versions, optional
+words), with a priority. A detection whose word interval lies inside one of
 another rule with higher priority, or with the same priority and more words, is suppressed.
 
 Words: A-Z lower-cased, maximal runs of digits, a-z and everything beyond ASCII. Null or empty text has
@@ -77,49 +78,74 @@ BODIES = (
     ("public-domain", "released into the public domain"),
     ("public-domain", "dedicated to the public domain"),
 )
-#: What stands before a name, and how much the form is worth. Higher priority wins.
+#: Names that tell a licence only after a form.
+SHORT = {
+    "mit": ("mit", "expat", "x11"), "apache": ("apache", "asl"), "gfdl": ("gnu fdl",), "bsd": ("bsd", "0bsd"), "artistic": ("artistic",), "boost": ("bsl", "boost"),
+    "cpl": ("cpl",), "isc": ("isc",), "zlib": ("zlib", "zlib acknowledgement"), "unlicense": ("unlicense",), "python": ("psf", "python"), "ofl": ("ofl", "sil ofl"), "ms-pl": ("ms pl",),
+    "ms-rl": ("ms rl",), "osl": ("osl",), "afl": ("afl",), "proprietary": ("proprietary",),
+}
+#: Short names that need no form before them.
+CLAUSES = {"bsd": ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause")}
+#: What stands before a name: as words, as a pattern, and how much the form is worth. Higher priority wins.
 FORMS = (
-    ("spdx license identifier", 40, 1.0),
-    ("licensed under the", 30, 0.95),
-    ("licensed under", 30, 0.95),
-    ("released under the", 30, 0.95),
-    ("released under", 30, 0.95),
-    ("distributed under the", 30, 0.95),
-    ("under the terms of the", 30, 0.95),
-    ("", 10, 0.8),
+    ("spdx license identifier", "spdx licen[sc]e identifier", 40, 1.0),
+    ("spdx license identifier zlib and", "spdx licen[sc]e identifier (?:[0-9a-z.]+ ){1,12}?(?:or|and|with)", 40, 1.0),
+    *((f"{w} under the", w.replace("licens", "licen[sc]") + " under(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)?", 30, 0.95) for w in ("licensed", "released", "distributed", "available", "published", "provided", "covered", "governed")),
+    ("under the terms of the", "under the terms(?: and conditions)? of(?: the| an?)?", 30, 0.95),
+    ("", "", 10, 0.8),
 )
 SHORT_ALONE = {"gpl", "lgpl", "agpl", "mpl", "epl"}  # too short to count without a form before or a version after
+#: Between a name and its version, and after it. A version may be glued to the name, with or without v.
+BETWEEN = "(?: licen[sc]e)?(?: as published by the free software foundation)?(?: either)?(?: version | v| |v|)"
+AFTER = "(?: only| or(?: any)? later(?: version)?)?"
+
+
+def _spelled(words: str) -> str:
+    return re.sub(r"\blicen[sc]e\b", "licen[sc]e", words)
 
 
 @lru_cache(1)
-def rules() -> tuple[tuple[tuple[str, ...], str, int, float], ...]:
-    """All rules in order: words, label, priority, score."""
+def rules() -> tuple[tuple[tuple[str, ...], str, int, float, str], ...]:
+    """All signatures in order: words of an example, label, priority, score, and a pattern over words with a blank between.
+
+    A detection is the group ``at`` of the pattern.
+    """
     out = {}
-    for form, priority, score in FORMS:
+    for example, form, priority, score in FORMS:
         for label, names, versions in FAMILIES:
-            for name in names:
-                for version in versions:
-                    if not form and not version and name in SHORT_ALONE:
+            known = (*names, *CLAUSES.get(label, ()), *(SHORT.get(label, ()) if form else ()))
+            for version in versions:
+                full, value = (f"{label}-{version.replace(' ', '.')}", priority + 5) if version else (label, priority)
+                tail = BETWEEN + version + AFTER if version else ""
+                if form:
+                    anyone = "(?:" + "|".join(map(_spelled, sorted(known, key=len, reverse=True))) + ")"
+                    start = f"{form} (?P<at>" if "identifier (" in form else f"(?P<at>{form} "
+                    out.setdefault(tuple(f"{example} {known[0]} {version}".split()), (full, value, score, f"{start}{anyone}{tail})"))
+                    continue
+                for name in known:
+                    if not version and name in SHORT_ALONE:
                         continue
-                    for between in ("", "version ", "v") if version else ("",):
-                        text = f"{form} {name} {between}{version}".split()
-                        full = f"{label}-{version.replace(' ', '.')}" if version else label
-                        out.setdefault(tuple(text), (full, priority + 5 * bool(version), score))
+                    pattern = f"(?P<at>{_spelled(name)}{tail})"
+                    for between in ("", "version ", "v"):
+                        out.setdefault(tuple(f"{name} {between if version else ''}{version}".split()), (full, value, score, pattern))
+                    if version and " " not in name:
+                        for between in ("", "v"):
+                            out.setdefault(tuple(f"{name}{between}{version}".split()), (full, value, score, pattern))
+                    if "license" in name.split():
+                        out.setdefault(tuple(f"{name.replace('license', 'licence')} {version}".split()), (full, value, score, pattern))
     for label, body in BODIES:
-        out.setdefault(tuple(body.split()), (label, 50, 1.0))
+        out.setdefault(tuple(body.split()), (label, 50, 1.0, f"(?P<at>{body})"))
     return tuple((w, *x) for w, x in sorted(out.items(), key=lambda r: (-r[1][1], -len(r[0]), r[0])))
 
 
-@lru_cache(1)
-def _tree() -> dict:
-    """Rules as a tree of words; under None stands what a rule that ends there detects."""
-    root: dict = {}
-    for rule, *rest in rules():
-        node = root
-        for w in rule:
-            node = node.setdefault(w.encode(), {})
-        node[None] = (len(rule), *rest)
-    return root
+def _needed(form: str) -> tuple[str, ...]:
+    """The words of which a form holds one."""
+    if not form:
+        return ()
+    if form.startswith("spdx"):
+        return ("spdx",)
+    first = form.split("(")[0].split()
+    return ("terms",) if first[0] == "under" else tuple(first[0].replace("licen[sc]", x) for x in ("licens", "licenc")) if "[" in first[0] else (first[0],)
 
 
 def necessary(texts: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
@@ -132,32 +158,66 @@ def necessary(texts: list[tuple[str, ...]]) -> dict[tuple[str, ...], str]:
     return out
 
 
+@lru_cache(1)
+def _words() -> dict[tuple[str, ...], tuple[str, ...]]:
+    """By example: the words of which each match of the signature holds one, that of its form or else of its name."""
+    forms = {example: _needed(form) for example, form, *_ in FORMS if form}
+    out = {}
+    for example, *_, pattern in rules():
+        form = next((e for e, f, *_ in FORMS if f and pattern.startswith((f"(?P<at>{f} ", f"{f} (?P<at>"))), None)
+        out[example] = forms[form] if form else ()
+    named = necessary([e for e, needed in out.items() if not needed])
+    return {e: needed or (named[e],) for e, needed in out.items()}
+
+
 @lru_cache(1)
 def gate() -> re.Pattern[bytes]:
     """What every text with a detection or a base place holds: a word of each rule, derived from the rules."""
-    some = set(necessary([r[0] for r in rules()] + [tuple(p.split()) for p, _ in BASE]).values())
+    some = {w for needed in _words().values() for w in needed} | set(necessary([tuple(p.split()) for p, _ in BASE]).values())
     return re.compile(("(?:" + "|".join(sorted(some, key=lambda w: (-len(w), w))) + r")(?![0-9a-z\x80-\xff])").encode())
 
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = tuple((tuple(p.encode().split()), label) for p, label in BASE)
+#: Words around a necessary one that its match can reach.
+WINDOW = 48
+
+
+@lru_cache(1)
+def _anchored() -> dict[bytes, dict[re.Pattern[bytes], list[tuple[re.Pattern[bytes], int, str, float]]]]:
+    """The signatures by the word they need and by the form that all of a list begin with."""
+    heads = {f"{form} ": re.compile(f"(?<![^ ]){form} ".encode()) for _, form, *_ in FORMS if form}
+    found: dict[bytes, dict] = {}
+    for example, label, priority, score, pattern in rules():
+        head = next((h for f, h in heads.items() if pattern.startswith((f"(?P<at>{f}", f"{f}(?P<at>"))), re.compile(b""))
+        for w in _words()[example]:
+            some = found.setdefault(w.encode(), {}).setdefault(head, {})
+            some[pattern, label] = (re.compile(f"(?<![^ ]){pattern}(?![^ ])".encode()), priority, label, score)
+    return {w: {head: list(some.values()) for head, some in by_head.items()} for w, by_head in found.items()}
 
 
 def detections(tokens: list[bytes]) -> list[tuple[int, int, str, float]]:
     """Labels with their word intervals and scores, after suppression."""
-    root = _tree()
-    found = []
-    for i, w in enumerate(tokens):
-        node, j = root.get(w), i + 1
-        while node is not None:
-            if None in node:
-                n, label, priority, score = node[None]
-                found.append((priority, n, i, i + n, label, score))
-            node, j = node.get(tokens[j]) if j < len(tokens) else None, j + 1
-    found.sort(key=lambda d: (-d[0], -d[1], d[2], d[4]))
+    anchored = _anchored()
+    places = [i for i, w in enumerate(tokens) if w in anchored]
+    found = set()
+    k = 0
+    while k < len(places):
+        first = last = k
+        while last + 1 < len(places) and places[last + 1] - places[last] <= 2 * WINDOW:
+            last += 1
+        k = last + 1
+        at = max(0, places[first] - WINDOW)
+        text = b" ".join(tokens[at : places[last] + WINDOW])
+        for w in {tokens[i] for i in places[first:k]}:
+            for pattern, priority, label, score in (x for head, some in anchored[w].items() if head.search(text) for x in some):
+                for m in pattern.finditer(text):
+                    start = at + text.count(b" ", 0, m.start("at"))
+                    n = m.group("at").count(b" ") + 1
+                    found.add((priority, n, start, start + n, label, score))
     kept: list[tuple[int, int, str, float]] = []
     reach: dict[int, int] = {}  # word: furthest end of a kept interval over it
-    for _, _, start, end, label, score in found:
+    for _, _, start, end, label, score in sorted(found, key=lambda d: (-d[0], -d[1], d[2], d[4])):
         if reach.get(start, -1) >= end:
             continue
         kept.append((start, end, label, score))

@@ -1,6 +1,7 @@
 """Operators against brute force, and on the odd cases: nulls, empty and long texts, repeated rows, empty tables."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -99,6 +100,22 @@ def test_contained_detections_are_suppressed():
     assert len(licenses.rules()) > 1000
 
 
+def test_license_forms():
+    wanted = {
+        "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "BSD-3-Clause": "bsd", "licensed under MIT": "mit", "GPLv3": "gpl-3", "LGPLv2.1": "lgpl-2.1",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "mit apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0", "released under the BSD 3-clause license": "bsd",
+        "GNU General Public Licence as published by the Free Software Foundation, either version 3": "gpl-3", "Apache 2.0 released under the terms of the AGPLv3": "agpl-3",
+        "mit der Zeit, python and boost": "", "Available under CC BY-SA 4.0": "cc-by-sa-4.0",
+    }
+    for text, labels in wanted.items():
+        raw = text.lower().encode()
+        assert licenses.gate().search(raw) or not labels
+        assert [d[2] for d in licenses.detections(licenses._WORD.findall(raw))] == labels.split(), text
+    for example, label, *_, pattern in licenses.rules():
+        assert re.search(f"(?<![^ ]){pattern}(?![^ ])", " ".join(example)), (example, label)
+        assert licenses.detections([w.encode() for w in example]), example
+
+
 def test_every_license_rule_passes_the_gate(spark):
     for words, *_ in licenses.rules():
         for between in (" ", "\n", "-", ",\n * "):
