@@ -253,11 +253,12 @@ class Search:
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """``id`` and ``shingles`` of the classes with the given ``id``."""
-        wanted = self.classes.join(ids, "id", "left_semi")
-        full = self.docs.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
         schema = "id long, shingles binary, n_shingles long, one long, two long"
         if not self.versions:
-            return staged(full.dropDuplicates(["doc_id"]).mapInArrow(_sets(self.shingle), schema).select("id", "shingles"), "shingle-sets")
+            full = self.docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            return staged(full.mapInArrow(_sets(self.shingle), schema).select("id", "shingles"), "shingle-sets")
+        wanted = staged(self.classes.join(ids, "id", "left_semi"), "wanted-classes")
+        full = self.docs.join(wanted.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
         found = full.mapInArrow(_sets(self.shingle), schema).withColumnRenamed("id", "first").join(wanted, ["first", *CLASS])
         return staged(found.dropDuplicates(["id"]).select("id", "shingles"), "shingle-sets")
 
