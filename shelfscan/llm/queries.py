@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfscan.llm import credentials, decontaminate, language, licenses, minhash, mixing, neighbours, pii, substring_dedup, token_counts
+from shelfscan.llm import bpe, credentials, decontaminate, divergence, language, licenses, minhash, mixing, neighbours, phrases, pii, substring_dedup, token_counts
 from shelfscan.llm.common import table
 
 
@@ -50,7 +50,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of_tables(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_substring_dedup, op4_license_scan, op5_mixing, op6_pii, op7_near_duplicates, op8_nearest, op9_decontamination, op10_language)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=100, first=2000)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_substring_dedup, op4_license_scan, op5_mixing, op6_pii, op7_near_duplicates, op8_nearest, op9_decontamination, op10_language, op11_bpe, op12_divergence, op13_collocations)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -77,4 +91,38 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op12_divergence": r"""
+WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT row, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grps AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+dense AS (SELECT lang, source, term, coalesce(c, 0) AS c FROM grps JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p FROM dense JOIN sizes USING (lang)),
+whole AS (SELECT lang, term, sum(c) AS c FROM dense GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q FROM whole JOIN sizes USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_collocations": r"""
+WITH pieces AS (SELECT row_number() OVER () AS id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, w[s:s + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, range(1, 6) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= 100),
+cand AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1),
+inner_ AS (SELECT lang, p[s:s + m - 1] AS p, max(a) AS around FROM (SELECT lang, p, a, m, unnest(range(1, len(p) - m + 2)) AS s FROM cand, range(2, 5) t(m) WHERE len(p) > m) GROUP BY ALL),
+left_ AS (SELECT lang, p, a FROM cand LEFT JOIN inner_ USING (lang, p) WHERE around IS NULL OR around < a),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM left_),
+scored AS (SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score FROM cuts c JOIN sizes USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:]),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank, array_to_string(p, ' ') AS phrase,
+a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM worst QUALIFY rank <= 2000""",
 }

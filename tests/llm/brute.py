@@ -75,3 +75,49 @@ def op7(docs):
             if 100*n>=85*(len(s)+len(S[e])-n):
                 a,b=find(d),find(e); par[max(a,b)]=min(a,b)
     return {d:(len(S[d]),find(d),find(d)==d) for d in S}
+def op12(docs, least=10, top=10):
+    from collections import Counter
+    from fractions import Fraction
+    from math import floor
+    docs=[(l or '',s or '',re.findall(r'[^\x00-\x40\x5B-\x60\x7B-\x7F]+',low(t))) for l,s,t in docs]
+    out=[]
+    for lang in {l for l,_,_ in docs}:
+        mine=[(s,w) for l,s,w in docs if l==lang]
+        seen=Counter(t for _,w in mine for t in set(w))
+        kept=sorted((t for t,n in seen.items() if n>=least), key=str.encode)
+        def p(words):
+            c=Counter(t for t in words if seen[t]>=least); n=sum(c.values())
+            return c,{t: 1+floor(Fraction(10**9*(c[t]+2),n+2*len(kept))) for t in kept}
+        _,q=p(t for _,w in mine for t in w)
+        of={s: p(t for x,w in mine if x==s for t in w) for s,_ in mine}
+        f=lambda a,b: floor(Fraction((a-b)**2,a+b))
+        for s,(c,a) in of.items():
+            pairs=sorted((-sum(f(a[t],b[t]) for t in kept),o.encode()) for o,(_,b) in of.items() if o!=s)
+            own=sorted((-f(a[t],q[t]),t.encode()) for t in kept if c[t]>0 and a[t]>q[t])[:top]
+            out+=[(lang,s,part,i.decode(),-v,k) for part,found in (('pair',pairs),('term',own)) for k,(v,i) in enumerate(found,1)]
+    return sorted(out)
+def op13(docs, support=100, first=2000):
+    from collections import Counter
+    n=Counter(); f=Counter()
+    for lang,t in docs:
+        lang='und' if lang is None else lang
+        for piece in re.split(r'[.,;:!?\x0A-\x0D]', low(t)):
+            w=re.findall(r'[^\x20\x09]+',piece); n[lang]+=len(w)
+            for m in range(1,6):
+                for i in range(len(w)-m+1): f[lang,tuple(w[i:i+m])]+=1
+    cand={k:a for k,a in f.items() if len(k[1])>1 and a>=support}; gone=set()
+    for (lang,p),a in cand.items():
+        for m in range(2,len(p)):
+            for i in range(len(p)-m+1):
+                q=(lang,p[i:i+m])
+                if a>=cand[q]: gone.add(q)
+    out=[]
+    for (lang,p),a in cand.items():
+        if (lang,p) in gone: continue
+        s,k=min((1000*a*n[lang]//(f[lang,p[:k]]*f[lang,p[k:]]),k) for k in range(1,len(p)))
+        out.append((lang,-s,-a,' '.join(p).encode(),f[lang,p[:k]],f[lang,p[k:]],n[lang]))
+    out.sort(); res=[]; c=Counter()
+    for lang,s,a,p,l,r,x in out:
+        c[lang]+=1
+        if c[lang]<=first: res.append((lang,c[lang],p.decode(),-a,l,r,x,-s))
+    return sorted(res)
