@@ -3,8 +3,8 @@
 A text is put into composed form, white space parts it into words, and words are lower-cased. Words of the whole
 corpus are counted; the frequent ones are encoded once and compiled into a minimal acyclic transducer (see
 ``transducer``) whose file every executor gets and its workers map into memory. A worker looks the distinct words of
-a chunk up in it, all at once. Words that it does not know are cut into letters, digits and signs and merged exactly,
-lowest rank first, leftmost first. Which words are frequent decides about time only, never about ids.
+a chunk up in it, all at once. Words that it does not know are cut into letters, digits and signs; pieces that it does
+not know either are merged exactly, lowest rank first, leftmost first, many side by side. Which words are frequent decides about time only, never about ids.
 
 Special strings that stand in a text are one id each, as the vocabulary's library has it by default. Null text is
 empty text: no ids, decoded to the empty text. Repeated rows give repeated rows; a null ``doc_id`` stays null. Texts
@@ -37,29 +37,37 @@ from shelfscan.llm.transducer import Builder, Transducer, spread
 
 #: Most words of the lexicon and most bytes of one: with these its file stays below some ten megabytes.
 LEXICON, WORD_BYTES = 50_000, 48
-#: Words that a worker remembers beyond the lexicon, and words that it counts, before it starts anew.
-CACHE = 200_000
+#: Distinct words that a task counts before it hands its counts on.
+HELD = 200_000
 #: Bytes of text that are worked on together, and code points of a part of a long text.
-CHUNK, PART = 2 << 20, 1 << 20
+CHUNK, PART = 4 << 20, 1 << 20
+#: Most bytes of a piece that is merged side by side with others; longer ones are merged by a queue.
+SIDE = 64
 
 # Capital letters younger than this Python's tables, with their small letters.
 YOUNG = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 YOUNG |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 _YOUNG = re.compile("[" + "".join(map(chr, YOUNG)) + "]")
 #: White space to Python but not to the vocabulary.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = regex.compile(r"\s+")
 
 
 def normal(text: str) -> str:
     """Composed form, lower case letter by letter (so without the Greek final s)."""
     text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-    return text.translate(YOUNG) if not text.isascii() and _YOUNG.search(text) else text
+    if text.isascii():
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.translate(YOUNG) if _YOUNG.search(text) else text
+    return text
 
 
 def split_words(text: str) -> list[str]:
     """Words between white space, of a normal text."""
-    return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+    return [w for w in _SPACE.split(text) if w] if any(c in text for c in SEPARATORS) else text.split()
 
 
 # Letters and digits to the pattern library, but signs to the vocabulary, whose tables are older.
@@ -74,8 +82,8 @@ SIGNS = [
     (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
 ]
 _SIGNS = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SIGNS)
-#: What merges never cross: letters, one digit, signs.
-_PATTERN = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_SIGNS}]]+|[\p{{N}}--[{_SIGNS}]]|[[^\s\p{{L}}\p{{N}}]||[{_SIGNS}]]+")
+#: What merges never cross: letters, one digit, signs. A line's end parts words that are cut together.
+_PATTERN = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_SIGNS}]]+|[\p{{N}}--[{_SIGNS}]]|[[^\s\p{{L}}\p{{N}}]||[{_SIGNS}]]+|\n")
 
 
 class Vocabulary:
@@ -88,8 +96,8 @@ class Vocabulary:
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         shown = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
-        self.inner = [vocab[shown[b]] for b in range(256)]
-        self.final = [vocab[shown[b] + end] for b in range(256)]
+        self.inner_ids = np.array([vocab[shown[b]] for b in range(256)], np.int64)
+        self.final_ids = np.array([vocab[shown[b] + end] for b in range(256)], np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
@@ -100,23 +108,15 @@ class Vocabulary:
         texts = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         self.text_ends = np.cumsum([0, *map(len, texts)])
         self.texts = np.frombuffer(b"".join(texts), np.uint8)
-        self.cache: dict[str, list[int]] = {}
+        pairs = sorted((a << 20 | b, rank, made) for (a, b), (rank, made) in self.merges.items())
+        self.pair, self.rank, _ = (np.array(c, np.int64) for c in zip(*pairs))
+        self.made = np.zeros(len(pairs) + 1, np.int64)
+        for _, rank, made in pairs:
+            self.made[rank] = made
 
     def _merged(self, symbols: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of them, until none is left."""
-        merges = self.merges
-        n = len(symbols)
-        if n <= 24:
-            while len(symbols) > 1:
-                best, at = None, -1
-                for i in range(len(symbols) - 1):
-                    found = merges.get((symbols[i], symbols[i + 1]))
-                    if found is not None and (best is None or found < best):
-                        best, at = found, i
-                if best is None:
-                    break
-                symbols[at : at + 2] = [best[1]]
-            return symbols
+        merges, n = self.merges, len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         waiting = [(*found, i) for i in range(n - 1) if (found := merges.get((symbols[i], symbols[i + 1])))]
         heapq.heapify(waiting)
@@ -135,23 +135,87 @@ class Vocabulary:
                 heapq.heappush(waiting, (*found, before[i]))
         return [s for s in symbols if s >= 0]
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; the number of merges where there is none."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], len(self.pair))
+
+    def _merged_side_by_side(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Many short pieces at once, one merge of each in every round: their ids, and how many each has."""
+        never, owner = len(self.pair), np.repeat(np.arange(len(sizes)), sizes)
+        sizes, done = sizes.copy(), []
+        rank = np.full(len(symbols), never)
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inner] = self._ranks(symbols[inner], symbols[inner + 1])
+        while len(symbols):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            lowest = np.minimum.reduceat(rank, starts)
+            lengths = np.diff(np.append(starts, len(symbols)))
+            finished = np.repeat(lowest == never, lengths)
+            if finished.any():
+                done.append((owner[finished], symbols[finished]))
+                going = ~finished
+                symbols, owner, rank = symbols[going], owner[going], rank[going]
+                lengths, lowest = lengths[lowest < never], lowest[lowest < never]
+                if not len(symbols):
+                    break
+            hits = np.flatnonzero(rank == np.repeat(lowest, lengths))
+            at = hits[np.append(True, owner[hits[1:]] != owner[hits[:-1]])]  # the leftmost of each piece
+            symbols[at] = self.made[rank[at]]
+            sizes[owner[at]] -= 1
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            at -= np.arange(len(at))
+            near = np.concatenate([at, at[at > 0] - 1])
+            rank[near] = never
+            near = near[near + 1 < len(symbols)]
+            near = near[owner[near] == owner[near + 1]]
+            rank[near] = self._ranks(symbols[near], symbols[near + 1])
+        owner, symbols = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        return symbols[np.argsort(owner, kind="stable")], sizes
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, one piece after the other, and how many each has."""
+        raw = [p.encode() for p in pieces]
+        sizes = np.array([len(r) for r in raw], np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbols = self.inner_ids[data]
+        ends = np.cumsum(sizes)
+        symbols[ends - 1] = self.final_ids[data[ends - 1]]
+        short = sizes <= SIDE
+        counts, ids = np.zeros(len(pieces), np.int64), {}
+        merged = np.zeros(0, np.int64)
+        if short.any():
+            merged, counts[short] = self._merged_side_by_side(symbols[np.repeat(short, sizes)], sizes[short])
+        for i in np.flatnonzero(~short).tolist():
+            ids[i] = self._merged(symbols[ends[i] - sizes[i] : ends[i]].tolist())
+            counts[i] = len(ids[i])
+        out, starts = np.zeros(counts.sum(), np.int64), np.cumsum(counts) - counts
+        out[spread(starts[short], counts[short])] = merged
+        for i, found in ids.items():
+            out[starts[i] : starts[i] + len(found)] = found
+        return out, counts
+
+    def encode_words(self, found: list[str], lexicon: Transducer | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normal words without white space, one word after the other, and how many each has."""
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        pieces = _PATTERN.findall("\n".join(found))
+        numbers: dict[str, int] = {"\n": 0}
+        order = np.array([numbers.setdefault(p, len(numbers)) for p in pieces], np.int64)
+        distinct = list(numbers)[1:]
+        ids, counts = _known_or_merged(self, lexicon, distinct)
+        starts = np.concatenate([[0], np.cumsum(counts) - counts])
+        counts = np.concatenate([[0], counts])  # the line's end has no ids
+        word = np.cumsum(order == 0)
+        totals = np.zeros(len(found), np.int64)
+        np.add.at(totals, word, counts[order])
+        return ids[spread(starts[order], counts[order])], totals
+
     def encode_word(self, word: str) -> list[int]:
-        """Ids of a normal word without white space."""
-        ids: list[int] = []
-        for piece in _PATTERN.findall(word):
-            raw = piece.encode()
-            ids += self._merged([*(self.inner[b] for b in raw[:-1]), self.final[raw[-1]]])
-        return ids
-
-    def remembered(self, word: str) -> list[int]:
-        ids = self.cache.get(word)
-        if ids is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            ids = self.encode_word(word)
-            if len(word) <= WORD_BYTES:
-                self.cache[word] = ids
-        return ids
+        return self.encode_words([word])[0].tolist()
 
     def words(self, text: str) -> Iterator[list[str]]:
         """Normal words of a text, part by part; a special string is a word that starts with a blank."""
@@ -194,7 +258,7 @@ def _counted(path: str):
             for text in batch.column(0):
                 for part in vocabulary(path).words(text.as_py() or ""):
                     found.update(part)
-                if len(found) > CACHE:
+                if len(found) > HELD:
                     yield rows()
                     found.clear()
         yield rows()
@@ -232,8 +296,10 @@ def publish(docs: DataFrame, path: str, most: int = LEXICON) -> str:
     spark = docs.sparkSession
     known = vocabulary(path)
     builder = Builder()
-    for word in sorted(w.encode() for w in frequent_words(staged(word_counts(docs, path), "word-counts"), most)):
-        builder.add(word, tuple(known.encode_word(word.decode())))
+    found = sorted(frequent_words(staged(word_counts(docs, path), "word-counts"), most), key=str.encode)
+    ids, counts = known.encode_words(found)
+    for word, end, n in zip(found, np.cumsum(counts).tolist(), counts.tolist()):
+        builder.add(word.encode(), tuple(ids[end - n : end].tolist()))
     name = f"lexicon-{uuid.uuid4().hex}"
     file = Path(tempfile.mkdtemp(prefix="lexicon-")) / name
     builder.write(str(file))
@@ -244,23 +310,47 @@ def publish(docs: DataFrame, path: str, most: int = LEXICON) -> str:
 # -- encoding and decoding ----------------------------------------------------
 
 
-def _ids_of(known: Vocabulary, lexicon: Transducer, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct words, one after the other, and where each word's begin."""
+def _looked_up(lexicon: Transducer, found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [w.encode() for w in found]
-    offsets = np.cumsum([0, *map(len, raw)])
-    hit, counts, ids = lexicon.look_up(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    others: list[int] = []
-    for i in np.flatnonzero(~hit).tolist():
-        word = found[i]
-        more = [known.special[word[1:]]] if word[0] == " " else known.remembered(word)
-        counts[i] = len(more)
-        others += more
-    ends = np.cumsum([0, *counts.tolist()])
-    out = np.zeros(ends[-1], np.uint32)
-    sizes = counts
-    out[spread(ends[:-1][hit], sizes[hit])] = ids
-    out[spread(ends[:-1][~hit], sizes[~hit])] = others
-    return out, ends
+    return lexicon.look_up(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def _joined(hit: np.ndarray, counts: np.ndarray, ids: np.ndarray, other_ids: np.ndarray) -> np.ndarray:
+    """Ids of the items that were found and of the others, in the items' order."""
+    out, starts = np.zeros(counts.sum(), np.int64), np.cumsum(counts) - counts
+    out[spread(starts[hit], counts[hit])] = ids
+    out[spread(starts[~hit], counts[~hit])] = other_ids
+    return out
+
+
+def _known_or_merged(known: Vocabulary, lexicon: Transducer | None, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct pieces, one after the other, and how many each has."""
+    if not pieces:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if lexicon is None:
+        return known.encode_pieces(pieces)
+    hit, counts, ids = _looked_up(lexicon, pieces)
+    others = [pieces[i] for i in np.flatnonzero(~hit).tolist()]
+    merged = np.zeros(0, np.int64)
+    if others:
+        merged, counts[~hit] = known.encode_pieces(others)
+    return _joined(hit, counts, ids, merged), counts
+
+
+def _ids_of(known: Vocabulary, lexicon: Transducer, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one after the other, and how many each has; words not in the lexicon are merged."""
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hit, counts, ids = _looked_up(lexicon, found)
+    special = np.array([w[0] == " " for w in found])
+    new = ~hit & ~special
+    merged, counts[new] = known.encode_words([found[i] for i in np.flatnonzero(new).tolist()], lexicon)
+    counts[special] = 1
+    others = np.zeros(counts[~hit].sum(), np.int64)
+    starts = np.cumsum(counts[~hit]) - counts[~hit]
+    others[spread(starts[new[~hit]], counts[new])] = merged
+    others[starts[special[~hit]]] = [known.special[found[i][1:]] for i in np.flatnonzero(special).tolist()]
+    return _joined(hit, counts, ids, others), counts
 
 
 def _encode_chunk(known: Vocabulary, lexicon: Transducer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,11 +366,11 @@ def _encode_chunk(known: Vocabulary, lexicon: Transducer, texts: list[str]) -> t
             parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             lengths[i] += len(words)
     order = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    ids, ends = _ids_of(known, lexicon, list(numbers))
-    sizes = np.diff(ends)[order]
+    ids, counts = _ids_of(known, lexicon, list(numbers))
+    starts, sizes = (np.cumsum(counts) - counts)[order], counts[order]
     text_ends = np.cumsum([0, *lengths.tolist()])
     each = np.concatenate([[0], np.cumsum(sizes)])
-    return ids[spread(ends[:-1][order], sizes)], each[text_ends]
+    return ids[spread(starts, sizes)], each[text_ends]
 
 
 def _encoder(path: str, name: str, packed: bool):
