@@ -1,6 +1,6 @@
 """Phrases whose words stand together more often than chance has it, mined by partitions that are each searched whole.
 
-A shard is a run of a task's rows of up to ``SHARD`` words. A phrase that stands ``support`` times in a language
+A shard is a run of a task's rows, of up to ``SHARD`` words and so small that there are ``support`` of them. A phrase that stands ``support`` times in a language
 stands in at least one shard at least ``support`` times that shard's part of the language's words. So every shard is
 mined whole, length by length, at this lowered support; the union of what the shards found holds every frequent phrase,
 and one more pass counts all of it exactly. Three things keep the union small, none of which can lose a phrase:
@@ -146,13 +146,13 @@ class Opened:
                 return
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Opened]:
+def _shards(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[Opened]:
     shard = Shard()
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         for a, b in chunks(offsets, CHUNK):
             shard.add(batch.column(0).slice(a, b - a).to_pylist(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            if shard.words >= SHARD or shard.bytes >= SHARD_BYTES:
+            if shard.words >= most or shard.bytes >= SHARD_BYTES:
                 yield Opened(shard)
                 shard = Shard()
     if shard.words:
@@ -178,13 +178,13 @@ def _rows(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _mine(support: int, sizes: Broadcast, frequent: Broadcast, pairs: Broadcast | None, lengths: tuple[int, int]):
+def _mine(support: int, most: int, sizes: Broadcast, frequent: Broadcast, pairs: Broadcast | None, lengths: tuple[int, int]):
     """Locally frequent phrases of the stated lengths: hash, count, and how often a shard may hold one that it does not
     name. A row without a hash says the latter of the whole shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "hash", "n", "slack"]
-        for shard in _shards(batches):
+        for shard in _shards(batches, most):
             whole = [sizes.value.get(x, 0) for x in shard.names.to_pylist()]
             local = np.array([max(1, -(-support * int(n) // m)) if m else 1 for n, m in zip(shard.sizes, whole)], np.int64)
 
@@ -255,11 +255,13 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     sizes = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-languages")
     singles = words.filter(F.col("f") >= support)
     largest = send({r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()})
+    # At least ``support`` shards: each one's support is then one or two, and the union as exact, at every size of ``docs``.
+    most = max(1, min(SHARD, (sizes.agg(F.sum("n")).first()[0] or 0) // support))
     frequent = send(_table_of(_word_hashes(singles)))
 
     def union(lengths: tuple[int, int], pairs: Broadcast | None) -> DataFrame:
         """What any shard named, less what cannot reach the support in all shards together."""
-        named = rows.mapInArrow(_mine(support, largest, frequent, pairs, lengths), "lang string, hash long, n long, slack long")
+        named = rows.mapInArrow(_mine(support, most, largest, frequent, pairs, lengths), "lang string, hash long, n long, slack long")
         found = staged(named.groupBy("lang", "hash").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")), "phrases-named")
         room = found.filter("hash IS NULL").select("lang", F.col("slack").alias("room"))
         held = attach(found.filter("hash IS NOT NULL"), room, ["lang"], ["hash"])
