@@ -22,6 +22,7 @@ from shelfscan.operators import catalogue as C
 from shelfscan.operators import classify, discovery as D, extract as X, html as H, jsonld as J, screen
 from shelfscan.plans.catalogue import CatalogueRun, read_catalogues_of
 from shelfscan.session import shared_folder, stage
+from shelfscan.sources.archive import open_responses, store_responses
 from shelfscan.sources.catalogues import catalogue_filename, catalogue_lines, read_catalogues, write_catalogues, write_products
 from shelfscan.sources.fetches import fetches_of_pages, parse_api_pages, read_pages, url_list_source
 from shelfscan.sources.fetches import read_fetches as fetch_table
@@ -217,6 +218,33 @@ def page_routes(spark, sf_dir):
     return routes.selectExpr("site", "url", "pos", "route", "reason", "html IS NOT NULL AS readable")
 
 
+ROUTES = ORACLES["page_routes"]
+
+
+@query(ROUTES)
+def archive_routes(spark, sf_dir):
+    """The same routes from a stored archive, where bodies are read by pointers and never shuffled."""
+    stored = store_responses(R.rendered_fetches(spark, sf_dir, with_docs=False, with_hidden=False))
+    known = R.site_parts(spark, sf_dir).selectExpr("site", "url", "p_partkey AS pos")
+    unknown = R.table(spark, sf_dir, "supplier").selectExpr(
+        "'https://supplier.example' AS site", "concat('https://supplier.example/', s_suppkey) AS url", "s_suppkey AS pos"
+    )
+    routes = stage(stored.routes(known.unionByName(unknown)), "archive-routes")
+    read = stored.read(routes.select("site", "url", "at"), "at").selectExpr("site", "url", "length(html) > 0 AS found")
+    return routes.join(read, ["site", "url"], "left").selectExpr("site", "url", "pos", "route", "reason", "coalesce(found, false) AS readable")
+
+
+@query(f"""WITH {PARTS} SELECT site, url, CASE WHEN p_partkey % 10 = 9 THEN 2 ELSE 1 END AS attempts, CAST(200 AS INT) AS status, p_partkey % 7 = 6 AS drawn,
+CASE p_partkey % 7 WHEN 5 THEN 'challenge' WHEN 6 THEN 'shell' ELSE 'ok' END AS reason, 'page' AS role FROM parts""")
+def archive_runs(spark, sf_dir):
+    """Responses that arrive in three runs, opened again as one archive."""
+    fetches = R.rendered_fetches(spark, sf_dir, with_docs=False, with_hidden=False)
+    folder, buckets = _folder(spark, "archive"), 8
+    for i in range(3):
+        store_responses(fetches.filter(f"pmod(hash(url, attempt, via), 3) = {i}"), folder, buckets, run=i)
+    return open_responses(spark, folder, buckets).chosen.selectExpr("site", "url", "attempts", "status", "seen IS NOT NULL AS drawn", "reason", "role")
+
+
 # -- E: HTML as tables --------------------------------------------------------
 
 PAGE_TOKENS = r"<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<[!/]?[a-zA-Z][^>]*>|[^<]+"
@@ -531,7 +559,8 @@ DISCOVERED = f"""{PARTS}, {NAV}, found AS (SELECT site, url, CASE WHEN kind IN (
 def discovery_ladder(spark, sf_dir):
     from shelfscan.plans.catalogue import discover_urls
 
-    return discover_urls(R.rendered_sites(spark, sf_dir), archive(spark, sf_dir)).select("site", "url", "kind", "source")
+    stored = store_responses(R.rendered_fetches(spark, sf_dir, with_pages=False))
+    return discover_urls(R.rendered_sites(spark, sf_dir), stored).select("site", "url", "kind", "source")
 
 
 @query(f"SELECT site, url, pos FROM (SELECT {SITE_OF_PAGE} AS site, url, page_id AS pos, row_number() OVER (PARTITION BY {SITE_OF_PAGE} ORDER BY page_id) AS rn FROM pages) WHERE rn <= 5")

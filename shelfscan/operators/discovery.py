@@ -224,12 +224,12 @@ def category_pages(categories: DataFrame, screened: DataFrame) -> tuple[DataFram
     """
     pages = (
         screened.filter("html IS NOT NULL AND contains(url, '/c/')")
-        .selectExpr("site", f"{_category_page()} AS c", "html")
-        .selectExpr("site", "c.category AS category", "c.page AS page", "html")
+        .selectExpr("site", f"{_category_page()} AS c", f"{extract_all('html', rules.CATEGORY_PRODUCT_HREF, 1)} AS hrefs")
+        .selectExpr("site", "c.category AS category", "c.page AS page", "hrefs")
     )
     wanted = attach(pages, categories.selectExpr("site", "url AS category"), ["site", "category"], ["page"])
     links = wanted.selectExpr(
-        "site", "category", "page", f"posexplode({extract_all('html', rules.CATEGORY_PRODUCT_HREF, 1)}) AS (i, href)"
+        "site", "category", "page", "posexplode(hrefs) AS (i, href)"
     ).selectExpr("site", "category", "page", "i", f"{U.url_join('site', 'href')} AS url")
     first = links.groupBy("site", "category", "url").agg(F.min(F.struct("page", "i")).alias("at"))
     first = stage(first.selectExpr("site", "category", "url", "at.page AS page", "at.i AS i"), "category-links")
@@ -264,6 +264,11 @@ def page_links(pages: DataFrame, keys: tuple[str, ...] = ("site",), site: str =
 def home_links(screened: DataFrame, n: int | None = None) -> DataFrame:
     """(site, url, pos): links of the home page, as the browser saw it if that is archived."""
     homes = home_pages(screened).selectExpr("site", "coalesce(rendered, html) AS html").filter("html IS NOT NULL")
+    return links_of_homes(homes, n)
+
+
+def links_of_homes(homes: DataFrame, n: int | None = None) -> DataFrame:
+    """(site, url, pos): links of home pages (site, html)."""
     return cap_per_site(page_links(homes), n)
 
 
@@ -273,7 +278,7 @@ def nav_expand(seeds: DataFrame, responses: DataFrame, n: int | None = None) ->
     few = per_site.filter(F.col("n_seeds") < rules.NAV_SEED_LIMIT).select("site")
     ordered = seeds.selectExpr("site", "url", "struct(0 AS hop, pos AS seed, 0L AS i) AS at")
     opened = attach(seeds, few, ["site"], ["url"]).selectExpr("site", "url", "pos AS seed")
-    bodies = opened.join(responses.filter("status = 200").select("site", "url", "body"), ["site", "url"])
+    bodies = responses.filter("status = 200").select("site", "url", "body").join(opened.hint("shuffle_hash"), ["site", "url"])
     links = page_links(bodies.select("site", "seed", "body"), ("site", "seed"), html="body")
     grown = ordered.unionByName(links.selectExpr("site", "url", "struct(1 AS hop, seed, pos AS i) AS at"))
     unique = grown.groupBy("site", "url").agg(F.min("at").alias("at"))
@@ -317,50 +322,58 @@ def dedupe_candidates(candidates: DataFrame) -> DataFrame:
     return first_seen(candidates, ["site", "url"], "pos").withColumn("hop", F.lit(0))
 
 
-def embedded_product_urls(pages: DataFrame, keys: tuple[str, ...] = ("site", "url")) -> DataFrame:
-    """(keys, link, i): product URLs written as JSON into a page, once per page, in order."""
-    found = pages.selectExpr(
-        *keys, f"{U.host_of('url')} AS host", f"posexplode({extract_all('html', rules.EMBEDDED_URL, 1)}) AS (i, path)"
-    )
+def embedded_paths(html: str = "html") -> str:
+    return extract_all(html, rules.EMBEDDED_URL, 1)
+
+
+def embedded_product_urls(pages: DataFrame, keys: tuple[str, ...] = ("site", "url"), paths: str | None = None) -> DataFrame:
+    """(keys, link, i): product URLs written as JSON into a page, once per page, in order.
+
+    ``paths`` names a column of ``embedded_paths`` where these are known already.
+    """
+    found = pages.selectExpr(*keys, f"{U.host_of('url')} AS host", f"posexplode({paths or embedded_paths()}) AS (i, path)")
     links = found.selectExpr(*keys, "concat('https://', host, path) AS link", "CAST(i AS BIGINT) AS i")
     likely = links.filter(U.looks_like_product_url("link"))
     return likely.groupBy(*keys, "link").agg(F.min("i").alias("i"))
 
 
-def second_hop(other_pages: DataFrame, candidates: DataFrame) -> DataFrame:
+def second_hop(other_pages: DataFrame, candidates: DataFrame, paths: str | None = None) -> DataFrame:
     """(site, url, pos, hop=1): URLs embedded in non-product pages that are no candidates yet.
 
-    ``other_pages`` is (site, url, pos, html). ``pos`` of a new URL is that of the page
+    ``other_pages`` is (site, url, pos, html or ``paths``). ``pos`` of a new URL is that of the page
     it was first found in.
     """
-    links = embedded_product_urls(other_pages, ("site", "url", "pos"))
+    links = embedded_product_urls(other_pages, ("site", "url", "pos"), paths)
     found = links.selectExpr("site", "link AS url", "struct(pos, i) AS at").groupBy("site", "url").agg(F.min("at").alias("at"))
     new = found.join(candidates.select("site", "url"), ["site", "url"], "left_anti")
     return new.selectExpr("site", "url", "at.pos AS pos", "1 AS hop")
 
 
-def next_pages(sites: DataFrame, screened: DataFrame) -> DataFrame:
-    """(site, url, wanted_by): the page after each run of API, feed and category pages that did not end by itself."""
-    calls = screened.filter("role = 'api' AND status = 200").selectExpr("*", f"{api_call()} AS c").filter("c IS NOT NULL")
-    api = parse_api_pages(calls).filter("size(items) > 0").selectExpr("site", "c.rank AS rank", "c.page AS page", "CAST(size(items) AS BIGINT) AS n")
-    runs = page_runs(api, ["site", "rank"], last=F.col("n") < rules.API_PAGE_SIZE)
+def next_pages(api: DataFrame, maps: DataFrame, homes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(site, url, wanted_by): the page after each run of API, feed and category pages that did not end by itself.
+
+    API responses, sitemap responses, home pages and all readable pages are given.
+    """
+    calls = api.filter("status = 200").selectExpr("*", f"{api_call()} AS c").filter("c IS NOT NULL")
+    listed = parse_api_pages(calls).filter("size(items) > 0").selectExpr("site", "c.rank AS rank", "c.page AS page", "CAST(size(items) AS BIGINT) AS n")
+    runs = page_runs(listed, ["site", "rank"], last=F.col("n") < rules.API_PAGE_SIZE)
     ends = attach(runs.filter("page = stop"), runs.filter("page = 1").select("site", "rank", "stop"), ["site", "rank", "stop"], ["page"])
     prefixes = "element_at(array(" + ", ".join(lit(prefix) for prefix, _ in rules.API_ENDPOINTS) + "), rank + 1)"
     after_api = ends.filter(f"n >= {rules.API_PAGE_SIZE}").selectExpr("site", f"concat(site, {prefixes}, page + 1) AS url", "'api' AS wanted_by")
 
-    feeds = feed_documents(parse_sitemaps(screened.filter("role = 'sitemap'"))).filter("template IS NOT NULL")
+    feeds = feed_documents(parse_sitemaps(maps)).filter("template IS NOT NULL")
     feed_runs = page_runs(feeds.select("site", "template", "page", "n"), ["site", "template"])
     after_feed = feed_runs.filter("page = stop").selectExpr("site", "replace(template, '{}', CAST(page + 1 AS STRING)) AS url", "'sitemap' AS wanted_by")
 
-    reached = category_pages(category_links(screened.filter("role = 'home' AND html IS NOT NULL")), screened)[1]
+    reached = category_pages(category_links(homes), pages)[1]
     before, after = rules.CATEGORY_PAGE_SUFFIX
     after_category = reached.filter("page = stop").selectExpr("site", f"concat(category, {lit(before)}, page + 1, {lit(after)}) AS url", "'category' AS wanted_by")
     return after_api.unionByName(after_feed).unionByName(after_category)
 
 
 def pages_to_render(routes: DataFrame) -> DataFrame:
-    """(site, url, wanted_by): archived pages that only a browser can show, without a rendered body."""
-    return routes.filter("route = 'needs_render' AND html IS NULL").selectExpr("site", "url", "'render' AS wanted_by").distinct()
+    """(site, url, wanted_by): archived pages that only a browser can show, without a rendered body (``at`` is NULL)."""
+    return routes.filter("route = 'needs_render' AND at IS NULL").selectExpr("site", "url", "'render' AS wanted_by").distinct()
 
 
 def frontier(wanted: DataFrame, responses: DataFrame) -> DataFrame:

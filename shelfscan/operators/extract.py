@@ -19,7 +19,7 @@ from shelfscan.operators.jsonld import (
     ld_product,
     product_struct,
 )
-from shelfscan.session import spread, stage
+from shelfscan.session import spread
 
 # -- reading a page tree -----------------------------------------------------
 
@@ -216,6 +216,38 @@ def with_structure_product(trees: DataFrame, needed: str = "true") -> DataFrame:
 # -- the three strategies together -------------------------------------------
 
 
+def judge_pages(pages: DataFrame, keep: tuple[str, ...] = (), url: str = "url", html: str = "html", classified: bool = True) -> DataFrame:
+    """(``keep`` columns, url, is_product, rule, ld_item, html): what a page is, in one pass over its body.
+
+    ``html`` stays only where it is still to be shredded: for product pages without JSON-LD. ``classified=False`` takes
+    every page for a product page.
+    """
+    screened = pages.selectExpr("*", f"{ld_first_product(html)} AS ld_item")
+    if classified:
+        screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
+    else:
+        screened = screened.selectExpr("*", "true AS is_product", "CAST(NULL AS STRING) AS rule")
+    others = [c for c in keep if c != "url"]
+    return screened.selectExpr(*others, f"{url} AS url", "is_product", "rule", "ld_item", f"if(is_product AND ld_item IS NULL, {html}, NULL) AS html")
+
+
+def products_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(``keep`` columns, strategy, 13 product fields) of judged pages.
+
+    Product pages are shuffled once, by page; those with JSON-LD travel without their HTML.
+    """
+    others = [c for c in keep if c != "url"]
+    found = rows_where(judged, "is_product", [*others, "url", "ld_item", "html"])
+    identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*others, "url"])
+    keyed = found.selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
+    trees = H.page_trees(spread(keyed, "page_key"), "page_key", carry=(*others, "url", "ld_item"))
+    out = with_structure_product(with_meta_product(trees).selectExpr("*", "ld_item IS NULL AND meta IS NULL AS unread"), needed="unread")
+    strategy = "CASE WHEN ld_item IS NOT NULL THEN 'jsonld' WHEN meta IS NOT NULL THEN 'meta' ELSE 'heuristic' END"
+    product = when("ld_item IS NOT NULL", ld_product("ld_item", "url"), "coalesce(meta, structure)")
+    shown = out.selectExpr(*others, f"{strategy} AS strategy", f"{product} AS product")
+    return shown.selectExpr(*others, "strategy", "inline(if(product IS NULL, NULL, array(product)))")
+
+
 def extract_products(
     pages: DataFrame,
     keep: tuple[str, ...] = (),
@@ -225,31 +257,9 @@ def extract_products(
 ) -> DataFrame:
     """(``keep`` columns, strategy, 13 product fields) of every page that holds a product.
 
-    One row of ``pages`` per (``keep`` columns, url). JSON-LD and the classification are
-    row-local, and their result is staged: JSON-LD products are read from it as they are, and
-    only product pages without JSON-LD are shuffled, once, to be shredded. ``classified=False``
-    skips the test for product pages.
+    One row of ``pages`` per (``keep`` columns, url). ``classified=False`` skips the test for product pages.
     """
-    screened = pages.selectExpr("*", f"{ld_first_product(html)} AS ld_item")
-    is_product = "true"
-    if classified:
-        screened = page_signals(screened, html, ld_known="(ld_item IS NOT NULL)")
-        is_product = "is_product"
-    fields = [*keep, f"{url} AS url", "ld_item", f"if(ld_item IS NULL, {html}, NULL) AS html"]
-    if url in keep:
-        fields.remove(f"{url} AS url")
-    found = stage(rows_where(screened, is_product, fields), "product-pages")
-    identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*keep, "url"])
-    others = [c for c in keep if c != "url"]
-    inline = "inline(if(product IS NULL, NULL, array(product)))"
-    stated = found.filter("ld_item IS NOT NULL").selectExpr(*others, "'jsonld' AS strategy", f"{ld_product('ld_item', 'url')} AS product")
-
-    keyed = found.filter("ld_item IS NULL").drop("ld_item").selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
-    carried = tuple(dict.fromkeys([*keep, "url"]))
-    trees = H.page_trees(spread(keyed, "page_key"), "page_key", carry=carried)
-    out = with_structure_product(with_meta_product(trees).selectExpr("*", "meta IS NULL AS unread"), needed="unread")
-    shown = out.selectExpr(*others, "if(meta IS NOT NULL, 'meta', 'heuristic') AS strategy", "coalesce(meta, structure) AS product")
-    return stated.selectExpr(*others, "strategy", inline).unionByName(shown.selectExpr(*others, "strategy", inline))
+    return products_of(judge_pages(pages, keep, url, html, classified), keep)
 
 
 def drop_nameless(products: DataFrame) -> DataFrame:

@@ -51,15 +51,15 @@ def effective_html(route: str = "route", body: str = "body", rendered: str = "re
     return f"CASE {route} WHEN 'accept' THEN {body} WHEN 'needs_render' THEN {rendered} END"
 
 
-def response_role() -> str:
+def response_role(body: str = "body", status: str = "status") -> str:
     """What a response may be read for, so that a stored archive can be split by it.
 
     Each discovery step then reads its own small part instead of all bodies.
     """
-    xml = " OR ".join(f"contains(body, {lit(mark)})" for mark in SITEMAP_MARKS)
+    xml = " OR ".join(f"contains({body}, {lit(mark)})" for mark in SITEMAP_MARKS)
     return (
         "CASE WHEN url = concat(site, '/robots.txt') THEN 'robots' WHEN url = concat(site, '/') THEN 'home' "
-        f"WHEN {api_call()} IS NOT NULL THEN 'api' WHEN status = 200 AND ({xml}) THEN 'sitemap' ELSE 'page' END"
+        f"WHEN {api_call()} IS NOT NULL THEN 'api' WHEN {status} = 200 AND ({xml}) THEN 'sitemap' ELSE 'page' END"
     )
 
 
