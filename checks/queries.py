@@ -286,11 +286,27 @@ def implied_end_tags(spark, sf_dir):
     )
 
 
+@query("""SELECT p_partkey AS page_id, tag, text, count(*) AS n FROM part, LATERAL (VALUES ('div', p_name || p_type || 'xy'), ('b', p_name || p_type), ('i', p_type),
+ ('p', 'a'), ('ul', p_brand), ('li', p_brand), ('td', 'k' || 'v' || CAST(p_size AS VARCHAR) || 'z'), ('p', 'v' || CAST(p_size AS VARCHAR) || 'z'), ('td', 'w' || p_brand),
+ ('h2', 'open' || CAST(p_partkey AS VARCHAR)), ('em', CAST(p_partkey AS VARCHAR)), ('h3', 'lastq'), ('td', p_brand)) t(tag, text) WHERE true GROUP BY ALL""")
+def crosswise_elements(spark, sf_dir):
+    """Elements closed crosswise, by their parents' end, by what cannot stand in them, or not at all."""
+    texts = H.element_texts(R.crosswise_pages(spark, sf_dir), "tag IN ('div', 'b', 'i', 'p', 'ul', 'li', 'td', 'h2', 'em', 'h3')", key="page_id")
+    return texts.groupBy("page_id", "tag", "text").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS page_id, 'N' || CAST(p_partkey AS VARCHAR) AS sku, 'a=' || p_type || ';b=' || p_brand || ';c=out;d=' || CAST(p_size AS VARCHAR) || ';e=late' AS specs FROM part""")
+def nested_structure(spark, sf_dir):
+    """Labels beside and around their values, the first ones too long; tables within tables, the inner ones counting."""
+    found = X.extract_products(R.nested_pages(spark, sf_dir), keep=("page_id",))
+    return found.selectExpr("page_id", "sku", f"{specs_text()} AS specs")
+
+
 @query("""SELECT p_partkey AS page_id, p_name AS title, 'og:Product' AS type, 'https://img.example/' || CAST(p_partkey AS VARCHAR) || '.jpg?a=1&b=2' AS image,
 'EUR' AS currency, 'A > ' || p_type AS about, printf('%.2f', p_retailprice) AS price, p_brand AS brand, 'M-' || CAST(p_partkey AS VARCHAR) AS sku,
 CAST(NULL AS VARCHAR) AS availability, 'Heading' AS h1 FROM part""")
 def page_meta(spark, sf_dir):
-    trees = H.page_trees(R.rendered_pages(spark, sf_dir, only="meta"), "page_id")
+    trees = H.page_trees(R.rendered_pages(spark, sf_dir, only="meta"))
     return trees.selectExpr(
         "page_id", f"{X.meta_value('og:title')} AS title", f"{X.meta_value('og:type')} AS type", f"{X.meta_value('og:image')} AS image",
         f"{X.meta_value('product:price:currency')} AS currency", f"{X.meta_value('og:description')} AS about",
@@ -329,6 +345,18 @@ def page_signals(spark, sf_dir):
     )
 
 
+OFFERED = list(R.OFFERS)
+
+
+@query(f"""SELECT p_partkey AS page_id, list_extract([{strings(R.OFFERS[k][1] for k in OFFERED)}], CAST(k + 1 AS INT)) AS rule,
+list_extract([{strings(R.OFFERS[k][1] for k in OFFERED)}], CAST(k + 1 AS INT)) IN ('offer', 'spec_table', 'sku_label') AS is_product,
+list_extract([{strings(R.OFFERS[k][1] for k in OFFERED)}], CAST(k + 1 AS INT)) = 'offer' AS has_offer,
+list_extract([{strings(R.OFFERS[k][1] for k in OFFERED)}], CAST(k + 1 AS INT)) = 'spec_table' AS has_table FROM (SELECT p_partkey, p_partkey % {len(OFFERED)} AS k FROM part)""")
+def offer_pages(spark, sf_dir):
+    """Pages that only offer language or a table tells from others, with one heading, with several, and as listings."""
+    return classify.page_signals(R.offer_pages(spark, sf_dir)).select("page_id", "rule", "is_product", "has_offer", "has_table")
+
+
 # -- G: extraction ------------------------------------------------------------
 
 
@@ -498,6 +526,22 @@ def sitemap_urls(spark, sf_dir):
     return D.sitemap_urls(R.rendered_sites(spark, sf_dir), archive(spark, sf_dir)).select("site", "url", "kind", "pos")
 
 
+@query(f"""WITH {PARTS} SELECT DISTINCT site, site || '/maps/' || CAST(rn // 30 AS VARCHAR) || '.xml' AS url, CAST(30 * (rn // 30) AS BIGINT) AS pos0 FROM parts WHERE kind = 1 AND 30 * (rn // 30) < 45""")
+def visit_budget(spark, sf_dir):
+    """Sitemaps that are read until 45 URLs of a site are known."""
+    found = archive(spark, sf_dir)
+    documents = parse_sitemaps(found)
+    walk = D.expand_sitemaps(D.sitemap_entry_points(R.rendered_sites(spark, sf_dir), found), documents)
+    counted = walk.join(documents.selectExpr("site", "url", "CAST(size(locs) AS BIGINT) AS n"), ["site", "url"])
+    return D.visit_budget(counted.filter("contains(url, '/maps/')"), 45)
+
+
+@query(f"WITH {PARTS} SELECT site, url, CASE kind WHEN 1 THEN 'general' ELSE 'product' END AS kind, CAST(rn AS BIGINT) AS pos FROM parts WHERE kind IN (1, 2) AND rn < 45")
+def sitemap_urls_within(spark, sf_dir):
+    """The first 45 URLs of a site and kind."""
+    return D.sitemap_urls(R.rendered_sites(spark, sf_dir), archive(spark, sf_dir), 45).select("site", "url", "kind", "pos")
+
+
 @query(f"WITH {PARTS} SELECT site, CAST(rn // 100 + 1 AS BIGINT) AS page, CAST(count(*) AS INT) AS n_items, CAST(count(*) AS INT) AS n_links FROM parts WHERE kind = 0 GROUP BY ALL")
 def api_pages(spark, sf_dir):
     lists = archive(spark, sf_dir).filter("contains(url, '/api/products')")

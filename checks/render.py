@@ -142,6 +142,51 @@ def rendered_pages(spark: SparkSession, sf_dir: str, only: str | None = None) ->
     )
 
 
+def _pages(spark: SparkSession, sf_dir: str, html: Column) -> DataFrame:
+    part = fill_cores(table(spark, sf_dir, "part"), "p_partkey")
+    return part.select(F.col("p_partkey").alias("page_id"), site().alias("site"), product_url().alias("url"), html.alias("html"))
+
+
+def crosswise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose tags are crossed, stray or never closed."""
+    size = F.col("p_size").cast("string")
+    return _pages(spark, sf_dir, _texts(
+        "<body></i><div><b>", F.col("p_name"), "<i>", F.col("p_type"), "</b>x</i>y</div></div></p><p>a<ul><li>", F.col("p_brand"),
+        "</ul>b</p>c<table><tr><td>k<p>v", size, "</div>z</td><td>w", F.col("p_brand"), "<tr><td>", F.col("p_brand"),
+        "</table><h2>open<em>", F.col("p_partkey").cast("string"), "</h2>r</em><h3>last<u>q",
+    ))
+
+
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with many SKU labels and tables within tables."""
+    far = "<div><span>SKU:</span><i>" + "far too long for a number " * 5 + "</i></div>"
+    return _pages(spark, sf_dir, _texts(
+        "<h1>T</h1>", far * 12, "<ul><li><b>Part #</b><em>N", F.col("p_partkey").cast("string"),
+        "</em></ul><div>SKU: later</div><table><tr><td>a<td>outer<tr><td>c<td>out<tr><td><table><tr><td>a<td>middle<tr><td>b<td>",
+        F.col("p_brand"), "<tr><th><table><tr><td>a<td>", F.col("p_type"), "</table><tr><td>d<td>", F.col("p_size").cast("string"),
+        "</table><tr><td>e<td>late<tr><td>b<td>too early</table>",
+    ))
+
+
+# Bodies of pages and the rule that decides on them.
+OFFERS = {
+    "offer": ("<h1>N</h1><p>Please request a <b>quote</b></p>", "offer"),
+    "offer_of_many": ("<h1>N</h1><h1>M</h1><p>Add to cart</p>", "none"),
+    "offer_in_script": ("<h1>N</h1><script>Buy now</script>", "none"),
+    "table": ("<h1>N</h1><table><tr><td>k<td>v</table>", "spec_table"),
+    "table_of_many": ("<h1>N</h1><h1>M</h1><table><tr><td>k</table>", "none"),
+    "offer_and_table": ("<h1>N</h1>Buy&nbsp;now<table></table>", "offer"),
+    "grid": ('<p class="price">1</p>' * 6 + "<p>Add to cart</p><table></table>", "listing"),
+    "grid_of_one": ("<h1>N</h1>" + '<p class="price">1</p>' * 6 + "<p>Add to cart</p>", "offer"),
+    "label": ("<h1>N</h1>Model # 5, add to cart<table></table>", "sku_label"),
+}
+
+
+def offer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = F.array(*[F.lit(body) for body, _ in OFFERS.values()])
+    return _pages(spark, sf_dir, _texts("<html><body>", F.element_at(bodies, (F.col("p_partkey") % len(OFFERS) + 1).cast("int")), "</body></html>"))
+
+
 # -- an archive of responses --------------------------------------------------
 
 # How a site can be read, by brand number % 5.

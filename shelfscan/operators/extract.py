@@ -10,7 +10,7 @@ from shelfscan.functions import scalars as S
 from shelfscan.functions.sql import coalesce, each, extract, first, let, lit, matches, only, replaced, struct, when
 from shelfscan.operators import html as H
 from shelfscan.operators.classify import page_signals, rows_where
-from shelfscan.operators.html import FAR, slice_to, span_text
+from shelfscan.operators.html import slice_to, span_text
 from shelfscan.operators.jsonld import (
     NO_SPECS,
     NO_VARIANTS,
@@ -19,7 +19,6 @@ from shelfscan.operators.jsonld import (
     ld_product,
     product_struct,
 )
-from shelfscan.session import spread
 
 # -- reading a page tree -----------------------------------------------------
 
@@ -97,24 +96,10 @@ def price_element() -> str:
 
 def label_value(label: str) -> str:
     """What stands beside an SKU label: the next element's text, else the rest of its own."""
-
-    def enclosing(pos: str, end: str) -> str:
-        return f"array_max({only('elements', lambda e: f'{e}.pos < {pos} AND {e}.end > {pos} AND {e}.end >= {end}')})"
-
-    def beside(parent: str, stop: str) -> str:
-        return f"array_min({only('elements', lambda e: f'{e}.pos >= {parent}.end AND {e}.pos < {stop}')})"
-
-    def text_of(el: str) -> str:
-        script = S.py_strip(replaced(f"{el}.raw", r"(?is)^<[^>]*+>|</[a-z]++\s*+>\z", ""))
-        return S.blank_to_null(coalesce(script, span_text(el)))
-
-    def value(parent: str) -> str:
-        stop = f"coalesce({enclosing(f'{parent}.pos', f'{parent}.end')}.end, {FAR})"
-        nearby = let(stop, lambda at: let(beside(parent, at), text_of))
-        own = S.py_strip(replaced(span_text(parent), rules.SKU_LABEL, ""))
-        return coalesce(nearby, S.blank_to_null(own))
-
-    found = let(enclosing(f"{label}.pos", f"{label}.pos"), value)
+    beside = f"if({label}.beside IS NULL, NULL, struct({label}.sk0 AS k0, {label}.sk1 AS k1))"
+    nearby = S.blank_to_null(coalesce(f"{label}.script", let(beside, span_text)))
+    own = let(f"if({label}.held, struct({label}.pk0 AS k0, {label}.pk1 AS k1), NULL)", lambda p: S.py_strip(replaced(span_text(p), rules.SKU_LABEL, "")))
+    found = coalesce(nearby, S.blank_to_null(own))
     return let(found, lambda v: when(f"length({v}) <= {rules.SKU_LENGTH_LIMIT}", v))
 
 
@@ -150,8 +135,7 @@ def table_pairs() -> str:
     """Two-cell rows of tables as (k, v). Rows of inner tables come after all outer ones."""
 
     def in_table(row: str) -> str:
-        around = only("tables", lambda t: f"{t}.pos < {row}.pos AND coalesce({t}.end > {row}.pos, true)")
-        return f"struct(array_max({around}.pos) AS table, {row}.pos AS pos, {row}.c0 AS c0)"
+        return f"struct({row}.inside AS table, {row}.pos AS pos, {row}.c0 AS c0)"
 
     def cell(row: str, n: int) -> str:
         return let(f"try_element_at(cells, {row}.c0 + {n})", span_text)
@@ -234,13 +218,10 @@ def judge_pages(pages: DataFrame, keep: tuple[str, ...] = (), url: str = "url",
 def products_of(judged: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(``keep`` columns, strategy, 13 product fields) of judged pages.
 
-    Product pages are shuffled once, by page; those with JSON-LD travel without their HTML.
+    Row by row: no page is shuffled.
     """
     others = [c for c in keep if c != "url"]
-    found = rows_where(judged, "is_product", [*others, "url", "ld_item", "html"])
-    identity = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in [*others, "url"])
-    keyed = found.selectExpr("*", f"unhex(md5(CAST(concat_ws('\n', {identity}) AS BINARY))) AS page_key")
-    trees = H.page_trees(spread(keyed, "page_key"), "page_key", carry=(*others, "url", "ld_item"))
+    trees = H.page_trees(rows_where(judged, "is_product", [*others, "url", "ld_item", "html"]))
     out = with_structure_product(with_meta_product(trees).selectExpr("*", "ld_item IS NULL AND meta IS NULL AS unread"), needed="unread")
     strategy = "CASE WHEN ld_item IS NOT NULL THEN 'jsonld' WHEN meta IS NOT NULL THEN 'meta' ELSE 'heuristic' END"
     product = when("ld_item IS NOT NULL", ld_product("ld_item", "url"), "coalesce(meta, structure)")

@@ -1,14 +1,11 @@
-"""HTML pages as tables: tokens, element extents and per-page trees.
+"""HTML pages as tables: tokens, elements and trees.
 
-A page is shredded with one pattern into tokens in document order. Windows inside
-the page then give each element its extent [pos, end). All windows are keyed by the
-page, so a page is shuffled once and every later step stays in its partition. A
-group is one page body, never a site.
+``html_tokens`` shreds a page with one pattern into tokens in document order. Elements come from the pass over a page's
+tokens (see ``tree``), which knows each one's extent and the running count of text nodes at its start and end, so its
+text is a slice of the page's text array.
 
-``page_trees`` folds the tokens of a page back into one row of small sorted arrays:
-the visible text nodes, and the elements that the extractors look at. An element
-keeps the running count of text nodes at its start and end, so its text is a slice
-of the page's text array.
+``page_trees`` adds to every page the elements that the extractors look at, as small arrays in document order. It works
+row by row: no page is shuffled, exploded or put together again.
 """
 
 from __future__ import annotations
@@ -18,27 +15,12 @@ from pyspark.sql import functions as F
 
 from shelfscan import rules
 from shelfscan.functions import markup as M
-from shelfscan.functions.scalars import blank_to_null, py_strip
-from shelfscan.functions.sql import extract_all, in_list, lit, matches, replaced, when
+from shelfscan.functions.scalars import blank_to_null
+from shelfscan.functions.sql import each, extract_all, in_list, lit, matches, only, replaced, when
+from shelfscan.operators.tree import VOID_TAGS, page_nodes
+from shelfscan.session import ship
 
-# Element names of the HTML standard, by how their end is found.
-VOID_TAGS = [
-    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
-    "param", "source", "track", "wbr",
-]
-LIST_BOXES = ["ul", "ol", "menu", "dir"]
-ROW_GROUPS = ["thead", "tbody", "tfoot"]
-BLOCK_TAGS = [
-    "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog",
-    "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
-    "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol",
-    "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
-]
-
-# Stands for "to the end of the page".
-FAR = 2147483647
-
-STARTS = "(coalesce(starts, false) OR coalesce(kind IN ('void', 'raw'), false))"
+ELEMENT = "kind IN ('open', 'void', 'raw')"
 
 
 def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -53,110 +35,26 @@ def html_tokens(pages: DataFrame, key: str = "page_id", html: str = "html", keep
         "CASE WHEN tok IS NULL THEN NULL WHEN startswith(tok, '<!--') THEN 'comment' "
         "WHEN startswith(tok, '<!') OR startswith(tok, '<?') THEN 'doctype' WHEN tag IS NULL THEN 'text' "
         "WHEN startswith(tok, '</') THEN 'close' WHEN tag IN ('script', 'style') THEN 'raw' "
-        f"WHEN {in_list('tag', VOID_TAGS)} OR endswith(tok, '/>') THEN 'void' ELSE 'open' END"
+        f"WHEN {in_list('tag', sorted(VOID_TAGS))} OR endswith(tok, '/>') THEN 'void' ELSE 'open' END"
     )
     return tokens.selectExpr("*", f"{tag} AS tag").selectExpr("*", f"{kind} AS kind")
 
 
-def _with_counts(tokens: DataFrame, key: str) -> DataFrame:
-    """Running counts and container depths of a page, all over one window."""
-    step = "CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END"
-    upto = f"OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-
-    def depth(names: list[str]) -> str:
-        return f"CAST(sum({when(in_list('tag', names), step, '0')}) {upto} AS INT)"
-
-    def seen(cond: str) -> str:
-        return f"CAST(count_if({cond}) {upto} AS INT)"
-
-    text = when("kind = 'text'", py_strip(M.html_unescape("tok")))
-    return (
-        tokens.selectExpr("*", f"{text} AS txt")
-        .selectExpr(
-            "*",
-            f"{depth(['template'])} AS d_template",
-            f"{depth(LIST_BOXES)} AS d_list",
-            f"{depth(['dl'])} AS d_dl",
-            f"{depth(['table'])} AS d_table",
-            f"{seen("kind = 'open' AND tag IN ('td', 'th')")} AS k_cell",
-            f"{seen("kind = 'open' AND tag = 'dt'")} AS k_dt",
-            f"{seen("kind = 'open' AND tag = 'dd'")} AS k_dd",
-        )
-        .selectExpr("*", "coalesce(kind = 'text' AND txt <> '' AND d_template <= 0, false) AS shown")
-        .selectExpr("*", f"{seen('shown')} AS k_text")
-    )
-
+def page_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """One row per token, with what ``tree.page_nodes`` knows of it."""
+    ship(pages.sparkSession)
+    return pages.select(key, page_nodes(html).alias("nodes")).selectExpr(key, "inline(nodes)")
 
-def _with_events(tokens: DataFrame, key: str) -> DataFrame:
-    """One row per part a tag plays: starting an element, or ending elements of a family.
 
-    Elements whose end tag may be left out (li, dt, dd, td, th, tr, p) end at the next
-    tag that HTML lets end them, at the same depth of their container. All other
-    elements end at the close tag that balances them.
-    """
-    step = "CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END"
-    upto = f"OVER (PARTITION BY {key}, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    level = f"CAST(sum({step}) {upto} + if(kind = 'close', 1, 0) AS INT)"
-
-    def families(*names: str) -> str:
-        return f"array({', '.join(lit(n) for n in names)})"
-
-    played = (
-        "CASE WHEN kind NOT IN ('open', 'close') THEN NULL "
-        f"WHEN NOT {in_list('tag', BLOCK_TAGS)} THEN {families('=')} "
-        f"WHEN tag = 'p' THEN {families('para')} "
-        f"WHEN tag = 'li' THEN {families('list', 'para')} "
-        f"WHEN tag IN ('dt', 'dd') THEN {families('dl', 'para')} "
-        f"WHEN tag IN ('td', 'th') THEN {families('cell', 'para')} "
-        f"WHEN tag = 'tr' THEN {families('row', 'cell', 'para')} "
-        f"WHEN {in_list('tag', ROW_GROUPS)} THEN {families('=', 'row', 'cell', 'para')} "
-        f"WHEN kind = 'close' AND {in_list('tag', LIST_BOXES)} THEN {families('=', 'list', 'para')} "
-        f"WHEN kind = 'close' AND tag = 'dl' THEN {families('=', 'dl', 'para')} "
-        f"WHEN kind = 'close' AND tag = 'table' THEN {families('=', 'row', 'cell', 'para')} "
-        f"ELSE {families('=', 'para')} END"
-    )
-    # A container's own close tag counts at the depth inside the container.
-    depth = (
-        f"CASE family WHEN '=' THEN lvl WHEN 'list' THEN d_list + int(kind = 'close' AND {in_list('tag', LIST_BOXES)}) "
-        "WHEN 'dl' THEN d_dl + int(kind = 'close' AND tag = 'dl') WHEN 'para' THEN 0 "
-        "ELSE d_table + int(kind = 'close' AND tag = 'table') END"
-    )
-    starts = (
-        "kind = 'open' AND CASE family WHEN '=' THEN true WHEN 'list' THEN tag = 'li' WHEN 'dl' THEN tag IN ('dt', 'dd') "
-        "WHEN 'cell' THEN tag IN ('td', 'th') WHEN 'row' THEN tag = 'tr' ELSE tag = 'p' END"
-    )
-    return (
-        tokens.selectExpr("*", f"{level} AS lvl", f"{played} AS families")
-        .selectExpr("*", "explode_outer(families) AS family")
-        .selectExpr("*", f"{depth} AS depth", f"{starts} AS starts")
-        .drop("families", "d_list", "d_dl", "d_table", "d_template")
-    )
-
-
-def _with_extents(tokens: DataFrame, key: str) -> DataFrame:
-    """Adds where each element ends and the running counts at its start and end."""
-    here = "struct(pos, k_text, k_cell, k_dt, k_dd)"
-    following = f"lead({here}) OVER (PARTITION BY {key}, family, if(family = '=', tag, NULL), depth ORDER BY pos)"
-    nxt = f"CASE WHEN kind IN ('void', 'raw') THEN {here} WHEN starts THEN {following} END"
-    return (
-        _with_events(_with_counts(tokens, key), key)
-        .selectExpr("*", f"{nxt} AS nxt")
-        .selectExpr(
-            "*", "nxt.pos AS end", "k_text AS k0", "nxt.k_text AS k1", "k_cell AS cell0", "nxt.k_cell AS cell1",
-            "k_dt AS dt0", "nxt.k_dt AS dt1", "k_dd AS dd0", "nxt.k_dd AS dd1",
-        )
-    )
-
-
-def html_elements(tokens: DataFrame, key: str = "page_id") -> DataFrame:
+def html_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Elements with their extent: (key, pos, end, lvl, tag, tok, kind, k0, k1, ...).
 
     ``k0``/``k1`` count the page's visible text nodes before the start and before the
     end; the other pairs count table cells, dt and dd. An element without an end runs
     to the end of the page (``end`` and ``k1`` are NULL there).
     """
-    return _with_extents(tokens, key).filter(STARTS).select(
-        key, "pos", "end", "lvl", "tag", "tok", "kind", "k0", "k1", "cell0", "cell1", "dt0", "dt1", "dd0", "dd1"
+    return page_rows(pages, key, html).filter(ELEMENT).select(
+        key, "pos", "end", "lvl", "tag", "tok", "kind", "k0", "k1", "cell0", "cell1", "dt0", "dt1", "dd0", "dd1", "inside"
     )
 
 
@@ -177,7 +75,7 @@ def _listed(cond: str, *fields: str) -> str:
 
 def element_texts(pages: DataFrame, where: str, key: str = "page_id", html: str = "html", sep: str = "") -> DataFrame:
     """(key, pos, tag, text) of the elements that hold ``where`` (over tag, tok, kind, lvl)."""
-    rows = _with_extents(html_tokens(pages, key, html), key).filter(f"shown OR ({STARTS} AND ({where}))")
+    rows = page_rows(pages, key, html).filter(f"shown OR ({ELEMENT} AND ({where}))")
     return (
         rows.groupBy(key)
         .agg(F.expr(_listed("shown", "txt")).alias("t"), F.expr(_listed("NOT shown", "tag", "k0", "k1")).alias("e"))
@@ -186,74 +84,63 @@ def element_texts(pages: DataFrame, where: str, key: str = "page_id", html: str
     )
 
 
-def page_trees(pages: DataFrame, key: str, html: str = "html", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per page with its text nodes and the elements that matter, as sorted arrays.
+def page_trees(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``pages`` with their text nodes and the elements that matter, as arrays in document order.
 
-    ``key`` must be unique. The ``carry`` columns ride on the first token only. A page
-    without HTML keeps its carried columns and gets empty arrays.
+    A page without HTML gets empty arrays.
     """
-    labelled = matches(M.text_nodes(html), rules.SKU_LABEL)
-    carried = f"struct(true AS _, {', '.join(carry)})" if carry else "struct(true AS _)"
-    pages = pages.selectExpr(key, html, f"{labelled} AS labelled", f"{carried} AS carried")
-    tokens = html_tokens(pages, key, html, keep=("labelled", "carried"))
-    tokens = tokens.selectExpr(
-        key, "pos", "tok", "tag", "kind", "labelled", "if(coalesce(pos, 0) = 0, carried, NULL) AS carried"
-    )
+    ship(pages.sparkSession)
+    columns = pages.columns
+    pages = pages.withColumn("labelled", F.expr(matches(M.text_nodes(html), rules.SKU_LABEL))).withColumn("nodes", page_nodes(html))
 
     # Attributes are read from start tags only, and only where the name occurs in the tag.
-    def attribute(name: str) -> str:
-        return when("element AND kind <> 'raw'", M.attr("tok", name))
-
-    comment = replaced("tok", r"^<!--|-->\z", "")
-    node = f"CASE WHEN labelled THEN CASE kind WHEN 'text' THEN {M.html_unescape('tok')} WHEN 'comment' THEN {comment} END END"
-    rows = (
-        _with_extents(tokens, key)
-        .selectExpr("*", f"{STARTS} AS element")
-        .filter("element OR kind IN ('text', 'comment') OR carried IS NOT NULL")
-        .selectExpr(
-            "*",
-            f"{attribute('class')} AS a_class",
-            f"{attribute('id')} AS a_id",
-            f"{attribute('itemprop')} AS a_itemprop",
-            f"{attribute('content')} AS a_content",
-            f"regexp_instr({node}, {lit(rules.SKU_LABEL)}) - 1 AS label_at",
-        )
+    def attribute(e: str, name: str) -> str:
+        return when(f"{e}.kind <> 'raw'", M.attr(f"{e}.tok", name))
+
+    def seen(e: str) -> str:
+        read = ", ".join(f"{attribute(e, name)} AS a_{name}" for name in ("class", "id", "itemprop", "content"))
+        return f"struct({e}.pos, {e}.kind, {e}.tag, {e}.tok, {e}.k0, {e}.k1, {e}.cell0, {e}.cell1, {e}.dt0, {e}.dt1, {e}.dd0, {e}.dd1, {e}.inside, {read})"
+
+    def comment(n: str) -> str:
+        return replaced(f"{n}.tok", r"^<!--|-->\z", "")
+
+    def label(n: str) -> str:
+        node = f"CASE {n}.kind WHEN 'text' THEN {M.html_unescape(f'{n}.tok')} WHEN 'comment' THEN {comment(n)} END"
+        at = f"regexp_instr({node}, {lit(rules.SKU_LABEL)}) - 1"
+        return f"struct({n}.pos, {at} AS at, {n}.held, {n}.pk0, {n}.pk1, {n}.beside, {n}.sk0, {n}.sk1, {n}.script)"
+
+    def texts_and_comments(n: str) -> str:
+        return f"labelled AND {n}.kind IN ('text', 'comment')"
+
+    found = pages.selectExpr(
+        *columns,
+        f"{each(only('nodes', lambda n: f'{n}.shown'), lambda n: f'{n}.txt')} AS texts",
+        f"{each(only('nodes', lambda n: f"{n}.kind IN ('open', 'void', 'raw')"), seen)} AS elements",
+        f"{only(each(only('nodes', texts_and_comments), label), lambda x: f'{x}.at >= 0')} AS labels",
     )
-    src = f"coalesce({', '.join(blank_to_null(attribute(a)) for a in ('src', 'data-src', 'data-zoom-image'))})"
-    price_like = matches("concat(coalesce(a_class, ''), ' ', coalesce(a_id, ''))", rules.PRICE_CLASS)
+
+    def listed(cond: str, *fields: str) -> str:
+        """The elements ``e`` that hold ``cond``."""
+        return f"transform(filter(elements, e -> {cond}), e -> struct(e.pos, {', '.join(fields)}))"
 
     def first_span(cond: str) -> str:
-        return f"min_by(struct(pos, k0, k1), pos) FILTER (WHERE element AND {cond})"
-
-    columns = {
-        "carried": "first(carried, true)",
-        "text_items": _listed("shown", "txt"),
-        "h1": first_span("tag = 'h1'"),
-        "metas": _listed(
-            "element AND tag = 'meta'",
-            f"{attribute('property')} AS property", f"{attribute('name')} AS name", "a_content AS content",
-        ),
-        "itemprops": _listed("element AND a_itemprop IS NOT NULL", "a_itemprop AS prop", "a_content AS content", "k0", "k1"),
-        "prices": _listed(f"element AND {price_like}", "k0", "k1"),
-        "brand_class": first_span(matches("a_class", rules.BRAND_ATTRIBUTE)),
-        "brand_id": first_span(matches("a_id", rules.BRAND_ATTRIBUTE)),
-        "imgs": _listed(
-            "element AND tag = 'img'", f"{src} AS src", f"{attribute('src')} AS plain_src", f"{attribute('alt')} AS alt"
-        ),
-        "ps": _listed("element AND tag = 'p'", "k0", "k1"),
-        "cells": _listed("element AND tag IN ('td', 'th')", "k0", "k1"),
-        "dts": _listed("element AND tag = 'dt'", "k0", "k1"),
-        "dds": _listed("element AND tag = 'dd'", "k0", "k1"),
-        "trs": _listed("element AND tag = 'tr'", "cell0 AS c0", "cell1 AS c1"),
-        "tables": _listed("element AND tag = 'table'", "end"),
-        "dls": _listed("element AND tag = 'dl'", "dt0", "dt1", "dd0", "dd1"),
-        "labels": _listed("label_at >= 0", "label_at AS at"),
-        # Parents and siblings are needed only around SKU labels.
-        "elements": _listed(
-            "element AND labelled", f"coalesce(end, {FAR}) AS end", "k0", "k1", "if(kind = 'raw', tok, NULL) AS raw"
-        ),
-    }
-    trees = rows.groupBy(key).agg(*[F.expr(value).alias(name) for name, value in columns.items()])
-    return trees.selectExpr("*", "text_items.txt AS texts", *[f"carried.{c} AS {c}" for c in carry]).drop(
-        "text_items", "carried"
-    )
+        return f"try_element_at({listed(cond, 'e.k0', 'e.k1')}, 1)"
+
+    price_like = matches("concat(coalesce(e.a_class, ''), ' ', coalesce(e.a_id, ''))", rules.PRICE_CLASS)
+    src = f"coalesce({', '.join(blank_to_null(attribute('e', a)) for a in ('src', 'data-src', 'data-zoom-image'))})"
+    arrays = {
+        "h1": first_span("e.tag = 'h1'"),
+        "metas": listed("e.tag = 'meta'", f"{attribute('e', 'property')} AS property", f"{attribute('e', 'name')} AS name", "e.a_content AS content"),
+        "itemprops": listed("e.a_itemprop IS NOT NULL", "e.a_itemprop AS prop", "e.a_content AS content", "e.k0", "e.k1"),
+        "prices": listed(price_like, "e.k0", "e.k1"),
+        "brand_class": first_span(matches("e.a_class", rules.BRAND_ATTRIBUTE)),
+        "brand_id": first_span(matches("e.a_id", rules.BRAND_ATTRIBUTE)),
+        "imgs": listed("e.tag = 'img'", f"{src} AS src", f"{attribute('e', 'src')} AS plain_src", f"{attribute('e', 'alt')} AS alt"),
+        "ps": listed("e.tag = 'p'", "e.k0", "e.k1"),
+        "cells": listed("e.tag IN ('td', 'th')", "e.k0", "e.k1"),
+        "dts": listed("e.tag = 'dt'", "e.k0", "e.k1"),
+        "dds": listed("e.tag = 'dd'", "e.k0", "e.k1"),
+        "trs": listed("e.tag = 'tr'", "e.cell0 AS c0", "e.cell1 AS c1", "e.inside AS inside"),
+        "dls": listed("e.tag = 'dl'", "e.dt0", "e.dt1", "e.dd0", "e.dd1"),
+    }
+    return found.selectExpr(*columns, "texts", "labels", *[f"{value} AS {name}" for name, value in arrays.items()])

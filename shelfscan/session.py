@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +17,9 @@ SETTINGS = {
     # Lets a per-site limit of usual size be cut on the map side, before its shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(rules.MAX_URLS),
     "spark.sql.session.timeZone": "UTC",
-    # Tokens reach the fold sorted by page: one page at a time in memory, no hash map of
+    # Pages go to Python in batches that are small whatever their length.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    # Arrays of a page are put together sorted by page: one page at a time in memory, no hash map of
     # pages and no second sort when that map overflows.
     "spark.sql.execution.useObjectHashAggregateExec": "false",
 }
@@ -27,6 +31,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once per application; a local master has it already."""
+    context = spark.sparkContext
+    if context.master.startswith("local[") or getattr(context, "_engine_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ship-")) / "engine_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._engine_shipped = True
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by ``keys`` into the session's full number of shuffle partitions.
 

@@ -75,8 +75,7 @@ def test_no_step_of_a_run_moves_a_body(spark, monkeypatch):
     run = catalogue.read_catalogues_of(read_sites(spark, [S]), site_archive(spark), datetime(2026, 1, 1))
     moved.extend(("frontier", columns) for columns in moved_columns(run.frontier))
     assert {name for name, _ in moved} >= {"urls", "judged", "products"}
-    # Product pages without JSON-LD are dealt out once, to be shredded.
-    assert [name for name, columns in moved if {"body", "html", "source"} & set(columns)] == ["products"]
+    assert [name for name, columns in moved if {"body", "html", "source"} & set(columns)] == []
 
 
 def test_runs_are_added(spark):

@@ -158,3 +158,91 @@ def test_large_page(spark, n):
     body = "<h1>N</h1><p>SKU: A1</p><table>" + "".join(f"<tr><td>k{i}<td>v{i}" for i in range(n)) + "</table>"
     got = products(spark, body)[0]
     assert got.specs == {f"k{i}": f"v{i}" for i in range(n)} and got.spec_keys[:3] == ["k0", "k1", "k2"]
+
+
+def test_crosswise_nesting(spark):
+    """What closes what: an end tag takes the elements inside along, a start tag those that cannot hold it."""
+    assert texts(spark, "<b><i>x</b>y</i>z", "tag IN ('b', 'i')") == ["x", "x"]
+    assert texts(spark, "<div><b>a</div>b</b>c", "tag IN ('div', 'b')") == ["a", "a"]
+    assert texts(spark, "<p>a<ul><li>b</ul>c</p>d", "tag IN ('p', 'ul')") == ["a", "b"]
+    assert texts(spark, "<table><tr><td>a</div></p>b<div>c</td>d</table>e", "tag IN ('td', 'div')") == ["abc", "c"]
+    assert texts(spark, "<div>a<table><tr><td>b</div>c</table>d</div>e", "tag IN ('div', 'table')") == ["abcd", "bc"]
+    assert texts(spark, "<h1>a<h2>b</h1>c", "tag IN ('h1', 'h2')") == ["ab", "b"]
+    assert texts(spark, "<a>x<a>y</a>z", "tag = 'a'") == ["x", "y"]
+    assert texts(spark, "<ul><li>a<b>b<li>c</ul>", "tag = 'li'") == ["abc", "c"]
+    assert texts(spark, "</b></table>x<html><p>y</html>z", "tag = 'p'") == ["y"]
+
+
+def test_parents_and_siblings():
+    from shelfscan.operators.tree import Page
+
+    page = Page("<div>a<p>b<br><i>c</i></p><script>s</script><p>d</div><span>e")
+    names = {i: t for i, t in enumerate(page.tags) if page.kinds[i] in ("open", "void", "raw")}
+    parents = [(t, names.get(page.parent[i])) for i, t in names.items()]
+    assert parents == [("div", None), ("p", "div"), ("br", "p"), ("i", "p"), ("script", "div"), ("p", "div"), ("span", None)]
+    beside = [names.get(page.beside[i]) for i in names]
+    assert beside == ["span", "script", "i", None, "p", None, None]
+
+
+def test_random_trees_against_a_plain_reading():
+    """On well nested pages without optional end tags: extents, parents and siblings as brackets give them."""
+    import random
+
+    from shelfscan.operators.tree import Page
+
+    r = random.Random(3)
+    for _ in range(60):
+        parts, open_tags, want, last = [], [], {}, {}
+        for _ in range(120):
+            step = r.random()
+            if step < 0.4 and len(open_tags) < 30:
+                i, above = len(parts), open_tags[-1] if open_tags else -1
+                if above in last:
+                    want[last[above]][1] = i
+                last[above] = i
+                want[i] = [above, None, None]
+                open_tags.append(i)
+                parts.append(f"<{r.choice(['section', 'em', 'x-y', 'article'])}>")
+            elif step < 0.7 and open_tags:
+                i = open_tags.pop()
+                want[i][2] = len(parts)
+                parts.append(parts[i].replace("<", "</"))
+            elif not parts or parts[-1][0] == "<":
+                parts.append(r.choice(["text", " ", "a&amp;b"]))
+        page = Page("".join(parts))
+        assert page.toks == parts
+        assert {i: [page.parent[i], page.beside[i], page.end[i]] for i in want} == want
+
+
+def seconds(body):
+    import time
+
+    from shelfscan.operators.tree import Page
+
+    start = time.perf_counter()
+    page = Page(body)
+    page.rows([[] for _ in range(24)])
+    return time.perf_counter() - start, page
+
+
+def test_time_grows_with_the_page():
+    """2 000 labels or 500 tables within each other cost no more than as many other tokens."""
+    few = "<p>SKU: 1</p>" + "<div><b>x</b></div>" * 10000
+    many = "<p>SKU: 1</p>" * 2000 + "<div><b>x</b></div>" * 9000
+    assert seconds(many)[0] < 4 * seconds(few)[0] + 0.2
+    rows = "<tr><td>k<td>v"
+    nested = ("<table>" + rows * 10 + "<tr><td>") * 500 + "</table>" * 500
+    flat = ("<table>" + rows * 10 + "<tr><td></table>") * 500
+    (slow, page), (fast, _) = seconds(nested), seconds(flat)
+    assert slow < 8 * fast + 0.3
+    assert [page.inside[i] is not None for i, t in enumerate(page.tags) if t == "tr" and page.kinds[i] == "open"] == [True] * 5500
+
+
+def test_many_labels_and_deep_tables(spark):
+    """The first usable label counts; rows of inner tables come last, in linear time."""
+    labels = "<div><span>SKU:</span><i>" + "y" * 90 + "</i></div>"
+    body = "<h1>N</h1>" + labels * 1500 + "<span>SKU:</span><b>Z-9</b>"
+    deep = "<h1>N</h1>sku" + "".join(f"<table><tr><td>a<td>{i}<tr><td>k{i}<td>{i}<tr><td>" for i in range(60)) + "</table>" * 60
+    got = products(spark, body, deep)
+    assert got[0].sku == "Z-9"
+    assert got[1].specs == {"a": "59"} | {f"k{i}": str(i) for i in range(60)}
