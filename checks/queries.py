@@ -827,7 +827,7 @@ def stream_catalogue(spark, sf_dir):
     R.prepare(spark)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/part*.parquet")
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/part[.]parquet")
     fetches = arriving.select(
         R.site().alias("site"), R.product_url().alias("url"), F.lit(0).alias("attempt"),
         F.lit(READ_AT).alias("fetched_at"), F.lit(200).alias("status"), R.page_html(R.page_template()).alias("body"),
@@ -835,3 +835,20 @@ def stream_catalogue(spark, sf_dir):
     )
     stream_products(fetches, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").selectExpr(*product_columns("site"))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT {product_sql(t, PLAIN_URL, f'{SITE} AS site')} FROM part WHERE p_partkey % 7 IN ({ks})"
+    for ks, t in (("0", "jsonld"), ("1", "meta"), ("2, 6", "heuristic"))
+))
+def stream_rendered(spark, sf_dir):
+    """Script shells whose rendered bodies arrive one batch later, and attempts that are turned away first."""
+    R.prepare(spark)
+    folder = _folder(spark, "stream")
+    fetches = R.rendered_fetches(spark, sf_dir, with_docs=False, with_hidden=False)
+    fetches = fetches.withColumn("url", F.regexp_replace("url", "/x/p/", "/products/")).withColumn("fetched_at", F.lit(READ_AT))
+    arriving = spark.readStream.schema(fetches.schema).parquet(f"{folder}/in/*")
+    for i, some in enumerate(["via <> 'render'", "via = 'render'"]):
+        fetches.filter(some).write.parquet(f"{folder}/in/{i}")
+        stream_products(arriving, f"{folder}/out", f"{folder}/state", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").selectExpr(*product_columns("site"))

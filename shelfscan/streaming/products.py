@@ -1,41 +1,114 @@
-"""New responses in, products out."""
+"""New responses in, products out, also where only a browser can show a page and its body comes later."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfscan.operators.extract import drop_nameless, extract_products
-from shelfscan.operators.screen import screen_responses
+from shelfscan.operators.screen import route_of, route_reason
+from shelfscan.session import ship
 
+#: What is known of a URL: whether a browser's body is waited for, or a page was put out, and a body that came first.
+STATE = "waiting BOOLEAN, failed BOOLEAN, done BOOLEAN, held STRING"
+PAGES = "site STRING, url STRING, fetched_at TIMESTAMP, html STRING"
 
-def accepted_once(fetch_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Usable responses, one per URL within the watermark; the only state is those URLs."""
-    usable = fetch_stream.filter(
-        "coalesce(via, 'http') <> 'render' AND error IS NULL AND status <> 429"
-    )
-    return usable.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["site", "url"])
 
+def said(fetch_stream: DataFrame) -> DataFrame:
+    """(site, url, fetched_at, attempt, says, html): what each response says of its URL, row by row.
 
-def products_of_batch(batch: DataFrame) -> DataFrame:
-    responses = batch.selectExpr("site", "url", "status", "coalesce(body, '') AS body", "CAST(NULL AS STRING) AS rendered", "fetched_at")
-    pages = screen_responses(responses).filter("route = 'accept'").select("site", "url", "fetched_at", "html")
+    ``accept`` and ``drawn`` bring HTML; ``needs_render`` and ``drop`` are the verdicts on a plain response that counts;
+    ``failed`` is one that does not. Drawn bodies without text or with an error say nothing.
+    """
+    reason = route_reason("status", "coalesce(body, '')")
+    rows = fetch_stream.selectExpr("*", "coalesce(via, 'http') = 'render' AS drawn", "coalesce(error IS NULL AND status <> 429, false) AS counts", f"{reason} AS reason")
+    says = f"CASE WHEN drawn THEN if(error IS NULL AND body IS NOT NULL, 'drawn', NULL) WHEN counts THEN {route_of()} ELSE 'failed' END"
+    told = rows.selectExpr("site", "url", "fetched_at", "coalesce(attempt, 0) AS attempt", f"{says} AS says", "body").filter("says IS NOT NULL")
+    return told.selectExpr("site", "url", "fetched_at", "attempt", "says", "if(says IN ('accept', 'drawn'), coalesce(body, ''), NULL) AS html")
+
+
+def next_state(rows: list[tuple[str, str | None]], waiting: bool, failed: bool, done: bool, held: str | None) -> tuple[tuple, str | None]:
+    """State after ``rows`` (says, html) in order, and the HTML to put out, if any.
+
+    The first plain response that counts decides; a body of a browser is put out where that one, or nothing but failures,
+    asks for it. Each URL is put out once while it is remembered.
+    """
+    out = None
+    for says, html in rows:
+        if done:
+            break
+        if says == "drawn":
+            held = html if held is None else held
+        elif says == "failed":
+            failed = True
+        elif not waiting:
+            waiting, done = says == "needs_render", says in ("accept", "drop")
+            out = html if says == "accept" else None
+        if held is not None and waiting and not done:
+            out, done = held, True
+    # Nothing but failures: the browser's body counts, unless a plain response came with them.
+    if not done and failed and not waiting and held is not None:
+        out, done = held, True
+    return (waiting, failed, done, None if done else held), out
+
+
+def _remember(delay: timedelta):
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts))
+        # Within a batch plain responses go by attempt; bodies of a browser are looked at after them.
+        rows = rows.assign(last=rows["says"].isin(["drawn"])).sort_values(["last", "attempt", "fetched_at"], kind="stable")
+        known = state.get if state.exists else (False, False, False, None)
+        new, html = next_state(list(zip(rows["says"], rows["html"])), *known)
+        state.update(new)
+        newest = rows["fetched_at"].max()
+        until = int((newest + delay).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if html is not None:
+            yield pd.DataFrame({"site": [key[0]], "url": [key[1]], "fetched_at": [newest], "html": [html]})
+
+    return run
+
+
+def readable_once(fetch_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """(site, url, fetched_at, html) of URLs that can be read, each once, as fetched or as a browser drew it.
+
+    State is a row of flags per URL, kept for ``delay`` of event time after its last response. It holds a body only
+    while a browser's came before the plain response that asks for it.
+    """
+    ship(fetch_stream.sparkSession)
+    told = said(fetch_stream).withWatermark("fetched_at", delay)
+    return told.groupBy("site", "url").applyInPandasWithState(_remember(pd.Timedelta(delay).to_pytimedelta()), PAGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def products_of_pages(pages: DataFrame) -> DataFrame:
     return drop_nameless(extract_products(pages, keep=("site", "url", "fetched_at")))
 
 
+def products_of_batch(batch: DataFrame) -> DataFrame:
+    """Products of the plain responses of a batch that can be read as they are."""
+    return products_of_pages(said(batch).filter("says = 'accept'").select("site", "url", "fetched_at", "html"))
+
+
 def stream_products(
     fetch_stream: DataFrame, path: str, checkpoint: str, delay: str = "1 hour", available_now: bool = False
 ) -> StreamingQuery:
     """Append the products of new responses to a Parquet table, by batch.
 
-    Windows inside a page are batch operations, so each micro-batch runs the batch
-    extraction. A batch that is run again after a failure replaces its own folder.
+    A batch that is run again after a failure replaces its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        products_of_batch(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        products_of_pages(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    writer = accepted_once(fetch_stream, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = readable_once(fetch_stream, delay).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
