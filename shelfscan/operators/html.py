@@ -109,14 +109,13 @@ def page_trees(pages: DataFrame, html: str = "html") -> DataFrame:
         at = f"regexp_instr({node}, {lit(rules.SKU_LABEL)}) - 1"
         return f"struct({n}.pos, {at} AS at, {n}.held, {n}.pk0, {n}.pk1, {n}.beside, {n}.sk0, {n}.sk1, {n}.script)"
 
-    def texts_and_comments(n: str) -> str:
-        return f"labelled AND {n}.kind IN ('text', 'comment')"
-
+    # The test of the whole page stands outside of the lambdas: inside it would be made for every token.
+    candidates = when("labelled", only("nodes", lambda n: f"{n}.kind IN ('text', 'comment')"), "slice(nodes, 1, 0)")
     found = pages.selectExpr(
         *columns,
         f"{each(only('nodes', lambda n: f'{n}.shown'), lambda n: f'{n}.txt')} AS texts",
         f"{each(only('nodes', lambda n: f"{n}.kind IN ('open', 'void', 'raw')"), seen)} AS elements",
-        f"{only(each(only('nodes', texts_and_comments), label), lambda x: f'{x}.at >= 0')} AS labels",
+        f"{only(each(candidates, label), lambda x: f'{x}.at >= 0')} AS labels",
     )
 
     def listed(cond: str, *fields: str) -> str:
