@@ -4,11 +4,13 @@ Equal vectors form one node. A forest of random hyperplanes gives each node firs
 of NN-descent join every node's neighbours and reverse neighbours with one another, so that neighbours of
 neighbours meet, and keep the best. A query starts from its own node's list and goes greedily through the
 graph: each hop joins its best unvisited candidates with the graph, until none of the best ``k``
-change or ``hops`` are done. Its best candidates are then scored exactly on the original vectors.
+change. Its best candidates are then scored exactly on the original vectors.
 
-Nearness is the inner product. The graph is built on vectors with one more component that makes all
-norms equal, so it also serves vectors of different lengths; components are kept in one byte each, which
-is for finding candidates only. Recall against brute force is measured in the tests.
+Nearness is the inner product. A node keeps its direction, one byte a component, and its length; planes cut
+directions, so a few long vectors do not blur the rest, and candidates are scored by direction and length. As the
+longest vectors are near to many at once, the ``LONGEST`` longest are offered to every node from the start. Rounds go
+on until at most ``STILL`` of all lists change, hops until no query's best change. Recall against brute force is
+measured in the tests, on unit, lognormal, clustered vectors and with outliers.
 
 Vectors that are null, zero, of another dimension than most, or hold null or non-finite components take no
 part, nor do rows without ``vec_id``; repeated rows count once. Ties go to the smaller ``vec_id``. Only the named
@@ -30,8 +32,9 @@ from shelfscan.llm.common import ship, staged
 
 TREES, LEAF = 16, 512
 DEGREE, REVERSE = 32, 16
-ROUNDS, OFFER = 2, 8
-BEAM, KEEP, HOPS = 64, 256, 4
+OFFER, STILL = 8, 0.05
+BEAM, KEEP = 64, 256
+LONGEST = 512
 
 
 def _valid(vectors: DataFrame) -> DataFrame:
@@ -62,21 +65,23 @@ def _planes(trees: int, depth: int, width: int) -> np.ndarray:
     return ((bits >> words.U(40)).astype(np.float32).sum(axis=0) / (1 << 24) - 6).reshape(trees, depth, width)
 
 
-def _prepared(longest: float, scale: float, trees: int, depth: int):
-    """The byte vector of every node, and its leaf in every tree."""
+def _prepared(largest: float, trees: int, depth: int):
+    """The direction of every node in bytes, the factor that gives its vector back (in units of ``largest``), and its
+    leaf in every tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) / longest
-            spare = np.sqrt(np.maximum(0.0, 1 - (x * x).sum(axis=1)))
-            full = np.concatenate([x, spare[:, None]], axis=1)
-            packed = np.clip(np.rint(full / scale), -127, 127).astype(np.int8)
-            planes = _planes(trees, depth, full.shape[1])
-            leaves = ((full @ planes.reshape(-1, full.shape[1]).T > 0).reshape(len(x), trees, depth) * (1 << np.arange(depth))).sum(axis=2) if depth else np.zeros((len(x), trees), np.int64)
+            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            top = np.abs(x).max(axis=1)
+            x = x / top[:, None]
+            packed = np.rint(x * 127).astype(np.int8)
+            planes = _planes(trees, depth, x.shape[1])
+            leaves = ((x @ planes.reshape(-1, x.shape[1]).T > 0).reshape(len(x), trees, depth) * (1 << np.arange(depth))).sum(axis=2) if depth else np.zeros((len(x), trees), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(list(leaves.astype(np.int64)), pa.list_(pa.int64()))], names=["id", "p", "leaves"]
+                [batch.column(0), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array((top / largest).astype(np.float32)), pa.array(np.sqrt((x * x).sum(axis=1)) * (top / largest)), pa.array(list(leaves.astype(np.int64)), pa.list_(pa.int64()))],
+                names=["id", "p", "f", "length", "leaves"],
             )
 
     return run
@@ -103,7 +108,7 @@ def _met(width: int, offer: int):
             flat, at = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             ids = flat.field("id").to_numpy()
             floor = flat.field("floor").to_numpy()
-            vectors = _packed(flat.field("p"), width).astype(np.float32)
+            vectors = _packed(flat.field("p"), width).astype(np.float32) * (flat.field("f").to_numpy() / 127)[:, None]
             heads, found, scored = [], [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 some = ids[a:b]
@@ -157,42 +162,68 @@ def _around(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     back = there.withColumn("_n", F.row_number().over(Window.partitionBy("other").orderBy(F.xxhash64("id", "other")))).filter(f"_n <= {REVERSE}")
     pairs = there.selectExpr("id AS at", "other AS id").union(back.selectExpr("other AS at", "id")).distinct()
     floors = graph.selectExpr("id AS _g", f"if(size(scores) < {DEGREE}, float('-infinity'), scores[size(scores) - 1]) AS floor")
-    known = staged(nodes.select("id", "p").join(floors, F.col("id") == F.col("_g"), "left").selectExpr("id", "p", "coalesce(floor, float('-infinity')) AS floor"), "known")
-    return pairs.join(known, "id").groupBy("at").agg(F.collect_list(F.struct("id", "p", "floor")).alias("members"))
+    known = staged(nodes.select("id", "p", "f").join(floors, F.col("id") == F.col("_g"), "left").selectExpr("id", "p", "f", "coalesce(floor, float('-infinity')) AS floor"), "known")
+    return pairs.join(known, "id").groupBy("at").agg(F.collect_list(F.struct("id", "p", "f", "floor")).alias("members"))
 
 
 def build_graph(nodes: DataFrame, width: int) -> DataFrame:
-    """``id`` with the ``ids`` and ``scores`` (of byte vectors) of its neighbours; ``nodes`` has id, p, leaves."""
-    placed = nodes.select("id", "p", F.posexplode("leaves").alias("tree", "leaf"))
+    """``id`` with the ``ids`` and ``scores`` (of byte vectors) of its neighbours; ``nodes`` has id, p, f, length, leaves."""
+    placed = nodes.select("id", "p", "f", F.posexplode("leaves").alias("tree", "leaf"))
     sizes = staged(placed.groupBy("tree", "leaf").agg(F.expr(f"CAST(ceil(count(*) / {2 * LEAF}) AS int) AS parts")), "leaf-sizes")
     leaves = placed.join(sizes, ["tree", "leaf"]).groupBy("tree", "leaf", F.expr("pmod(xxhash64(id), parts)").alias("part"))
-    members = leaves.agg(F.collect_list(F.expr("named_struct('id', id, 'p', p, 'floor', float('-infinity'))")).alias("members"))
+    members = leaves.agg(F.collect_list(F.expr("named_struct('id', id, 'p', p, 'f', f, 'floor', float('-infinity'))")).alias("members"))
     schema = "id long, ids array<long>, scores array<float>"
-    graph = _grown(None, members.select("members").mapInArrow(_met(width, DEGREE * 5 // 8), schema), "graph")
-    for _ in range(ROUNDS):
+    longest = nodes.orderBy(F.desc("length"), "id").limit(LONGEST).select("id", "p", "f").collect()
+    first = members.select("members").mapInArrow(_met(width, DEGREE * 5 // 8), schema)
+    graph = _grown(None, first.union(nodes.select("id", "p", "f").mapInArrow(_offered(longest, width), schema)), "graph")
+    n = graph.count()
+    while True:
         offers = _around(graph, nodes).select("members").mapInArrow(_met(width, OFFER), schema)
-        graph = _grown(graph, offers, "graph")
-    return graph
+        after = _grown(graph, offers, "graph")
+        changed = after.join(graph.selectExpr("id", "ids AS _before"), "id").filter("ids <> _before").count()
+        graph = after
+        if changed <= STILL * n:
+            return graph
+
+
+def _offered(longest: list, width: int):
+    """To every node, the best of the ``longest``: a stated number of rows whatever the table."""
+    names = np.array([r.id for r in longest], np.int64)
+    vectors = np.frombuffer(b"".join(bytes(r.p) for r in longest), np.int8).reshape(-1, width).astype(np.float32) * np.array([r.f / 127 for r in longest], np.float32)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            own = _packed(batch.column(1), width).astype(np.float32) * (batch.column(2).to_numpy() / 127)[:, None]
+            score = own @ vectors.T
+            score[ids[:, None] == names[None, :]] = -np.inf
+            tops = [_best(row, DEGREE) for row in score]
+            tops = [t[row[t] > -np.inf] for t, row in zip(tops, score)]
+            yield _lists([names[t] for t in tops], [row[t] for t, row in zip(tops, score)], ("id", "ids", "scores"), batch.column(0))
+
+    return run
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each node's neighbours as ids and one binary of their vectors."""
     for batch in batches:
-        ids, vectors = [], []
+        ids, vectors, factors = [], [], []
         for members in batch.column(1):
             flat = members.values
             ids.append(flat.field("id").to_numpy())
             vectors.append(b"".join(flat.field("p").to_pylist()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], names=["at", "ids", "vectors"])
+            factors.append(flat.field("f").to_numpy())
+        columns = [batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.array(factors, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["at", "ids", "vectors", "factors"])
 
 
 def _scored(width: int):
-    """Candidates (ids, scores) that a visited node offers to a query; columns: query, q, ids, vectors."""
+    """Candidates (ids, scores) that a visited node offers to a query; columns: query, q, ids, vectors, factors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             queries = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
-            scores = [np.frombuffer(v.as_buffer(), np.int8).reshape(-1, width).astype(np.float32) @ q for v, q in zip(batch.column(3), queries)]
+            scores = [np.frombuffer(v.as_buffer(), np.int8).reshape(-1, width).astype(np.float32) @ q * f.values.to_numpy() for v, q, f in zip(batch.column(3), queries, batch.column(4))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.list_(pa.float32()))], names=["query", "ids", "scores"])
 
     return run
@@ -232,18 +263,20 @@ STATE = "query long, q binary, ids array<long>, scores array<float>, seen array<
 
 
 def _search(graph: DataFrame, nodes: DataFrame, starts: DataFrame, width: int, k: int) -> DataFrame:
-    """Best candidates (``query``, ``id``) of each start node (``id``, ``p``, ``q``)."""
-    adjacency = staged(_around(graph, nodes).mapInArrow(_adjacent, "at long, ids array<long>, vectors binary"), "adjacency")
+    """Best candidates (``query``, ``id``) of each start node (``id``, ``q``)."""
+    adjacency = staged(_around(graph, nodes).mapInArrow(_adjacent, "at long, ids array<long>, vectors binary, factors array<float>"), "adjacency")
     own = starts.selectExpr("id AS query", "q", "array(id) AS go0")
     state = staged(own.selectExpr("query", "q", "CAST(array() AS array<bigint>) AS ids", "CAST(array() AS array<float>) AS scores", "go0 AS seen", "go0 AS go", "true AS changed"), "search")
-    for hop in range(HOPS + 1):
-        visits = state.filter("changed").selectExpr("query", "q", "explode(go) AS at").join(adjacency, "at").select("query", "q", "ids", "vectors")
+    hop = 0
+    while True:
+        visits = state.filter("changed").selectExpr("query", "q", "explode(go) AS at").join(adjacency, "at").select("query", "q", "ids", "vectors", "factors")
         found = visits.mapInArrow(_scored(width), "query long, ids array<long>, scores array<float>")
         found = found.groupBy("query").agg(F.collect_list("ids").alias("more"), F.collect_list("scores").alias("more_scores"))
         step = state.select("query", "q", "ids", "scores", "seen").join(found, "query", "left")
         state = staged(step.mapInArrow(_step(k), STATE), "search")
         if hop and not state.filter("changed").limit(1).count():
             break
+        hop += 1
     return state.selectExpr("query", "explode(slice(ids, 1, {}))".format(3 * k) + " AS id")
 
 
@@ -255,20 +288,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     dimension = usual[0]["d"] if usual else 1
     rows = valid.filter(F.size("v") == dimension).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows = staged(rows, "vectors")
-    norm = "sqrt(aggregate(v, 0D, (a, x) -> a + x * x))"
-    facts = rows.agg(F.expr(f"max({norm}) AS longest"), F.expr("max(array_max(transform(v, x -> abs(x)))) AS largest"), F.expr(f"min({norm}) AS shortest")).first()
-    longest = facts["longest"] or 1.0
-    scale = max((facts["largest"] or 1.0) / longest, math.sqrt(max(0.0, 1 - ((facts["shortest"] or 1.0) / longest) ** 2))) / 127
+    largest = rows.agg(F.expr("max(array_max(transform(v, x -> abs(x)))) AS largest")).first()["largest"] or 1.0
     firsts = _firsts(rows, k + 1).groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("members"), F.first("v").alias("v"))
     classes = staged(firsts, "vector-classes")
     depth = max(0, math.ceil(math.log2(max(1, classes.count()) / LEAF)))
-    width = dimension + 1
-    nodes = staged(classes.select("id", "v").mapInArrow(_prepared(longest, scale, TREES, depth), "id long, p binary, leaves array<long>"), "nodes")
-    graph = build_graph(nodes, width)
+    nodes = staged(classes.select("id", "v").mapInArrow(_prepared(largest, TREES, depth), "id long, p binary, f float, length double, leaves array<long>"), "nodes")
+    graph = build_graph(nodes, dimension)
     hashed = rows.filter(F.expr(f"vec_id % {int(every)} = 0")).selectExpr("vec_id AS query_id", "xxhash64(v) AS h1", "xxhash64(1, v) AS h2")
     asked = staged(hashed.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).select("query_id", F.col("id").alias("query")), "asked")
-    starts = nodes.join(asked.select(F.col("query").alias("id")).distinct(), "id").selectExpr("id", "p", "concat(substr(p, 1, {}), X'00') AS q".format(dimension))
-    found = _search(graph, nodes, starts, width, k).union(asked.selectExpr("query", "query AS id").distinct()).distinct()
+    starts = nodes.join(asked.select(F.col("query").alias("id")).distinct(), "id").selectExpr("id", "p AS q")
+    found = _search(graph, nodes, starts, dimension, k).union(asked.selectExpr("query", "query AS id").distinct()).distinct()
     ends = staged(classes.selectExpr("id", "v", "members"), "ends")
     scored = found.join(ends, "id").join(ends.selectExpr("id AS query", "v AS qv"), "query")
     scored = scored.selectExpr("query", "members", "aggregate(zip_with(v, qv, (x, y) -> x * y), 0D, (a, x) -> a + x) AS score")

@@ -357,6 +357,34 @@ def test_nearest(spark):
     assert neighbours.nearest(table.filter("false"), 20, 20).count() == 0
 
 
+def spread_vectors(kind, n=3000, d=32):
+    r = np.random.default_rng(8)
+    unit = r.normal(size=(n, d))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    if kind == "outlier":
+        unit[17] *= 100
+    if kind == "lognormal":
+        unit *= r.lognormal(size=n)[:, None]
+    if kind == "clusters":
+        return r.normal(size=(30, d))[r.integers(0, 30, n)] + 0.3 * r.normal(size=(n, d))
+    return unit
+
+
+@pytest.mark.parametrize("kind", ["unit", "outlier", "lognormal", "clusters"])
+def test_nearest_of_any_length(spark, kind):
+    x = spread_vectors(kind)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in neighbours.nearest(table, 30, 20).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    hits = 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & found)
+    assert len(got) == 100 and hits / 2000 > 0.95
+
+
 # -- odd tables --------------------------------------------------------------
 
 
