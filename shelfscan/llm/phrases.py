@@ -1,6 +1,6 @@
 """Phrases whose words stand together more often than chance has it, mined by partitions that are each searched whole.
 
-A shard is a run of a task's rows, of up to ``SHARD`` words and so small that there are ``support`` of them. A phrase that stands ``support`` times in a language
+A shard is a run of a task's rows, of up to ``SHARD`` words and so small that there are twice ``support`` of them. A phrase that stands ``support`` times in a language
 stands in at least one shard at least ``support`` times that shard's part of the language's words. So every shard is
 mined whole, length by length, at this lowered support; the union of what the shards found holds every frequent phrase,
 and one more pass counts all of it exactly. Three things keep the union small, none of which can lose a phrase:
@@ -150,7 +150,7 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[Op
     shard = Shard()
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
-        for a, b in chunks(offsets, CHUNK):
+        for a, b in chunks(offsets, min(CHUNK, max(1, 4 * most))):
             shard.add(batch.column(0).slice(a, b - a).to_pylist(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if shard.words >= most or shard.bytes >= SHARD_BYTES:
                 yield Opened(shard)
@@ -255,8 +255,8 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     sizes = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-languages")
     singles = words.filter(F.col("f") >= support)
     largest = send({r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()})
-    # At least ``support`` shards: each one's support is then one or two, and the union as exact, at every size of ``docs``.
-    most = max(1, min(SHARD, (sizes.agg(F.sum("n")).first()[0] or 0) // support))
+    # Shards well below 1 / ``support`` of the words: their own support is then one, at every size of ``docs``.
+    most = max(1, min(SHARD, (sizes.agg(F.sum("n")).first()[0] or 0) // (2 * support)))
     frequent = send(_table_of(_word_hashes(singles)))
 
     def union(lengths: tuple[int, int], pairs: Broadcast | None) -> DataFrame:
