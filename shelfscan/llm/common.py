@@ -53,15 +53,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def salted_lookup(df: DataFrame, facts: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+def salted_lookup(df: DataFrame, facts: DataFrame, keys: list[str], salts: int = 32, salt: str | None = None) -> DataFrame:
     """Left join of one small row of ``facts`` per key; a hot key's rows are dealt to ``salts`` tasks.
 
-    Nulls in ``keys`` match. ``facts`` holds groups (hosts, leaves), not documents.
+    Nulls in ``keys`` match. ``facts`` holds groups (hosts, leaves), not documents. ``salt`` names a column of ``df`` from 0
+    to ``salts`` - 1 to deal by; it stays. Without one rows are dealt by their order, so ``df`` must come from a staged table.
     """
     names = [f"_k{i}" for i in range(len(keys))]
     right = facts.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c for c in facts.columns if c not in keys])
     right = right.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = df.withColumn("_salt1", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    left = df.withColumn("_salt1", F.col(salt) if salt else F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     on: Column = F.col("_salt1") == F.col("_salt2")
     for k, n in zip(keys, names):
         on = on & F.col(k).eqNullSafe(F.col(n))
