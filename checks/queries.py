@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from shelfscan.functions import urls as U
 from shelfscan.functions.sql import each, extract_all
 from shelfscan.operators import catalogue as C
 from shelfscan.operators import classify, discovery as D, extract as X, html as H, jsonld as J, screen
+from shelfscan.operators.tree import page_nodes
 from shelfscan.plans.catalogue import CatalogueRun, read_catalogues_of
 from shelfscan.session import shared_folder, stage
 from shelfscan.sources.archive import open_responses, store_responses
@@ -286,6 +288,23 @@ def implied_end_tags(spark, sf_dir):
     )
 
 
+REFERENCE_ROWS = ", ".join("({}, {})".format(i, strings([name, html5[name]])) for i, name in enumerate(R.REFERENCES))
+
+
+@query(f"""WITH names(i, name, c) AS (VALUES {REFERENCE_ROWS}), named AS (SELECT p_partkey, name, c, ends_with(name, ';') AS whole
+ FROM part, LATERAL (VALUES (2 * p_partkey), (2 * p_partkey + 1)) t(n), names WHERE i = n % {len(R.REFERENCES)})
+SELECT p_partkey AS page_id, name, 'a ' || c || ' b y' || c || 'zq9' AS text, 'a ' || c || ' b|y' || c || 'zq9' AS nodes, c || ' x' AS titled,
+CASE WHEN whole THEN 'q' || c || '=1' || c || 'zq9' ELSE 'q&' || name || '=1&' || name || 'zq9' END AS run_on FROM named""")
+def character_references(spark, sf_dir):
+    """Every name of a character reference, in text (by expression and by tree) and in attributes."""
+    pages = R.reference_pages(spark, sf_dir).withColumn("nodes", page_nodes())
+    tag = "regexp_extract(html, '(<{}[^>]*>)', 1)"
+    return pages.selectExpr(
+        "page_id", "name", f"{M.page_text('html')} AS text", "array_join(transform(filter(nodes, n -> n.shown), n -> n.txt), '|') AS nodes",
+        f"{M.attr(tag.format('p'), 'title')} AS titled", f"{M.attr(tag.format('i'), 'title')} AS run_on",
+    )
+
+
 @query("""SELECT p_partkey AS page_id, tag, text, count(*) AS n FROM part, LATERAL (VALUES ('div', p_name || p_type || 'xy'), ('b', p_name || p_type), ('i', p_type),
  ('p', 'a'), ('ul', p_brand), ('li', p_brand), ('td', 'k' || 'v' || CAST(p_size AS VARCHAR) || 'z'), ('p', 'v' || CAST(p_size AS VARCHAR) || 'z'), ('td', 'w' || p_brand),
  ('h2', 'open' || CAST(p_partkey AS VARCHAR)), ('em', CAST(p_partkey AS VARCHAR)), ('h3', 'lastq'), ('td', p_brand)) t(tag, text) WHERE true GROUP BY ALL""")

@@ -6,6 +6,8 @@ query grows with the table, and the expected result is plain SQL on ``part``.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from shelfscan.session import fill_cores, prepare
 
 FILLER = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor. " * 3
 
+#: All names of character references, with their semicolon or, old ones, without.
+REFERENCES = sorted(html5)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -147,6 +152,14 @@ def _pages(spark: SparkSession, sf_dir: str, html: Column) -> DataFrame:
     return part.select(F.col("p_partkey").alias("page_id"), site().alias("site"), product_url().alias("url"), html.alias("html"))
 
 
+def reference_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two character references by name a part, in text and attributes: before a blank, run on, before an equals sign."""
+    name = f"element_at(split('{' '.join(REFERENCES)}', ' '), CAST(n % {len(REFERENCES)} AS INT) + 1)"
+    named = table(spark, sf_dir, "part").selectExpr("p_partkey", "explode(array(2 * p_partkey, 2 * p_partkey + 1)) AS n").selectExpr("p_partkey", f"concat('&', {name}) AS r")
+    html = """concat('<p title="', r, ' x">a ', r, ' b</p><i title="q', r, '=1', r, 'zq9">y', r, 'zq9</i>')"""
+    return named.selectExpr("p_partkey AS page_id", "substr(r, 2) AS name", f"{html} AS html")
+
+
 def crosswise_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose tags are crossed, stray or never closed."""
     size = F.col("p_size").cast("string")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html import unescape
+from html.entities import html5, name2codepoint
 
 from shelfscan import rules
 from shelfscan.functions.scalars import mentions, py_strip
-from shelfscan.functions.sql import each, extract, extract_all, let, lit, matches, replaced, when
+from shelfscan.functions.sql import each, extract, extract_all, in_list, let, lit, matches, replaced, when
 
 _COMMENT = r"<!--.*?(?:-->|\z)"
 _SCRIPT = r"<script\b[^>]*+>.*?(?:</script\s*+>|\z)"
@@ -25,7 +26,13 @@ COMMENT_OR_SCRIPT = f"(?is){_COMMENT}|{_SCRIPT}"
 
 NODE_BREAK = "\u0001"
 
-_ENTITIES = json.dumps({"apos": "'"} | {name: chr(cp) for name, cp in name2codepoint.items()})
+# A map is searched from its start, so the names that pages use come first.
+_NAMES = sorted((name[:-1] for name in html5 if name.endswith(";")), key=lambda name: name not in name2codepoint)
+_ENTITIES = json.dumps({name: html5[name + ";"] for name in _NAMES})
+#: Names that need no semicolon, longer ones first.
+LOOSE_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+# What numbers of the C1 controls stand for.
+_CONTROLS = "".join(unescape(f"&#{n};") for n in range(128, 160))
 
 _ATTR_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s"'>]*+)"""
 
@@ -48,18 +55,35 @@ def attr(tok: str, name: str) -> str:
 
     def value(raw: str) -> str:
         bare = when(f"left({raw}, 1) IN ('\"', '\\'')", f"substr({raw}, 2, length({raw}) - 2)", raw)
-        return when(f"{raw} <> ''", html_unescape(bare))
+        return when(f"{raw} <> ''", html_unescape(bare, "attribute"))
 
     # Most tags lack most attributes; a plain search is much cheaper than the pattern.
     return when(f"contains(lower({tok}), {lit(name)})", let(extract(tok, pattern), value))
 
 
-def html_unescape(s: str) -> str:
-    """Decode ``&name;``, ``&#n;`` and ``&#xh;``; unknown names stay as they are."""
+def html_unescape(s: str, where: str | None = None) -> str:
+    """Decode ``&name;``, ``&#n;`` and ``&#xh;``; unknown names stay as they are.
+
+    In a "text" the longest old name at the start of a run is decoded without a semicolon too, in an "attribute" only one
+    that is the whole run and stands before no equals sign.
+    """
 
     def char(number: str) -> str:
         valid = f"{number} > 0 AND {number} < 1114112 AND NOT {number} BETWEEN 55296 AND 57343"
-        return when(valid, f"decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')", "''")
+        plain = f"decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')"
+        return f"CASE WHEN {number} BETWEEN 128 AND 159 THEN substr({lit(_CONTROLS)}, CAST({number} - 127 AS INT), 1) WHEN {valid} THEN {plain} ELSE '' END"
+
+    def named(name: str) -> str:
+        return f"try_element_at(from_json({lit(_ENTITIES)}, 'map<string,string>'), {name})"
+
+    def loose(piece: str) -> str:
+        if where == "text":
+            start = extract(piece, f"^&({'|'.join(LOOSE_NAMES)})")
+            return let(start, lambda n: when(f"{n} <> ''", f"concat({named(n)}, substr({piece}, length({n}) + 2))", piece))
+        if where == "attribute":
+            name = f"substr({piece}, 2)"
+            return when(in_list(name, LOOSE_NAMES), named(name), piece)
+        return piece
 
     def decode(piece: str) -> str:
         name = extract(piece, "^&(#?[0-9a-zA-Z]++);?")
@@ -68,11 +92,12 @@ def html_unescape(s: str) -> str:
         return (
             f"CASE WHEN NOT startswith({piece}, '&') THEN {piece} "
             f"WHEN startswith({piece}, '&#') THEN {let(f'coalesce({decimal}, {hexadecimal}, 0)', char)} "
-            f"WHEN endswith({piece}, ';') THEN coalesce(try_element_at("
-            f"from_json({lit(_ENTITIES)}, 'map<string,string>'), {name}), {piece}) ELSE {piece} END"
+            f"WHEN endswith({piece}, ';') THEN coalesce({named(name)}, {loose(piece)}) ELSE {loose(piece)} END"
         )
 
-    pieces = r"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|&"
+    # Before an equals sign a name in an attribute is part of an address.
+    after = "[;=]?" if where == "attribute" else ";?"
+    pieces = rf"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[a-zA-Z][a-zA-Z0-9]*+{after}|[^&]++|&"
     return let(
         s, lambda t: when(f"contains({t}, '&')", f"array_join({each(extract_all(t, pieces), decode)}, '')", t)
     )
@@ -90,14 +115,14 @@ def page_text(clean_html: str) -> str:
     """
     template = r"(?is)<template\b.*?(?:</template\s*+>|\z)"
     shown = when(matches(clean_html, "(?i)<template"), replaced(clean_html, template, NODE_BREAK), clean_html)
-    nodes = html_unescape(replaced(shown, TAG, NODE_BREAK))
+    nodes = html_unescape(replaced(shown, TAG, NODE_BREAK), "text")
     return py_strip(replaced(nodes, r"(?U)[\s\x1c-\x1f]*+\x01[\s\x01\x1c-\x1f]*+", " "))
 
 
 def text_nodes(html: str) -> str:
     """All text and comment nodes (no script or style), parted by a node break."""
     pattern = r"(?is)<!--(.*?)(?:-->|\z)|" + f"{_SCRIPT}|{_STYLE}|{_TAG}"
-    return html_unescape(replaced(html, pattern, f"{NODE_BREAK}$1{NODE_BREAK}"))
+    return html_unescape(replaced(html, pattern, f"{NODE_BREAK}$1{NODE_BREAK}"), "text")
 
 
 def count_tags(clean_html: str, tag: str) -> str:

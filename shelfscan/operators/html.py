@@ -105,7 +105,7 @@ def page_trees(pages: DataFrame, html: str = "html") -> DataFrame:
         return replaced(f"{n}.tok", r"^<!--|-->\z", "")
 
     def label(n: str) -> str:
-        node = f"CASE {n}.kind WHEN 'text' THEN {M.html_unescape(f'{n}.tok')} WHEN 'comment' THEN {comment(n)} END"
+        node = f"CASE {n}.kind WHEN 'text' THEN {M.html_unescape(f'{n}.tok', 'text')} WHEN 'comment' THEN {comment(n)} END"
         at = f"regexp_instr({node}, {lit(rules.SKU_LABEL)}) - 1"
         return f"struct({n}.pos, {at} AS at, {n}.held, {n}.pk0, {n}.pk1, {n}.beside, {n}.sk0, {n}.sk1, {n}.script)"
 

@@ -10,7 +10,8 @@ to its tokens and their depth. Each row of a batch is one page, spread by Spark;
 from __future__ import annotations
 
 import re
-from html.entities import name2codepoint
+from html import unescape
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -81,16 +82,23 @@ _SCHEMA = [(name, _TYPES[kind]) for name, kind in (f.split(" ") for f in FIELDS.
 
 _TOKEN = re.compile(M.TOKEN.replace(r"\z", r"\Z"), re.ASCII)
 _NAME = re.compile(r"</?([a-zA-Z][^ \t\r\n\f/>]*)")
-_ENTITY = re.compile(r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([a-zA-Z][a-zA-Z0-9]*);)")
+_ENTITY = re.compile(r"&(?:#([0-9]+);?|#[xX]([0-9a-fA-F]+);?|([a-zA-Z][a-zA-Z0-9]*;?))")
+_LONGEST_LOOSE = len(M.LOOSE_NAMES[0])
 _SCRIPT_TAGS = re.compile(r"^<[^>]*>|</[a-z]+\s*>\Z", re.IGNORECASE | re.DOTALL | re.ASCII)
 
 
 def _decoded(m: re.Match) -> str:
     decimal, hexadecimal, name = m.groups()
     if name:
-        return "'" if name == "apos" else chr(name2codepoint[name]) if name in name2codepoint else m[0]
+        if name in html5:
+            return html5[name]
+        starts = (name[:k] for k in range(_LONGEST_LOOSE, 1, -1))
+        start = next((s for s in starts if s in html5), None)
+        return m[0] if start is None else html5[start] + name[len(start) :]
     digits = (decimal or hexadecimal).lstrip("0")
     code = int(digits or "0", 10 if decimal else 16) if len(digits) <= (7 if decimal else 6) else 0
+    if 128 <= code < 160:
+        return unescape(f"&#{code};")
     return chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else ""
 
 

@@ -82,6 +82,14 @@ def test_links_kept(spark):
     assert column(spark, ["a#b", "a"], U.strip_fragment("v")) == ["a", "a"]
 
 
+def test_loose_references_agree_with_the_standard_library(spark):
+    texts = ["a &amp b", "&notit; &notin; &notin", "AT&T &copy2024&reg", "&#146;&#x80;&#129;", "&ampamp;", "&zzz; &zzz &", "&NotEqualTilde;", "&Aacute&aacutex"]
+    assert column(spark, texts, M.html_unescape("v", "text")) == [unescape(t) for t in texts]
+    links = ["?a=1&copy=2&lt=3", "?a&reg", "x&copyright y", "x&copy y", "?q=&amp;b&eacute;", "&notit;", "&notin;="]
+    right = ["?a=1&copy=2&lt=3", "?a®", "x&copyright y", "x© y", "?q=&bé", "&notit;", "∉="]
+    assert column(spark, links, M.html_unescape("v", "attribute")) == right
+
+
 def test_unescape_agrees_with_the_standard_library(spark):
     texts = ["a &amp; b", "&lt;&gt;&quot;", "&nbsp;x", "&#8364;&#x20AC;", "&euro;&eacute;", "no entity", "&", "a&b;c", "&frac14;", "&#128512;"]
     assert column(spark, texts, M.html_unescape("v")) == [unescape(t) for t in texts]
