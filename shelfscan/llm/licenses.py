@@ -1,9 +1,10 @@
 """Licence scans: ordered signature rules behind a keyword prefilter.
 
-Rules are hand-written forms (title, grant, tag, address) of named licence families with their
-versions. A row that holds none of the words that a rule needs, one word a rule, is never matched. Each rule is a
+Rules are hand-written forms (title, grant, tag, address, package field, body passage) of named licence families
+with their versions. A row that holds none of the words that a rule needs, one word a rule, is never matched. Each rule is a
 regular expression over the row's words (SPDX identifiers, short names after a form, glued versions, optional
-words), with a priority. A detection whose word interval lies inside one of
+words), with a priority, and is tried where its first word stands; a field ("license": "MIT") or an identifier
+(Apache-2.0) also wants its punctuation. A detection whose word interval lies inside one of
 another rule with higher priority, or with the same priority and more words, is suppressed.
 
 Words: A-Z lower-cased, maximal runs of digits, a-z and everything beyond ASCII. Null or empty text has
@@ -14,8 +15,10 @@ columns are read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +83,22 @@ BODIES = (
 )
 #: Names that tell a licence only after a form.
 SHORT = {
-    "mit": ("mit", "expat", "x11"), "apache": ("apache", "asl"), "gfdl": ("gnu fdl",), "bsd": ("bsd", "0bsd"), "artistic": ("artistic",), "boost": ("bsl", "boost"),
+    "mit": ("mit", "expat", "x11"), "apache": ("apache", "asl"), "gfdl": ("gnu fdl", "fdl"), "bsd": ("bsd", "0bsd"), "artistic": ("artistic",), "boost": ("bsl", "boost"),
     "cpl": ("cpl",), "isc": ("isc",), "zlib": ("zlib", "zlib acknowledgement"), "unlicense": ("unlicense",), "python": ("psf", "python"), "ofl": ("ofl", "sil ofl"), "ms-pl": ("ms pl",),
     "ms-rl": ("ms rl",), "osl": ("osl",), "afl": ("afl",), "proprietary": ("proprietary",),
 }
+#: Names that count in a package field and before "license" or "licensed": none is a word of common speech there.
+FIELD = {
+    "mit": ("mit",), "apache": ("apache",), "gpl": ("gpl",), "lgpl": ("lgpl",), "agpl": ("agpl",), "bsd": ("bsd", "0bsd", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause"), "mpl": ("mpl",),
+    "epl": ("epl",), "eupl": ("eupl",), "isc": ("isc",), "zlib": ("zlib",), "unlicense": ("unlicense",), "wtfpl": ("wtfpl",), "cc0": ("cc0",), "python": ("psf",), "boost": ("bsl",),
+}
+#: Words of the addresses that name a licence by themselves.
+ADDRESSES = (
+    ("apache-2.0", "apache org licenses license 2 0"), ("apache-1.1", "apache org licenses license 1 1"), ("apache-1.0", "apache org licenses license 1 0"),
+    ("mpl-2.0", "mozilla org mpl 2 0"), ("mpl-2.0", "mozilla org en us mpl 2 0"), ("mpl-1.1", "mozilla org mpl 1 1"), ("mpl-1.1", "mozilla org mpl mpl 1 1"),
+    ("epl-1.0", "eclipse org legal epl v10"), ("epl-2.0", "eclipse org legal epl v20"), ("epl-2.0", "eclipse org legal epl 2 0"), ("boost-1.0", "boost org license 1 0"),
+    ("unlicense", "unlicense org"), ("cc0-1.0", "creativecommons org publicdomain zero 1 0"), ("wtfpl", "wtfpl net"), ("ofl-1.1", "scripts sil org ofl"), ("odbl-1.0", "opendatacommons org licenses odbl"),
+)
 #: Short names that need no form before them.
 CLAUSES = {"bsd": ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause")}
 #: What stands before a name: as words, as a pattern, and how much the form is worth. Higher priority wins.
@@ -92,8 +107,15 @@ FORMS = (
     ("spdx license identifier zlib and", "spdx licen[sc]e identifier (?:[0-9a-z.]+ ){1,12}?(?:or|and|with)", 40, 1.0),
     *((f"{w} under the", w.replace("licens", "licen[sc]") + " under(?: the)?(?: terms(?: and conditions)? of)?(?: the| an?)?", 30, 0.95) for w in ("licensed", "released", "distributed", "available", "published", "provided", "covered", "governed")),
     ("under the terms of the", "under the terms(?: and conditions)? of(?: the| an?)?", 30, 0.95),
+    *((words, pattern, 35, 1.0) for words, pattern in (
+        ("opensource org licenses", "opensource org licenses?"), ("spdx org licenses", "spdx org licenses"), ("choosealicense com licenses", "choosealicense com licenses"),
+        ("gnu org licenses", "gnu org (?:licenses|copyleft)(?: old licenses)?"),
+    )),
+    ("license", "licen[sc]e", 25, 0.9),
     ("", "", 10, 0.8),
 )
+#: The form of a package field.
+OF_FIELD = "licen[sc]e"
 SHORT_ALONE = {"gpl", "lgpl", "agpl", "mpl", "epl"}  # too short to count without a form before or a version after
 #: Between a name and its version, and after it. A version may be glued to the name, with or without v.
 BETWEEN = "(?: licen[sc]e)?(?: as published by the free software foundation)?(?: either)?(?: version | v| |v|)"
@@ -105,15 +127,17 @@ def _spelled(words: str) -> str:
 
 
 @lru_cache(1)
-def rules() -> tuple[tuple[tuple[str, ...], str, int, float, str], ...]:
-    """All signatures in order: words of an example, label, priority, score, and a pattern over words with a blank between.
+def signatures() -> tuple[tuple[tuple[str, ...], str, int, float, str], ...]:
+    """All rules in order: words of an example, label, priority, score, and a pattern over words with a blank between.
 
     A detection is the group ``at`` of the pattern.
     """
     out = {}
     for example, form, priority, score in FORMS:
         for label, names, versions in FAMILIES:
-            known = (*names, *CLAUSES.get(label, ()), *(SHORT.get(label, ()) if form else ()))
+            known = FIELD.get(label, ()) if form == OF_FIELD else (*names, *CLAUSES.get(label, ()), *(SHORT.get(label, ()) if form else ()))
+            if not known:
+                continue
             for version in versions:
                 full, value = (f"{label}-{version.replace(' ', '.')}", priority + 5) if version else (label, priority)
                 tail = BETWEEN + version + AFTER if version else ""
@@ -133,11 +157,32 @@ def rules() -> tuple[tuple[tuple[str, ...], str, int, float, str], ...]:
                             out.setdefault(tuple(f"{name}{between}{version}".split()), (full, value, score, pattern))
                     if "license" in name.split():
                         out.setdefault(tuple(f"{name.replace('license', 'licence')} {version}".split()), (full, value, score, pattern))
+    for label, names in FIELD.items():
+        for name in names:
+            for word in ("license", "licence", "licensed", "licenced"):
+                out.setdefault((*name.split(), word), (label, 12, 0.8, f"(?P<at>{name} licen[sc]ed?)"))
+    for label, names, versions in FAMILIES:
+        if label.startswith("cc-"):
+            path = f"creativecommons org licenses {label[3:].replace('-', ' ')}"
+            for version in versions:
+                full = f"{label}-{version.replace(' ', '.')}" if version else label
+                out.setdefault(tuple(f"{path} {version}".split()), (full, 35 + 5 * bool(version), 1.0, f"(?P<at>{path}{' ' * bool(version)}{version})"))
+        if label == "apache":
+            for version in filter(None, versions):
+                out.setdefault(("apache", *version.split()), (f"apache-{version.replace(' ', '.')}", 15, 0.8, f"(?P<at>apache {version})"))
+    for label, path in ADDRESSES:
+        out.setdefault(tuple(path.split()), (label, 40, 1.0, f"(?P<at>{path})"))
     for label, body in BODIES:
         out.setdefault(tuple(body.split()), (label, 50, 1.0, f"(?P<at>{body})"))
     return tuple((w, *x) for w, x in sorted(out.items(), key=lambda r: (-r[1][1], -len(r[0]), r[0])))
 
 
+@lru_cache(1)
+def rules() -> tuple[tuple[tuple[str, ...], str, int, float, str], ...]:
+    """The signatures that words alone decide."""
+    return tuple(r for r in signatures() if not _punctuation(r[-1]))
+
+
 def _needed(form: str) -> tuple[str, ...]:
     """The words of which a form holds one."""
     if not form:
@@ -163,7 +208,7 @@ def _words() -> dict[tuple[str, ...], tuple[str, ...]]:
     """By example: the words of which each match of the signature holds one, that of its form or else of its name."""
     forms = {example: _needed(form) for example, form, *_ in FORMS if form}
     out = {}
-    for example, *_, pattern in rules():
+    for example, *_, pattern in signatures():
         form = next((e for e, f, *_ in FORMS if f and pattern.startswith((f"(?P<at>{f} ", f"{f} (?P<at>"))), None)
         out[example] = forms[form] if form else ()
     named = necessary([e for e, needed in out.items() if not needed])
@@ -179,40 +224,47 @@ def gate() -> re.Pattern[bytes]:
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _BASE = tuple((tuple(p.encode().split()), label) for p, label in BASE)
-#: Words around a necessary one that its match can reach.
-WINDOW = 48
+
+
+def _punctuation(pattern: str) -> bytes:
+    """What one sign of has to stand before the second word of a match, if any has."""
+    if pattern.startswith(f"(?P<at>{OF_FIELD} "):
+        return b":=\"'>"
+    return b"-" if re.match(r"\(\?P<at>apache \d", pattern) else b""
 
 
 @lru_cache(1)
-def _anchored() -> dict[bytes, dict[re.Pattern[bytes], list[tuple[re.Pattern[bytes], int, str, float]]]]:
-    """The signatures by the word they need and by the form that all of a list begin with."""
-    heads = {f"{form} ": re.compile(f"(?<![^ ]){form} ".encode()) for _, form, *_ in FORMS if form}
+def _starting() -> dict[bytes, dict[re.Pattern[bytes], list[tuple[re.Pattern[bytes], int, str, float, bytes]]]]:
+    """The signatures by the word they start with and by the form that all of a list begin with."""
+    heads = {f"{form} ": re.compile(f"{form} ".encode()) for _, form, *_ in FORMS if form}
     found: dict[bytes, dict] = {}
-    for example, label, priority, score, pattern in rules():
-        head = next((h for f, h in heads.items() if pattern.startswith((f"(?P<at>{f}", f"{f}(?P<at>"))), re.compile(b""))
-        for w in _words()[example]:
+    for example, label, priority, score, pattern in signatures():
+        form = next((f for f in heads if pattern.startswith((f"(?P<at>{f}", f"{f}(?P<at>"))), None)
+        starts = [example[0]] if form is None else [form.split()[0].replace("[sc]", x) for x in ("s", "c")]
+        head = heads[form] if form else re.compile(b"")
+        for w in starts:
             some = found.setdefault(w.encode(), {}).setdefault(head, {})
-            some[pattern, label] = (re.compile(f"(?<![^ ]){pattern}(?![^ ])".encode()), priority, label, score)
+            some[pattern, label] = (re.compile(f"{pattern}(?![^ ])".encode()), priority, label, score, _punctuation(pattern))
     return {w: {head: list(some.values()) for head, some in by_head.items()} for w, by_head in found.items()}
 
 
-def detections(tokens: list[bytes]) -> list[tuple[int, int, str, float]]:
-    """Labels with their word intervals and scores, after suppression."""
-    anchored = _anchored()
-    places = [i for i, w in enumerate(tokens) if w in anchored]
+def detections(tokens: list[bytes], before: Callable[[int], bytes] | None = None) -> list[tuple[int, int, str, float]]:
+    """Labels with their word intervals and scores, after suppression.
+
+    ``before`` gives what stands between a word and the one before it; without it no signature that wants punctuation is found.
+    """
+    starting = _starting()
+    text = b" ".join(tokens)
+    places = [0, *accumulate(len(w) + 1 for w in tokens)]
     found = set()
-    k = 0
-    while k < len(places):
-        first = last = k
-        while last + 1 < len(places) and places[last + 1] - places[last] <= 2 * WINDOW:
-            last += 1
-        k = last + 1
-        at = max(0, places[first] - WINDOW)
-        text = b" ".join(tokens[at : places[last] + WINDOW])
-        for w in {tokens[i] for i in places[first:k]}:
-            for pattern, priority, label, score in (x for head, some in anchored[w].items() if head.search(text) for x in some):
-                for m in pattern.finditer(text):
-                    start = at + text.count(b" ", 0, m.start("at"))
+    for i, w in enumerate(tokens):
+        for head, some in starting.get(w, {}).items():
+            if not head.match(text, places[i]):
+                continue
+            for pattern, priority, label, score, signs in some:
+                m = pattern.match(text, places[i])
+                if m and (not signs or (before and any(c in signs for c in before(i + 1)))):
+                    start = bisect_left(places, m.start("at"))
                     n = m.group("at").count(b" ") + 1
                     found.add((priority, n, start, start + n, label, score))
     kept: list[tuple[int, int, str, float]] = []
@@ -227,9 +279,10 @@ def detections(tokens: list[bytes]) -> list[tuple[int, int, str, float]]:
 
 
 def _scan(text: bytes) -> tuple[int, int | None, int | None, str, str, float]:
-    tokens = _WORD.findall(text)
+    spans = [m.span() for m in _WORD.finditer(text)]
+    tokens = [text[a:b] for a, b in spans]
     base = [(i, label) for phrase, label in _BASE for i, w in enumerate(tokens) if w == phrase[0] and tuple(tokens[i : i + len(phrase)]) == phrase]
-    found = detections(tokens)
+    found = detections(tokens, lambda i: text[spans[i - 1][1] : spans[i][0]])
     miss = 1.0
     for score in [0.9] * len(base) + [d[3] for d in found]:
         miss *= 1 - score
