@@ -31,6 +31,7 @@ _NAMES = sorted((name[:-1] for name in html5 if name.endswith(";")), key=lambda
 _ENTITIES = json.dumps({name: html5[name + ";"] for name in _NAMES})
 #: Names that need no semicolon, longer ones first.
 LOOSE_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+_LOOSE = json.dumps({name: html5[name] for name in LOOSE_NAMES})
 # What numbers of the C1 controls stand for.
 _CONTROLS = "".join(unescape(f"&#{n};") for n in range(128, 160))
 
@@ -73,16 +74,16 @@ def html_unescape(s: str, where: str | None = None) -> str:
         plain = f"decode(unhex(lpad(hex({number}), 8, '0')), 'UTF-32')"
         return f"CASE WHEN {number} BETWEEN 128 AND 159 THEN substr({lit(_CONTROLS)}, CAST({number} - 127 AS INT), 1) WHEN {valid} THEN {plain} ELSE '' END"
 
-    def named(name: str) -> str:
-        return f"try_element_at(from_json({lit(_ENTITIES)}, 'map<string,string>'), {name})"
+    def named(name: str, names: str) -> str:
+        return f"try_element_at(from_json({lit(names)}, 'map<string,string>'), {name})"
 
     def loose(piece: str) -> str:
         if where == "text":
             start = extract(piece, f"^&({'|'.join(LOOSE_NAMES)})")
-            return let(start, lambda n: when(f"{n} <> ''", f"concat({named(n)}, substr({piece}, length({n}) + 2))", piece))
+            return let(start, lambda n: when(f"{n} <> ''", f"concat({named(n, _LOOSE)}, substr({piece}, length({n}) + 2))", piece))
         if where == "attribute":
             name = f"substr({piece}, 2)"
-            return when(in_list(name, LOOSE_NAMES), named(name), piece)
+            return when(in_list(name, LOOSE_NAMES), named(name, _LOOSE), piece)
         return piece
 
     def decode(piece: str) -> str:
@@ -92,7 +93,7 @@ def html_unescape(s: str, where: str | None = None) -> str:
         return (
             f"CASE WHEN NOT startswith({piece}, '&') THEN {piece} "
             f"WHEN startswith({piece}, '&#') THEN {let(f'coalesce({decimal}, {hexadecimal}, 0)', char)} "
-            f"WHEN endswith({piece}, ';') THEN coalesce({named(name)}, {loose(piece)}) ELSE {loose(piece)} END"
+            f"WHEN endswith({piece}, ';') THEN coalesce({named(name, _ENTITIES)}, {loose(piece)}) ELSE {loose(piece)} END"
         )
 
     # Before an equals sign a name in an attribute is part of an address.
