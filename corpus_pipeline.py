@@ -19,10 +19,6 @@ KEY = "coalesce(CAST(doc_id AS bigint), -2 - (xxhash64(text) & 92233720368547758
 VERSION = "-2 - (xxhash64(doc_id, text) & 9223372036854775807L) DIV 2"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("doc_id", F.expr(KEY))
-
-
 def _marked(docs: DataFrame) -> DataFrame:
     """``docs`` with the key ``___key``: one per document, and per text where a ``doc_id`` has several."""
     texts = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("min(xxhash64(text)) < max(xxhash64(text)) AS ___many"))
@@ -75,7 +71,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents with their full epochs and the tokens of one more (operator 5)."""
-    return mixing.mix(_keyed(docs))
+    return mixing.mix(docs)
 
 
 STAGES = [

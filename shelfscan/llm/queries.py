@@ -68,7 +68,38 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_counts, op3_substr
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+def _budgets(name: str, parent: str, children: str) -> str:
+    """Common table expressions ending in ``name`` with its ``budget``; ``children`` has ``weight``, ``capacity`` and ``total``."""
+    return f"""
+{name}_sums AS (SELECT *, coalesce(sum(capacity) OVER below, 0) AS taken, sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER below, 0) AS open FROM ({children})
+  WINDOW below AS (PARTITION BY {parent} ORDER BY capacity::DOUBLE / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_full AS (SELECT *, capacity * open <= (total - taken) * weight AS whole FROM {name}_sums),
+{name}_rest AS (SELECT *, total - coalesce(sum(capacity) FILTER (WHERE whole) OVER node, 0) AS rest, sum(weight) FILTER (WHERE NOT whole) OVER node AS sharing FROM {name}_full WINDOW node AS (PARTITION BY {parent})),
+{name}_parts AS (SELECT *, CASE WHEN whole THEN capacity ELSE weight * rest // sharing END AS part, CASE WHEN whole THEN -1 ELSE weight * rest % sharing END AS remainder FROM {name}_rest),
+{name}_budget AS (SELECT *, part + CASE WHEN NOT whole AND row_number() OVER (PARTITION BY {parent}, whole ORDER BY remainder DESC, weight DESC, md5({name}), {name})
+  <= rest - sum(part) FILTER (WHERE NOT whole) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END AS budget FROM {name}_parts),"""
+
+
+_WEIGHTS = ", ".join(f"('{level}', '{name}', {weight}::HUGEINT)" for level, name, weight in mixing.WEIGHTS)
+_NODES = "SELECT {0}, any_value({1}_weight) AS weight, 4 * sum(supply)::HUGEINT AS capacity FROM leaves GROUP BY ALL"
+
 ORACLES = {
+    "op5_mixing": rf"""
+WITH rows AS (SELECT doc_id, {mixing.DOMAIN} AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens, md5(coalesce(text, '')) AS body FROM documents),
+w(level, name, weight) AS (VALUES {_WEIGHTS}),
+leaves AS (SELECT r.*, coalesce(d.weight, {mixing.OTHER}) AS domain_weight, coalesce(l.weight, {mixing.OTHER}) AS lang_weight, coalesce(s.weight, {mixing.OTHER}) AS source_weight
+  FROM (SELECT domain, lang, source, sum(tokens)::HUGEINT AS supply FROM rows WHERE tokens > 0 GROUP BY ALL) r
+  LEFT JOIN w d ON d.level = 'domain' AND d.name = domain LEFT JOIN w l ON l.level = 'lang' AND l.name = lang LEFT JOIN w s ON s.level = 'source' AND s.name = source),
+{_budgets("domain", "root", f"SELECT 1 AS root, *, (SELECT sum(supply)::HUGEINT * 3 // 5 FROM leaves) AS total FROM ({_NODES.format('domain', 'domain')})")}
+{_budgets("lang", "domain", f"SELECT n.*, b.budget AS total FROM ({_NODES.format('domain, lang', 'lang')}) n JOIN domain_budget b USING (domain)")}
+{_budgets("source", "domain, lang", f"SELECT n.*, b.budget AS total FROM ({_NODES.format('domain, lang, source', 'source')}) n JOIN lang_budget b USING (domain, lang)")}
+keyed AS (SELECT r.*, (b.budget // l.supply)::BIGINT AS full_epochs, (b.budget % l.supply)::BIGINT AS prefix
+  FROM rows r JOIN leaves l USING (domain, lang, source) JOIN source_budget b USING (domain, lang, source) WHERE tokens > 0),
+placed AS (SELECT *, md5('7:' || (full_epochs + 1) || ':' || coalesce(doc_id::VARCHAR, body)) AS place FROM keyed),
+run AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id, tokens, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM placed)
+SELECT doc_id, domain, lang, source, tokens, full_epochs, greatest(0, least(tokens, prefix - ahead))::BIGINT AS last_tokens FROM run WHERE full_epochs > 0 OR prefix > ahead""",
     "op3_substring_dedup": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 grams AS (SELECT doc_id, s, w[s:s + 49] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)),

@@ -121,3 +121,39 @@ def op13(docs, support=100, first=2000):
         c[lang]+=1
         if c[lang]<=first: res.append((lang,c[lang],p.decode(),-a,l,r,x,-s))
     return sorted(res)
+
+
+def shared(children, total):
+    """``children``: name -> (weight, capacity). Water filling by rounds, then largest remainders."""
+    left, got = dict(children), {}
+    while left:
+        weights = sum(w for w, _ in left.values())
+        full = [n for n, (w, c) in left.items() if c * weights <= total * w]
+        if not full:
+            break
+        for n in full:
+            got[n] = left.pop(n)[1]
+        total -= sum(got[n] for n in full)
+    weights = sum(w for w, _ in left.values())
+    parts = {n: divmod(w * total, weights) for n, (w, _) in left.items()}
+    spare = total - sum(q for q, _ in parts.values()) if parts else 0
+    order = sorted(parts, key=lambda n: (-parts[n][1], -left[n][0], hashlib.md5(n.encode()).hexdigest(), n))
+    return got | {n: parts[n][0] + (i < spare) for i, n in enumerate(order)}
+
+
+def budgets(leaves, weights, total, epochs, other):
+    """``leaves``: (domain, lang, source) -> tokens; ``weights``: (level, name) -> weight. Budget of each leaf."""
+    out = {}
+
+    def descend(path, total):
+        level = ("domain", "lang", "source")[len(path)]
+        names = {leaf[len(path)] for leaf in leaves if leaf[: len(path)] == path}
+        children = {n: (weights.get((level, n), other), epochs * sum(t for leaf, t in leaves.items() if leaf[: len(path) + 1] == (*path, n))) for n in names}
+        for n, budget in shared(children, total).items():
+            if len(path) == 2:
+                out[*path, n] = budget
+            else:
+                descend((*path, n), budget)
+
+    descend((), total)
+    return out

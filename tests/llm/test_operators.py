@@ -267,10 +267,38 @@ def test_mixing_shares_and_shortages(spark):
     for r in got:
         taken[r.lang] = taken.get(r.lang, 0) + r.tokens * r.full_epochs + r.last_tokens
     # 3000 tokens by 40:20:20; de has 100 and may be read twice, so en and fr share the other 2800.
-    assert taken == {"de": 200, "en": 1866, "fr": 933}
+    assert taken == {"de": 200, "en": 1867, "fr": 933}
     assert {r.doc_id for r in mixing.mix(docs, share=(1, 1), epochs=2, domain="'d'").collect()} == {r.doc_id for r in got}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_on_random_trees(spark, seed):
+    """Weights at three levels, shortages, ties of ratio and of remainder: every leaf's budget to the token."""
+    r = random.Random(seed)
+    leaves, weights = {}, {}
+    for d in range(r.randint(2, 4)):
+        weights["domain", f"d{d}"] = r.choice([1, 7, 30, 999_983])
+        for n in range(r.randint(1, 5)):
+            weights["lang", f"l{n}"] = r.choice([1, 3, 10])
+            for s in r.sample(range(200), r.choice([1, 3, 150])):
+                if r.random() < 0.5:
+                    weights["source", f"s{s}"] = r.choice([1, 2, 7])
+                leaves[f"d{d}", f"l{n}", f"s{s}"] = r.choice([1, 7, 100, r.randint(1, 10**6), 10**12])
+    total = sum(leaves.values()) * 2 // 3
+    rows = spark.createDataFrame([(*k, t) for k, t in leaves.items()], "domain string, lang string, source string, tokens long")
+    table = mixing.recipe(spark, tuple((*k, w) for k, w in weights.items()) + (("domain", "none", 0),))
+    got = {tuple(r[c] for c in mixing.TREE): r.budget for r in mixing.plan_leaves(rows.repartition(3), (2, 3), 2, table).collect()}
+    want = brute.budgets(leaves, weights, total, 2, mixing.OTHER)
+    assert got == want and sum(want.values()) == total
+
+
+def test_mixing_leaves_out_nodes_without_weight(spark):
+    docs = frame(spark, [prose(i, 50) for i in range(30)]).withColumn("lang", F.expr("if(doc_id % 2 = 0, 'en', 'de')"))
+    none = mixing.recipe(spark, (("lang", "de", 0),))
+    assert {r.lang for r in mixing.mix(docs, weights=none).collect()} == {"en"}
+    assert mixing.mix(docs, weights=none, domain="key").select("domain").distinct().collect() == [("b",)]
+
+
 def test_mixing_odd_rows(docs):
     out = mixing.mix(docs.withColumn("lang", F.expr("if(doc_id % 2 = 0, NULL, lang)")))
     assert out.filter("tokens = 0 OR last_tokens < 0 OR last_tokens > tokens").count() == 0 and out.count() > 5
