@@ -103,12 +103,12 @@ def plan_leaves(rows: DataFrame, share: tuple[int, int], epochs: int, weights: D
         of_level = weights.filter(F.col("level") == level).groupBy(F.col("name").alias(level)).agg(F.expr(f"CAST(least(max(weight), 1000000) AS bigint) AS {level}_weight"))
         leaves = leaves.join(of_level, level, "left").withColumn(f"{level}_weight", F.coalesce(f"{level}_weight", F.lit(OTHER)))
     leaves = staged(leaves.filter("domain_weight > 0 AND lang_weight > 0 AND source_weight > 0"), "leaves")
-    whole = leaves.agg(F.expr(f"coalesce(sum(supply), 0) * {share[0]} DIV {share[1]} AS total")).withColumn("_root", F.lit(1))
-    above, parent = whole, ["_root"]
+    whole = leaves.agg(F.expr(f"coalesce(sum(supply), 0) * {share[0]} DIV {share[1]}")).scalar()
+    above, parent = None, ["_root"]
     for depth, level in enumerate(TREE):
         path = [*TREE[:depth]]
         nodes = leaves.groupBy(*path, level).agg((F.sum("supply") * epochs).alias("capacity"), F.max(f"{level}_weight").alias("weight")).withColumn("_root", F.lit(1))
-        budgets = share_out(nodes.join(above, parent), parent, level)
+        budgets = share_out(nodes.withColumn("total", whole) if above is None else nodes.join(above, parent), parent, level)
         above, parent = budgets.withColumnRenamed("budget", "total").drop("_root"), [*path, level]
     return leaves.select(*TREE, "supply").join(above.withColumnRenamed("total", "budget"), [*TREE])
 
