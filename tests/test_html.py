@@ -246,3 +246,43 @@ def test_many_labels_and_deep_tables(spark):
     got = products(spark, body, deep)
     assert got[0].sku == "Z-9"
     assert got[1].specs == {"a": "59"} | {f"k{i}": str(i) for i in range(60)}
+
+
+def test_pages_are_read_once_and_after_they_are_dealt_out(spark):
+    """Spark makes filters of its own from a generator; the reading of a page must not be copied into them."""
+    pages = pages_of(spark, "<p>a", "<p>b").repartition(5, "page_id")
+    for df in (H.element_texts(pages, "tag = 'p'"), H.html_elements(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert sum(line.strip(" :+-").startswith("ArrowEvalPython") for line in plan.splitlines()) == 1
+        assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM", plan.index("ArrowEvalPython"))
+
+
+def test_a_batch_is_held_as_rows_in_runs_of_few_pages():
+    import pyarrow as pa
+
+    from shelfscan.operators.tree import CHARACTERS, PAGES, _read_batches
+
+    short, long = ["<p>a"] * (2 * PAGES + 1), ["<p>" + "a" * CHARACTERS, None]
+    made = list(_read_batches(iter([(pa.array(short + long), pa.array([True] * (2 * PAGES + 3)))])))
+    assert [len(x) for x in made] == [PAGES, PAGES, 1, 1, 1]
+    assert [len(x.as_py()["elements"]) for x in made[-1]] == [0] and [len(x.as_py()["notes"]) for x in made[-2]] == [1]
+
+
+def test_pages_of_one_key_count_as_one(spark):
+    pages = pages_of(spark, "<p>a</p>").union(pages_of(spark, "<p>a</p>"))
+    rows = H.element_texts(pages, "tag = 'p' AND tok <> 'tag'")
+    assert [(r.page_id, r.pos, r.tag, r.text) for r in rows.collect()] == [(0, 0, "p", "a")] * 2
+
+
+def test_labels_far_from_the_start_of_a_text_do_not_count(spark):
+    got = products(spark, "<h1>N</h1><b>" + "x" * 31 + " SKU:</b><i>1</i>", "<h1>N</h1><b>" + "x" * 29 + " SKU:</b><i>2</i><p>sku 3")
+    assert [got[i].sku for i in (0, 1)] == [None, "2"]
+
+
+def test_parts_are_dealt_out_before_pages_are_made(spark, tmp_path):
+    from checks import render
+
+    spark.range(50).selectExpr("id AS p_partkey", "'n' AS p_name", "'Brand#1' AS p_brand", "'T' AS p_type", "1 AS p_size", "1D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    n = 3 * spark.sparkContext.defaultParallelism
+    for made in (render.reference_pages(spark, str(tmp_path)), render.crosswise_pages(spark, str(tmp_path)), render.rendered_pages(spark, str(tmp_path))):
+        assert made.rdd.getNumPartitions() == n
