@@ -286,3 +286,13 @@ def test_parts_are_dealt_out_before_pages_are_made(spark, tmp_path):
     n = 3 * spark.sparkContext.defaultParallelism
     for made in (render.reference_pages(spark, str(tmp_path)), render.crosswise_pages(spark, str(tmp_path)), render.rendered_pages(spark, str(tmp_path))):
         assert made.rdd.getNumPartitions() == n
+
+
+def test_sites_are_dealt_out_and_sides_of_a_union_have_their_own_tasks(spark, tmp_path):
+    from checks import render
+
+    spark.range(50).selectExpr("id AS p_partkey", "'n' AS p_name", "concat('Brand#', id % 25) AS p_brand", "'T' AS p_type", "1 AS p_size", "1D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    parts = render.site_parts(spark, str(tmp_path))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts.rdd.getNumPartitions() == n
+    assert parts.filter("rn = 0").union(parts.filter("rn = 1")).rdd.getNumPartitions() == 2 * n

@@ -74,3 +74,28 @@ def test_what_responses_say(spark):
     ]
     got = {r.url[len(S):]: (r.says, r.html) for r in said(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"/a": ("accept", "ok <h1>"), "/b": ("accept", ""), "/c": ("failed", None), "/f": ("accept", "x"), "/g": ("failed", None), "/h": ("needs_render", None)}
+
+
+def test_a_group_costs_little():
+    """A URL has one or two responses a batch; frames of so few rows cost far more than reading them as lists."""
+    import time
+    from datetime import datetime, timedelta
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from shelfscan.streaming.products import _remember
+
+    at = datetime(2026, 1, 1)
+    rows = pd.DataFrame({"says": ["needs_render"], "attempt": [0], "fetched_at": [pd.Timestamp(at)], "html": [None]})
+    known: list = []
+    state = SimpleNamespace(hasTimedOut=False, exists=False, update=known.append, setTimeoutTimestamp=known.append, getCurrentWatermarkMs=lambda: 0)
+    run, start = _remember(timedelta(hours=1)), time.perf_counter()
+    for _ in range(1000):
+        assert list(run(("s", "u"), iter([rows]), state)) == []
+    listed = time.perf_counter() - start
+    start = time.perf_counter()
+    for _ in range(1000):
+        rows.assign(last=rows["says"].isin(["drawn"])).sort_values(["last", "attempt", "fetched_at"], kind="stable")
+    assert listed < 0.5 * (time.perf_counter() - start)
+    assert known[-2] == (True, False, False, None) and known[-1] == int(pd.Timestamp(at + timedelta(hours=1)).timestamp() * 1000)
