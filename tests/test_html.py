@@ -296,3 +296,17 @@ def test_sites_are_dealt_out_and_sides_of_a_union_have_their_own_tasks(spark, tm
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert parts.rdd.getNumPartitions() == n
     assert parts.filter("rn = 0").union(parts.filter("rn = 1")).rdd.getNumPartitions() == 2 * n
+
+
+def test_extractors_get_only_what_they_look_at(spark):
+    """Plain elements and texts without a label take no row, in Python or in Spark, however many a page has."""
+    from shelfscan.operators.tree import page_parts
+
+    plain, label = "<div><b>x</b></div>" * 300, "<p>S&#75;U: 1<br/>"
+    rows = "<table><tr><td>k<td class='c'>v</table><dl><dt>t<dd>d</dl><h1>n</h1><script>a='='</script>"
+    row = pages_of(spark, plain + label + rows + "<!-- model # --><img>", None).select(page_parts().alias("n")).collect()
+    n = row[0].n
+    assert [t.tag for t in n.tags] == ["td", "h1", "img"] and [x.tok for x in n.labels] == ["S&#75;U: 1", "<!-- model # -->"]
+    assert [len(x) for x in (n.ps, n.cells, n.dts, n.dds, n.trs, n.dls)] == [1, 2, 1, 1, 1, 1]
+    assert (n.trs[0].c0, n.trs[0].c1, n.dls[0].dt1, n.dls[0].dd1) == (0, 2, 1, 1) and len(n.texts) == 300 + 6
+    assert all(x == [] for x in row[1].n)
