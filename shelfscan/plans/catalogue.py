@@ -47,8 +47,8 @@ def discover_urls(
     solved = api.select("site").union(sitemaps.select("site")).distinct()
     categories = D.category_links(archive.homes(without=solved))
     shop = D.category_product_urls(categories, archive.pages(), max_pages).selectExpr("*", "'categories' AS source")
-    seeds = D.links_of_homes(archive.homes(drawn=True, without=solved), max_pages)
-    links = D.nav_expand(seeds, archive.responses(), max_pages).selectExpr("*", "'general' AS kind", "'links' AS source")
+    seeds = stage(D.links_of_homes(archive.homes(drawn=True, without=solved), max_pages), "seeds")
+    links = D.nav_expand(seeds, archive.responses(of=seeds), max_pages).selectExpr("*", "'general' AS kind", "'links' AS source")
     rungs = [api, sitemaps, shop, links]
     if url_lists is not None:
         listed = D.cap_per_site(url_lists, max_pages).selectExpr("*", "'general' AS kind", "'list' AS source")

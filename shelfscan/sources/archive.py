@@ -126,9 +126,15 @@ class ResponseArchive:
     def _of_roles(self, roles: tuple[str, ...]) -> DataFrame:
         return self.chosen.filter(F.col("role").isin(*roles)) if roles else self.chosen
 
-    def responses(self, *roles: str) -> DataFrame:
-        """(site, url, body, attempts, status, reason, route, role) of the responses that count, of these roles."""
-        return self.read(self._of_roles(roles).drop("seen", "html"), "kept", "body", roles)
+    def responses(self, *roles: str, of: DataFrame | None = None) -> DataFrame:
+        """(site, url, body, attempts, status, reason, route, role) of the responses that count, of these roles.
+
+        With ``of`` only those of its URLs (site, url): they are found among the narrow rows, before any body is met.
+        """
+        chosen = self._of_roles(roles).drop("seen", "html")
+        if of is not None:
+            chosen = chosen.join(of.select(*KEYS), KEYS, "left_semi")
+        return self.read(chosen, "kept", "body", roles)
 
     def pages(self, *roles: str) -> DataFrame:
         """(site, url, html, attempts, status, reason, route, role) of what can be read, as fetched or as drawn."""
