@@ -2,8 +2,11 @@
 
 A shard is a run of a task's rows, of up to ``SHARD`` words and so small that there are ``support`` of them. A phrase that stands ``support`` times in a language
 stands in at least one shard at least ``support`` times that shard's part of the language's words. So every shard is
-mined whole, length by length, at this lowered support; the union of what the shards found holds every frequent phrase,
-and one more pass counts all of it exactly. Three things keep the union small, none of which can lose a phrase:
+mined whole, length by length, at this lowered support, and names what it found with its count; the union of what the
+shards found holds every frequent phrase. Its exact counts are what the shards named, and what one more pass over the same
+shards finds of the union where a shard holds too few to have named it. Where every shard's support is one nothing is left
+to it. So that the shards are the same in each pass, the rows are staged first.
+Three things keep the union small, none of which can lose a phrase:
 a shard that did not name a phrase holds fewer of it than its own support, so phrases whose named counts and largest
 possible unnamed counts stay under ``support`` go; the words of a phrase are frequent themselves; and longer phrases
 are searched (in a second round) only where the first round's pairs stand. Sets are handed to the tasks as bit tables
@@ -16,6 +19,7 @@ Only the named columns are read. All numbers are whole; products are decimals of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,8 @@ BITS = 1 << 25
 #: Languages whose size the tasks are told; in all others every phrase is taken as locally frequent.
 LANGUAGES = 4096
 LONGEST = 5
+#: Phrases that leave a task at a time.
+ROWS = 1 << 15
 
 _PIECE_END = np.zeros(256, bool)
 _PIECE_END[[*map(ord, ".,;:!?"), *range(0x0A, 0x0E)]] = True
@@ -80,6 +86,11 @@ class Level:
     def __init__(self, shard: "Opened", length: int, counts: np.ndarray, first: np.ndarray) -> None:
         self.shard, self.length, self.counts, self.first = shard, length, counts, first
 
+    def parts(self) -> Iterator["Level"]:
+        """The same in pieces of at most ``ROWS`` phrases: only a piece's texts are held at a time."""
+        for a in range(0, len(self.first), ROWS):
+            yield Level(self.shard, self.length, self.counts[a : a + ROWS], self.first[a : a + ROWS])
+
     def langs(self) -> pa.Array:
         return self.shard.names.take(pa.array(self.shard.lang[self.first]))
 
@@ -87,9 +98,6 @@ class Level:
         parts = [self.shard.dictionary.take(pa.array(self.shard.word[self.first + j])) for j in range(self.length)]
         return parts[0] if self.length == 1 else pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()))
 
-    def hashes(self) -> np.ndarray:
-        return self.shard.hashes(self.first, self.length)
-
 
 class Opened:
     """A shard ready to be mined: words as numbers of an exact dictionary."""
@@ -153,12 +161,18 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[Op
         for a, b in chunks(offsets, CHUNK):
             shard.add(batch.column(0).slice(a, b - a).to_pylist(), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if shard.words >= most or shard.bytes >= SHARD_BYTES:
-                yield Opened(shard)
-                shard = Shard()
+                full, shard = [shard], Shard()
+                # Nothing here holds the texts while the shard is mined.
+                yield Opened(full.pop())
     if shard.words:
         yield Opened(shard)
 
 
+def _each(found: Callable[[Opened], Iterator[pa.RecordBatch]], batches: Iterator[pa.RecordBatch], most: int = SHARD) -> Iterator[pa.RecordBatch]:
+    """What ``found`` gives of every shard; a shard is let go before the next one is read."""
+    return chain.from_iterable(map(found, _shards(batches, most)))
+
+
 def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     place = h & W.U(BITS - 1)
     return (table[place >> W.U(6)] >> (place & W.U(63)) & W.U(1)).astype(bool)
@@ -169,56 +183,74 @@ def _all(length: int, counts: np.ndarray, lang: np.ndarray, first: np.ndarray) -
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard in _shards(batches):
+    def found(shard: Opened) -> Iterator[pa.RecordBatch]:
         for level in shard.levels(1, _all):
-            yield _rows(["lang", "phrase", "n"], [level.langs(), level.phrases().cast(pa.string()), pa.array(level.counts)])
+            for part in level.parts():
+                yield _rows(["lang", "phrase", "n"], [part.langs(), part.phrases().cast(pa.string()), pa.array(part.counts)])
+
+    return _each(found, batches)
 
 
 def _rows(names: list[str], columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _local(support: int, shard: Opened, sizes: Broadcast) -> np.ndarray:
+    """The lowered support of each of a shard's languages."""
+    whole = [sizes.value.get(x, 0) for x in shard.names.to_pylist()]
+    return np.array([max(1, -(-support * int(n) // m)) if m else 1 for n, m in zip(shard.sizes, whole)], np.int64)
+
+
 def _mine(support: int, most: int, sizes: Broadcast, frequent: Broadcast, pairs: Broadcast | None, lengths: tuple[int, int]):
-    """Locally frequent phrases of the stated lengths: hash, count, and how often a shard may hold one that it does not
-    name. A row without a hash says the latter of the whole shard."""
+    """Locally frequent phrases of the stated lengths: text, count, and how often a shard may hold one that it does not
+    name. A row without a phrase says the latter of the whole shard."""
+
+    names = ["lang", "phrase", "n", "slack"]
+
+    def found(shard: Opened) -> Iterator[pa.RecordBatch]:
+        local = _local(support, shard, sizes)
+
+        def keep(length: int, counts: np.ndarray, lang: np.ndarray, first: np.ndarray) -> np.ndarray:
+            kept = counts >= local[lang]
+            if length == 1:
+                kept &= _in_table(frequent.value, shard.hashes(first, 1))
+            if length == 2 and pairs is not None:
+                kept &= _in_table(pairs.value, shard.hashes(first, 2))
+            return kept
+
+        here = np.flatnonzero(shard.sizes)
+        zero = pa.array(np.zeros(len(here), np.int64))
+        yield _rows(names, [shard.names.take(pa.array(here)), pa.nulls(len(here), pa.string()), zero, pa.array(local[here] - 1)])
+        for level in shard.levels(lengths[1], keep):
+            for part in level.parts() if level.length >= lengths[0] else ():
+                slack = local[shard.lang[part.first]] - 1
+                yield _rows(names, [part.langs(), part.phrases().cast(pa.string()), pa.array(part.counts), pa.array(slack)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "hash", "n", "slack"]
-        for shard in _shards(batches, most):
-            whole = [sizes.value.get(x, 0) for x in shard.names.to_pylist()]
-            local = np.array([max(1, -(-support * int(n) // m)) if m else 1 for n, m in zip(shard.sizes, whole)], np.int64)
-
-            def keep(length: int, counts: np.ndarray, lang: np.ndarray, first: np.ndarray) -> np.ndarray:
-                found = counts >= local[lang]
-                if length == 1:
-                    found &= _in_table(frequent.value, shard.hashes(first, 1))
-                if length == 2 and pairs is not None:
-                    found &= _in_table(pairs.value, shard.hashes(first, 2))
-                return found
-
-            here = np.flatnonzero(shard.sizes)
-            zero = pa.array(np.zeros(len(here), np.int64))
-            yield _rows(names, [shard.names.take(pa.array(here)), pa.nulls(len(here), pa.int64()), zero, pa.array(local[here] - 1)])
-            for level in shard.levels(lengths[1], keep):
-                if level.length >= lengths[0] and len(level.first):
-                    slack = local[shard.lang[level.first]] - 1
-                    yield _rows(names, [level.langs(), pa.array(level.hashes().view(np.int64)), pa.array(level.counts), pa.array(slack)])
+        return _each(found, batches, most)
 
     return run
 
 
-def _count(frequent: Broadcast, candidates: Broadcast):
-    """Exact counts, in a shard, of every phrase of two words and more that is in the table of candidates."""
+def _count(support: int, most: int, sizes: Broadcast, frequent: Broadcast, candidates: Broadcast):
+    """Exact counts, in a shard, of every phrase of two words and more that is in the table of candidates and that the
+    shard, as ``_mine`` had it, holds too few of to have named it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
+    def found(shard: Opened) -> Iterator[pa.RecordBatch]:
+        local = _local(support, shard, sizes)
+        if (local == 1).all():
+            return
 
-            def keep(length: int, counts: np.ndarray, lang: np.ndarray, first: np.ndarray) -> np.ndarray:
-                return _in_table((frequent if length == 1 else candidates).value, shard.hashes(first, length))
+        def keep(length: int, counts: np.ndarray, lang: np.ndarray, first: np.ndarray) -> np.ndarray:
+            return _in_table((frequent if length == 1 else candidates).value, shard.hashes(first, length))
 
-            for level in shard.levels(LONGEST, keep):
-                if level.length > 1 and len(level.first):
-                    yield _rows(["lang", "phrase", "n"], [level.langs(), level.phrases().cast(pa.string()), pa.array(level.counts)])
+        for level in shard.levels(LONGEST, keep):
+            few = level.counts < local[shard.lang[level.first]]
+            for part in Level(shard, level.length, level.counts[few], level.first[few]).parts() if level.length > 1 else ():
+                yield _rows(["lang", "phrase", "n"], [part.langs(), part.phrases().cast(pa.string()), pa.array(part.counts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _each(found, batches, most)
 
     return run
 
@@ -233,16 +265,21 @@ def _table_of(hashes: DataFrame) -> np.ndarray:
     return table
 
 
-def _word_hashes(words: DataFrame) -> DataFrame:
-    """``hash`` of each (``lang``, ``phrase``) of one word, as the shards have it."""
+def _phrase_hashes(phrases: DataFrame) -> DataFrame:
+    """``hash`` of each (``lang``, ``phrase``), as the shards have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (lang, at), (word, by) = text_buffers(batch.column(0)), text_buffers(batch.column(1))
-            h = W.mix(W.hashes(lang, at[:-1], at[1:]) * W.U(0x9E3779B97F4A7C15) + W.hashes(word, by[:-1], by[1:]))
+            (lang, at), (text, by) = text_buffers(batch.column(0)), text_buffers(batch.column(1))
+            starts, ends, of = W.bounds(text, by, _INSIDE)
+            word, size = W.hashes(text, starts, ends), np.diff(of)
+            h = W.hashes(lang, at[:-1], at[1:])
+            for j in range(int(size.max(initial=0))):
+                longer = np.flatnonzero(size > j)
+                h[longer] = W.mix(h[longer] * W.U(0x9E3779B97F4A7C15) + word[of[longer] + j])
             yield _rows(["hash"], [pa.array(h.view(np.int64))])
 
-    return words.select("lang", "phrase").mapInArrow(run, "hash long")
+    return phrases.select("lang", "phrase").mapInArrow(run, "hash long")
 
 
 def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -250,6 +287,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = staged(rows, "phrase-rows")
     send = spark.sparkContext.broadcast
     words = staged(rows.mapInArrow(_word_counts, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")), "phrase-words")
     sizes = staged(words.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-languages")
@@ -257,21 +295,26 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     largest = send({r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()})
     # At least ``support`` shards: each one's support is then one or two, and the union as exact, at every size of ``docs``.
     most = max(1, min(SHARD, (sizes.agg(F.sum("n")).first()[0] or 0) // support))
-    frequent = send(_table_of(_word_hashes(singles)))
+    frequent = send(_table_of(_phrase_hashes(singles)))
 
     def union(lengths: tuple[int, int], pairs: Broadcast | None) -> DataFrame:
-        """What any shard named, less what cannot reach the support in all shards together."""
-        named = rows.mapInArrow(_mine(support, most, largest, frequent, pairs, lengths), "lang string, hash long, n long, slack long")
-        found = staged(named.groupBy("lang", "hash").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")), "phrases-named")
-        room = found.filter("hash IS NULL").select("lang", F.col("slack").alias("room"))
-        held = attach(found.filter("hash IS NOT NULL"), room, ["lang"], ["hash"])
-        return staged(held.filter(F.col("n") + F.col("room") - F.col("slack") >= support).select("hash"), "phrases-union")
+        """What any shard named, less what cannot reach the support in all shards together; ``unnamed`` is the most that shards hold besides."""
+        named = rows.mapInArrow(_mine(support, most, largest, frequent, pairs, lengths), "lang string, phrase string, n long, slack long")
+        found = staged(named.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack")), "phrases-named")
+        room = found.filter("phrase IS NULL").select("lang", F.col("slack").alias("room"))
+        held = attach(found.filter("phrase IS NOT NULL"), room, ["lang"], ["phrase"])
+        held = held.select("lang", "phrase", "n", (F.col("room") - F.col("slack")).alias("unnamed"))
+        return staged(held.filter(F.col("n") + F.col("unnamed") >= support), "phrases-union")
 
     first = union((2, 2), None)
-    pairs = send(_table_of(first))
+    pairs = send(_table_of(_phrase_hashes(first)))
     second = union((3, LONGEST), pairs)
-    candidates = send(_table_of(first.union(second)))
-    counted = rows.mapInArrow(_count(frequent, candidates), "lang string, phrase string, n long")
+    named = first.unionByName(second)
+    counted = named.select("lang", "phrase", "n")
+    if not named.filter("unnamed > 0").isEmpty():
+        candidates = send(_table_of(_phrase_hashes(named)))
+        count = _count(support, most, largest, frequent, candidates)
+        counted = counted.unionByName(rows.mapInArrow(count, "lang string, phrase string, n long"))
     counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
     return staged(singles.unionByName(counted), "phrases"), sizes
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -245,6 +246,55 @@ def test_many_shards_in_a_task(monkeypatch):
     assert {p for _, _, p, *_ in brute.op13([(r[0], r[2]) for r in rows], 12, 10**6)} <= found
 
 
+@pytest.mark.parametrize("most", [400, 10**6])
+def test_no_occurrence_is_named_and_counted(monkeypatch, most):
+    """The counting pass gives only what the shards had too little of to name; nothing where their support is one."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rows = [(r[0] or "und", r[2]) for r in telling()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
+    monkeypatch.setattr(phrases, "CHUNK", 500)
+    sizes = Counter()
+    for shard in phrases._shards(iter([batch]), most):
+        sizes.update(dict(zip(shard.names.to_pylist(), shard.sizes.tolist())))
+    every = SimpleNamespace(value=np.full(phrases.BITS >> 6, 2**64 - 1, np.uint64))
+    want = {(lang, p): a for lang, _, p, a, *_ in brute.op13(rows, 12, 10**6)}
+    for support, silent in ((12, False), (1, True)):
+        named, counted = Counter(), Counter()
+        sent = SimpleNamespace(value=sizes)
+        for got in phrases._mine(support, most, sent, every, None, (2, 5))(iter([batch])):
+            named.update({(r["lang"], r["phrase"]): r["n"] for r in got.to_pylist() if r["phrase"] is not None})
+        n = 0
+        for got in phrases._count(support, most, sent, every, every)(iter([batch])):
+            n += got.num_rows
+            counted.update({(r["lang"], r["phrase"]): r["n"] for r in got.to_pylist()})
+        assert want and {k: named[k] + counted[k] for k in want} == want
+        assert n == 0 if silent else n > 0
+
+
+def test_rows_in_another_order_at_each_reading(spark):
+    """Shards are the same in the mining and the counting passes."""
+
+    def shuffled(batches):
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.SystemRandom().shuffle(order)
+            yield batch.take(order)
+
+    rows = telling()
+    docs = table(spark, rows).coalesce(1)
+    docs = docs.mapInArrow(shuffled, docs.schema)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        got = results(phrases.collocations(docs, 12, 300))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute.op13([(lang, t) for lang, _, t in rows], 12, 300)
+
+
 def test_no_phrases(spark):
     assert phrases.collocations(table(spark, [("a", "b", "c")]).filter("false")).count() == 0
     assert phrases.collocations(table(spark, [("a", "b", "one two"), ("a", None, None)])).count() == 0
