@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -11,11 +11,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfscan.operators.extract import drop_nameless, extract_products
+from shelfscan.operators.groups import salt_of
 from shelfscan.operators.screen import route_of, route_reason
 from shelfscan.session import ship
 
-#: What is known of a URL: whether a browser's body is waited for, or a page was put out, and a body that came first.
-STATE = "waiting BOOLEAN, failed BOOLEAN, done BOOLEAN, held STRING"
+#: URLs are dealt by hash into this many groups, each one row of state: a call of Python for every URL costs far more than its rows.
+GROUPS = 1 << 14
+#: What is known of the URLs of a group, side by side: whether a browser's body is waited for, only failures came or a page was
+#: put out (``FLAGS`` as bits), until when (ms of event time) it is remembered, and a body that came first.
+STATE = "sites ARRAY<STRING>, urls ARRAY<STRING>, flags ARRAY<INT>, untils ARRAY<BIGINT>, helds ARRAY<STRING>"
+FLAGS = [(bool(n & 1), bool(n & 2), bool(n & 4)) for n in range(8)]
 PAGES = "site STRING, url STRING, fetched_at TIMESTAMP, html STRING"
 
 
@@ -58,11 +63,16 @@ def next_state(rows: list[tuple[str, str | None]], waiting: bool, failed: bool,
 
 
 def _remember(delay: timedelta):
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The step of one URL: ``run(key, parts, state)`` gives its (site, url, fetched_at, html), if one is put out now.
+
+    ``parts`` are frames, or lists by column; ``state`` is asked and told as Spark's GroupState is.
+    """
+
+    def run(key: tuple, parts: Iterable, state: GroupState | Known) -> Iterator[tuple]:
         if state.hasTimedOut:
             state.remove()
             return
-        # Most groups are a single row, so they are read as plain lists: a frame costs far more than its row.
+        # Most URLs are a single row, so they are read as plain lists: a frame costs far more than its row.
         rows = [row for part in parts for row in zip(part["says"], part["attempt"], part["fetched_at"], part["html"])]
         # Within a batch plain responses go by attempt; bodies of a browser are looked at after them.
         rows.sort(key=lambda row: (row[0] == "drawn", row[1], pd.isna(row[2]), 0 if pd.isna(row[2]) else row[2].value))
@@ -73,7 +83,65 @@ def _remember(delay: timedelta):
         until = int((newest + delay).timestamp() * 1000)
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if html is not None:
-            yield pd.DataFrame({"site": [key[0]], "url": [key[1]], "fetched_at": [newest], "html": [html]})
+            yield key[0], key[1], newest, html
+
+    return run
+
+
+class Known:
+    """State of one URL within the state of its group."""
+
+    hasTimedOut = False
+
+    def __init__(self, watermark: int, value: tuple | None = None, until: int = 0):
+        self.watermark, self.get, self.until = watermark, value, until
+
+    @property
+    def exists(self) -> bool:
+        return self.get is not None
+
+    def update(self, value: tuple) -> None:
+        self.get = value
+
+    def setTimeoutTimestamp(self, until: int) -> None:
+        self.until = until
+
+    def getCurrentWatermarkMs(self) -> int:
+        return self.watermark
+
+
+def _remember_groups(delay: timedelta):
+    """The step of a group of URLs: each with rows takes its own step, each other one is forgotten at its own time."""
+    step = _remember(delay)
+    columns = ("says", "attempt", "fetched_at", "html")
+
+    def run(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        known: dict[tuple, Known] = {}
+        if state.exists:
+            for site, url, flags, until, held in zip(*state.get):
+                known[site, url] = Known(watermark, (*FLAGS[flags], held), until)
+        came: dict[tuple, dict[str, list]] = {}
+        if not state.hasTimedOut:
+            for part in parts:
+                for site, url, *row in zip(part["site"], part["url"], *(part[c] for c in columns)):
+                    of_url = came.setdefault((site, url), {c: [] for c in columns})
+                    for c, value in zip(columns, row):
+                        of_url[c].append(value)
+        out = []
+        for url, rows in came.items():
+            out.extend(step(url, [rows], known.setdefault(url, Known(watermark))))
+        kept = {url: k for url, k in known.items() if url in came or k.until >= watermark}
+        if kept:
+            # Field by field: of each URL (waiting, failed, done, held) become bits and the body.
+            bits = [sum(flag << i for i, flag in enumerate(k.get[:3])) for k in kept.values()]
+            sites, urls = map(list, zip(*kept))
+            state.update((sites, urls, bits, [k.until for k in kept.values()], [k.get[3] for k in kept.values()]))
+            state.setTimeoutTimestamp(min(k.until for k in kept.values()))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["site", "url", "fetched_at", "html"])
 
     return run
 
@@ -81,12 +149,13 @@ def _remember(delay: timedelta):
 def readable_once(fetch_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     """(site, url, fetched_at, html) of URLs that can be read, each once, as fetched or as a browser drew it.
 
-    State is a row of flags per URL, kept for ``delay`` of event time after its last response. It holds a body only
-    while a browser's came before the plain response that asks for it.
+    State is flags per URL, kept for ``delay`` of event time after its last response, in ``GROUPS`` rows at most. It holds a
+    body only while a browser's came before the plain response that asks for it.
     """
     ship(fetch_stream.sparkSession)
-    told = said(fetch_stream).withWatermark("fetched_at", delay)
-    return told.groupBy("site", "url").applyInPandasWithState(_remember(pd.Timedelta(delay).to_pytimedelta()), PAGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    told = said(fetch_stream).withWatermark("fetched_at", delay).withColumn("group", salt_of("site", "url", salts=GROUPS))
+    step = _remember_groups(pd.Timedelta(delay).to_pytimedelta())
+    return told.groupBy("group").applyInPandasWithState(step, PAGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def products_of_pages(pages: DataFrame) -> DataFrame:

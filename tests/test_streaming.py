@@ -99,3 +99,79 @@ def test_a_group_costs_little():
         rows.assign(last=rows["says"].isin(["drawn"])).sort_values(["last", "attempt", "fetched_at"], kind="stable")
     assert listed < 0.5 * (time.perf_counter() - start)
     assert known[-2] == (True, False, False, None) and known[-1] == int(pd.Timestamp(at + timedelta(hours=1)).timestamp() * 1000)
+
+
+class Remembered:
+    """A group's state as Spark keeps it, with a watermark that a test sets."""
+
+    def __init__(self):
+        self.value, self.until, self.watermark, self.hasTimedOut = None, None, 0, False
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, until):
+        assert until >= self.watermark
+        self.until = until
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+
+def step(run, key, state, watermark, rows):
+    """A batch as Spark runs it: a group with rows is called with them, one past its time without."""
+    import pandas as pd
+
+    state.watermark, state.hasTimedOut = watermark, not rows
+    if not rows and (not state.exists or state.until >= watermark):
+        return []
+    frame = pd.DataFrame(rows, columns=["site", "url", "says", "attempt", "fetched_at", "html"]).astype({"fetched_at": "datetime64[ns]"})
+    return list(run(key, iter([frame]), state))
+
+
+def test_a_group_of_urls_goes_as_each_url_alone():
+    """Rows, order, bodies held and the time that each URL is forgotten at."""
+    import random
+
+    import pandas as pd
+
+    from shelfscan.streaming.products import _remember, _remember_groups
+
+    rng, hour = random.Random(7), timedelta(hours=1)
+    one, many = _remember(hour), _remember_groups(hour)
+    urls = [(S if i % 3 else None, f"{S}/{i}" if i else None) for i in range(40)]
+    alone, group = {url: Remembered() for url in urls}, Remembered()
+    put_out, kept = 0, []
+    for batch in range(60):
+        now = START + timedelta(minutes=15 * batch)
+        watermark = int(pd.Timestamp(now - hour).timestamp() * 1000) if batch else 0
+        rows = []
+        for url in rng.sample(urls, rng.choice([0, 1, 5, 12])):
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                says = rng.choice(["accept", "drop", "needs_render", "failed", "drawn"])
+                at = now + timedelta(minutes=rng.randrange(20))
+                rows.append((*url, says, rng.randrange(3), at, f"{says} {batch}" if says in ("accept", "drawn") else None))
+        want = [tuple(r) for url in urls for r in step(one, url, alone[url], watermark, [r for r in rows if r[:2] == url])]
+        got = [tuple(r) for frame in step(many, (0,), group, watermark, rows) for r in frame.itertuples(index=False)]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+        left = {url for url in urls if alone[url].exists}
+        assert left == (set(zip(*group.value[:2])) if group.exists else set())
+        put_out, kept = put_out + len(got), [*kept, len(left)]
+    assert put_out > 20 and max(kept) > min(kept[5:])
+
+
+def test_many_urls_share_a_row_of_state(spark, monkeypatch):
+    from shelfscan.streaming import products
+
+    monkeypatch.setattr(products, "GROUPS", 2)
+    shells = [fetch(f"/{i}", i, SHELL if i % 2 else page(f'"N{i}"')) for i in range(12)]
+    drawn = [fetch(f"/{i}", 20, page(f'"N{i}"'), "render") for i in range(12)]
+    found, kept = streamed(spark, [shells, drawn])
+    assert found == sorted((f"N{i}", f"/{i}") for i in range(12))
+    assert 1 <= kept[0] <= 2 and 1 <= kept[1] <= 2
