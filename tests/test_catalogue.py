@@ -168,3 +168,42 @@ def test_pages_to_render_are_wanted(run):
     _, r = run
     wanted = {(x.url, x.wanted_by) for x in r.frontier.filter(f"site = '{S}'").collect()}
     assert (S + "/p/blocked", "render") in wanted
+
+
+def test_tasks_write_documents_as_sparks_writer_does(spark, monkeypatch):
+    """The same folders and bytes, over what was there before, without the files and moves that Spark's writer adds to each."""
+    from shelfscan.sources import catalogues as written
+
+    odd = ['a:b#c%d="e"', "q?x*y", "back\\slash {z} [1] ^", "é ü", "tab\there", "plain.json", "", None]
+    rows = [(name, 1, 0, n, f"u{n}", value) for name in odd for n, value in enumerate(["one", None, 'two "é"\r', ""])]
+    lines = spark.createDataFrame(rows, "file STRING, section INT, hop INT, pos LONG, url STRING, value STRING")
+    monkeypatch.setattr(written, "catalogue_lines", lambda *_: lines)
+    found = []
+    for local in (True, False):
+        folder = tempfile.mkdtemp(prefix="run-")
+        Path(folder, "file=old.json").mkdir()
+        Path(folder, "file=old.json", "part-0.txt").write_text("{}")
+        if not local:
+            monkeypatch.setattr(written, "mounted", lambda *_: None)
+        write_catalogues(None, lines, folder if local else f"file://{folder}")
+        found.append({d.name: [p.read_bytes() for p in d.glob("part-*")] for d in Path(folder).glob("file=*")})
+        assert bool(list(Path(folder).rglob("*.crc"))) != local and Path(folder, "_SUCCESS").exists() and not Path(folder, "_temporary").exists()
+    assert found[0] == found[1] and len(found[0]) == 7 and {len(v) for k, v in found[0].items() if "HIVE" not in k} == {1}
+
+
+def test_folders_that_tasks_can_write(spark):
+    from shelfscan.sources.catalogues import mounted
+
+    assert [mounted(spark, p) for p in ("/a/b", "file:/a/b", "file:///a/b")] == ["/a/b"] * 3
+    assert [mounted(spark, p) for p in ("hdfs://h/a", "s3a://b/c", "viewfs://store/in", "file://host/a")] == [None] * 4
+
+
+def test_documents_that_fail_leave_no_half_folder(spark, monkeypatch):
+    from shelfscan.sources import catalogues as written
+
+    lines = spark.range(8).selectExpr("concat('f', id) AS file", "1 AS section", "0 AS hop", "id AS pos", "'u' AS url", "if(id = 5, raise_error('x'), 'v') AS value")
+    monkeypatch.setattr(written, "catalogue_lines", lambda *_: lines)
+    folder = f"{tempfile.mkdtemp(prefix='run-')}/out"
+    with pytest.raises(Exception, match="x"):
+        write_catalogues(None, lines, folder)
+    assert not Path(folder).exists()
