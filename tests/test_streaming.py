@@ -175,3 +175,25 @@ def test_many_urls_share_a_row_of_state(spark, monkeypatch):
     found, kept = streamed(spark, [shells, drawn])
     assert found == sorted((f"N{i}", f"/{i}") for i in range(12))
     assert 1 <= kept[0] <= 2 and 1 <= kept[1] <= 2
+
+
+def test_parts_are_dealt_out_before_they_become_pages(spark, monkeypatch):
+    """A file of one row group is one split; the pages of its rows are made in many tasks."""
+    import pytest
+
+    from checks import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(fetches, *_, **__):
+        raise Seen(fetches._jdf.queryExecution().analyzed().toString())
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    row = (1, "p", "Brand#11", "t", 3, 1.5)
+    spark.createDataFrame([row], "p_partkey LONG, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE").write.parquet(f"{folder}/part.parquet")
+    monkeypatch.setattr(queries, "stream_products", seen)
+    with pytest.raises(Seen) as plan:
+        queries.stream_catalogue(spark, folder)
+    lines = [line.lstrip(" +-~") for line in str(plan.value).splitlines()]
+    assert lines[0].startswith("Project") and lines[1].startswith("RepartitionByExpression [p_partkey")
